@@ -40,6 +40,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canopy.llm.sharding import shard
 
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_counts": op3_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
 
