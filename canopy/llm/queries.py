@@ -41,12 +41,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canopy.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canopy.llm.simhash import near_duplicates
 
@@ -63,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op4_secret_scan": op4_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
