@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.durable import durable
-
 BLANKS = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -85,7 +83,8 @@ def measure(df: DataFrame, text: str, names: set[str]) -> DataFrame:
 
 def order_of_rules(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> list[str]:
     """Rules by rejections per second on a sample of bounded size, the highest first."""
-    rows = durable(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).limit(sample))
+    taken = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).take(sample)
+    rows = docs.sparkSession.createDataFrame(taken, "_text string")
     gain = {}
     for name, (needs, rejects) in RULES.items():
         began = time.perf_counter()
