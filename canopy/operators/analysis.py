@@ -93,7 +93,7 @@ def coherence(tree: DataFrame, labels: DataFrame) -> DataFrame:
     """Q5: ``(label, internal, boundary, share)``: of the edges that touch a label, those that leave it."""
     e = labelled(tree, labels, "label")
     ends = e.select("label_u", "label_v", F.explode(F.array_distinct(F.array("label_u", "label_v"))).alias("label"))
-    out = ends.groupBy("label").agg(F.count_if("label_u = label_v").alias("internal"), F.count_if("label_u <> label_v").alias("boundary"))
+    out = ends.groupBy("label").agg(F.count_if(F.col("label_u") == F.col("label_v")).alias("internal"), F.count_if(F.col("label_u") != F.col("label_v")).alias("boundary"))
     return out.withColumn("share", F.coalesce(F.try_divide("boundary", F.col("internal") + F.col("boundary")), F.lit(0.0)))
 
 

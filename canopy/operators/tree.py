@@ -5,6 +5,7 @@ A rooted forest is ``(node, root, parent, depth, dist, bfs, dfs, size)``: bfs an
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from canopy.storage import stored
 ROOTED = "node long, root long, parent long, depth int, dist double, bfs long, dfs long, size long"
 #: Edges up to which one task roots a forest; beyond, levels are joined one after another.
 ONE_TASK_EDGES = 2_000_000
+#: (node, ancestor) pairs up to which each tree is walked in one task.
+ONE_TASK_PAIRS = 20_000_000
 
 
 def _root(edges: pd.DataFrame, nodes: list[int], first: list[int]) -> pd.DataFrame:
@@ -58,8 +61,8 @@ def rooted(forest: DataFrame, nodes: DataFrame | None = None, root: int | None =
     if edges.count() > one_task:
         return _rooted_by_levels(edges, nodes, root)
     members = edges.select(F.col("u").alias("node")) if nodes is None else nodes.select(F.col(nodes.columns[0]).cast("long").alias("node"))
-    left = edges.groupBy(F.lit(0).alias("k"))
-    right = members.distinct().groupBy(F.lit(0).alias("k"))
+    left = edges.groupBy(F.lit("all").alias("k"))
+    right = members.distinct().groupBy(F.lit("all").alias("k"))
     return left.cogroup(right).applyInPandas(lambda e, n: _root(e, n["node"].tolist(), first), ROOTED)
 
 
@@ -112,10 +115,30 @@ def children(forest: DataFrame, node: int, parent: int | None) -> DataFrame:
     return found if parent is None else found.where(F.col("node") != parent)
 
 
+def _ancestors(tree: pd.DataFrame) -> pd.DataFrame:
+    tree = tree.sort_values("dfs")
+    nodes, depths = tree["node"].to_numpy(), tree["depth"].to_numpy()
+    above = np.zeros(int(depths.max()) + 1, np.int64)
+    parts = []
+    for node, depth in zip(nodes.tolist(), depths.tolist(), strict=True):
+        above[depth] = node  # in depth-first order, what stands at lower depths are ancestors
+        parts.append(above[: depth + 1][::-1].copy())
+    size = depths + 1
+    ends = np.cumsum(size)
+    return pd.DataFrame({"node": np.repeat(nodes, size), "ancestor": np.concatenate(parts), "steps": (np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int32)})
+
+
 def closure(rooted_forest: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """``(node, ancestor, steps)``, the node itself at 0: doubling, as many joins as bits in the depth. ``of (node)``: for these only."""
+    """``(node, ancestor, steps)``, the node itself at 0. ``of (node)``: for these only.
+
+    A task walks each tree if all depths add up to few rows; otherwise links are doubled, as many joins as bits in the depth.
+    """
+    depth, rows = rooted_forest.agg(F.max("depth"), F.sum("depth")).first()
+    depth = depth or 0
+    if (rows or 0) <= ONE_TASK_PAIRS:
+        pairs = rooted_forest.groupBy("root").applyInPandas(_ancestors, "node long, ancestor long, steps int")
+        return pairs if of is None else pairs.join(F.broadcast(of.select("node").distinct()), "node")
     up = stored(rooted_forest.select("node", "parent", "depth"))
-    depth = up.agg(F.max("depth")).first()[0] or 0
     jump = up.where("parent IS NOT NULL").select("node", F.col("parent").alias("to"))
     start = up.select("node") if of is None else of.select("node").distinct()
     cover = start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))

@@ -1,6 +1,518 @@
-"""Registered queries of the engine and the SQL that gives the same rows."""
+"""Registered queries of the engine over the driver's tables. ``oracles`` has the SQL that gives the same rows.
+
+Results are made comparable: doubles rounded to 6 places, whole numbers as long.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from canopy.functions import encode, proteins, scalars
+from canopy.operators import analysis, cells, facets, graph, knn, layout, tree
+from canopy.operators.lsh import SignatureIndex
+from canopy.plans.model import TreeMap
+from canopy.plans.oracles import ORACLE_SQL
+from canopy.storage import stored
+
+K = 5
+PERMUTATIONS, BANDS, SEED = 32, 16, 42
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    def of(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            return F.round(c.cast("double"), 6).alias(f.name)
+        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
+            return c.cast("long").alias(f.name)
+        return c
+
+    return df.select(*[of(f) for f in df.schema.fields])
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return comparable(f(spark, sf_dir))
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+# Inputs
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("value"))
+
+
+def coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lower-case words of each document."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \n]+"), lambda w: w != ""))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens"))
+
+
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens as whole numbers: 60 bits of their MD5."""
+    number = F.transform("tokens", lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 15), 16, 10).cast("long"))
+    return tokens(spark, sf_dir).select("id", number.alias("on"))
+
+
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.minhash(token_ids(spark, sf_dir), PERMUTATIONS, SEED)
+
+
+def index(spark: SparkSession, sf_dir: str) -> SignatureIndex:
+    return SignatureIndex(PERMUTATIONS, BANDS, keep_empty=True).add(signatures(spark, sf_dir)).build()
+
+
+def neighbour_graph(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return knn.exact_knn(points(spark, sf_dir), k, "cosine")
+
+
+def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(graph.spanning_forest(stored(graph.edges_from_graph(neighbour_graph(spark, sf_dir)))))
+
+
+def rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mst = forest(spark, sf_dir)
+    return stored(tree.rooted(mst, points(spark, sf_dir).select("id"), graph.degree_root(mst).first()["node"]))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's label as its nearest neighbour has it."""
+    lab = labels(spark, sf_dir)
+    near = neighbour_graph(spark, sf_dir, 1).select(F.col("i").alias("id"), F.col("j"), (F.lit(1.0) - F.col("d")).alias("confidence"))
+    return near.join(lab, "id").join(lab.select(F.col("id").alias("j"), F.col("label").alias("predicted")), "j").select("id", "label", "predicted", "confidence")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of texts that are residues, as sequences."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("seq"))
+
+
+def external(df: DataFrame) -> DataFrame:
+    """The stated set of queries: ids divisible by 20, against all rows."""
+    return df.where("id % 20 = 0")
+
+
+# Neighbours
+
+
+@query
+def knn_cosine(spark, sf_dir):
+    return neighbour_graph(spark, sf_dir)
+
+
+@query
+def knn_l2(spark, sf_dir):
+    return knn.exact_knn(points(spark, sf_dir), K, "euclidean")
+
+
+@query
+def knn_external(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return knn.exact_knn(p, K, "cosine", external(p))
+
+
+@query
+def knn_from_matrix(spark, sf_dir):
+    p = points(spark, sf_dir)
+    rows = p.toArrow().sort_by("id")
+    ids, x = rows["id"].to_numpy(), np.array(rows["v"].to_pylist())
+    shared = spark.sparkContext.broadcast((ids, x))
+
+    def matrix(batches):
+        for batch in batches:
+            known, v = shared.value
+            for i, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                d = np.sqrt(((v - np.array(row)) ** 2).sum(axis=1))
+                yield pa.record_batch([pa.array(np.full(len(known), i)), pa.array(known), pa.array(d)], names=["i", "j", "d"])
+
+    return knn.knn_from_matrix(p.mapInArrow(matrix, "i long, j long, d double"), K)
+
+
+@query
+def knn_jaccard_tokens(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    return knn.jaccard_knn(t, K, external(t))
+
+
+@query
+def recall_at_k(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return knn.recall(stored(knn.exact_knn(p, K, "cosine")), knn.exact_knn(p, K, "euclidean"), K)
+
+
+@query
+def neighbour_report(spark, sf_dir):
+    """Q9: labels and the mean place of the nearest."""
+    p = points(spark, sf_dir)
+    near = knn.exact_knn(p, K, "cosine", external(p)).join(labels(spark, sf_dir).withColumnRenamed("id", "j"), "j").join(coords(spark, sf_dir).withColumnRenamed("id", "j"), "j")
+    return near.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda s: s["label"].cast("string")), ",").alias("labels"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+# Signatures
+
+
+@query
+def minhash_signature(spark, sf_dir):
+    return signatures(spark, sf_dir).select("id", F.posexplode("sig").alias("p", "h"))
+
+
+@query
+def signature_distances(spark, sf_dir):
+    """From document 0 to all."""
+    s = stored(signatures(spark, sf_dir))
+    one = F.broadcast(s.where("id = 0").select(F.col("sig").alias("one")))
+    return s.crossJoin(one).select(F.col("id").alias("j"), encode.signature_distance(F.col("sig"), F.col("one")).alias("d"))
+
+
+@query
+def lsh_bands(spark, sf_dir):
+    b = encode.bands(signatures(spark, sf_dir), BANDS).groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"))
+    return b.groupBy("band").agg(F.count(F.lit(1)).alias("buckets"), F.max("n").alias("largest"))
+
+
+@query
+def lsh_candidates(spark, sf_dir):
+    return index(spark, sf_dir).candidates(budget=50)
+
+
+@query
+def lsh_knn(spark, sf_dir):
+    return index(spark, sf_dir).knn_graph(K, 10)
+
+
+@query
+def lsh_query(spark, sf_dir):
+    idx = index(spark, sf_dir)
+    return idx.query(external(idx.sigs), K, 10)
+
+
+@query
+def weighted_minhash(spark, sf_dir):
+    """Rows only: the samples come from a published scheme with seeded draws."""
+    v = points(spark, sf_dir).select("id", F.transform("v", lambda x: F.abs(x) + 0.001).alias("v"))
+    return encode.weighted_minhash(v, 64, 16, SEED).select("id", F.posexplode("sig").alias("p", "s")).select("id", "p", "s.k", "s.y")
+
+
+# Graphs and trees
+
+
+@query
+def knn_edges(spark, sf_dir):
+    return graph.edges_from_graph(neighbour_graph(spark, sf_dir))
+
+
+@query
+def clean_edges(spark, sf_dir):
+    """similarity edges with negative weights and loops."""
+    near = neighbour_graph(spark, sf_dir)
+    raw = near.select(F.col("i").alias("u"), F.col("j").alias("v"), (F.col("d") - 0.6).alias("w"))
+    return graph.clean_edges(raw, 400)
+
+
+@query
+def mst_edges(spark, sf_dir):
+    return forest(spark, sf_dir)
+
+
+@query
+def connected_components(spark, sf_dir):
+    """Of the graph of nearest neighbours."""
+    return graph.components(graph.edges_from_graph(neighbour_graph(spark, sf_dir, 1)))
+
+
+@query
+def component_count(spark, sf_dir):
+    p = points(spark, sf_dir).agg(F.count(F.lit(1)).alias("nodes"))
+    e = graph.spanning_forest(graph.edges_from_graph(neighbour_graph(spark, sf_dir, 1))).agg(F.count(F.lit(1)).alias("edges"))
+    return p.crossJoin(e).select("nodes", "edges", (F.col("nodes") - F.col("edges")).alias("components"))
+
+
+@query
+def degree_root(spark, sf_dir):
+    return graph.degree_root(forest(spark, sf_dir))
+
+
+@query
+def tree_bfs(spark, sf_dir):
+    return rooted(spark, sf_dir).select("node", "root", "parent", "depth", "bfs")
+
+
+@query
+def tree_dfs(spark, sf_dir):
+    return rooted(spark, sf_dir).select("node", "dfs")
+
+
+@query
+def subtree_sizes(spark, sf_dir):
+    return rooted(spark, sf_dir).select("node", "size")
+
+
+@query
+def tree_distances(spark, sf_dir):
+    return tree.distances_from(forest(spark, sf_dir), 0, points(spark, sf_dir).select("id"))
+
+
+@query
+def tree_path(spark, sf_dir):
+    return tree.path(rooted(spark, sf_dir), 3, 77)
+
+
+@query
+def tree_ball(spark, sf_dir):
+    return tree.subtree(forest(spark, sf_dir), 10, 4)
+
+
+@query
+def pseudotime(spark, sf_dir):
+    """Q12: distances from the node of greatest value."""
+    start = values(spark, sf_dir).agg(F.max_by("id", F.struct("value", -F.col("id")))).first()[0]
+    return tree.distances_from(forest(spark, sf_dir), start, points(spark, sf_dir).select("id"))
+
+
+# Analysis
+
+
+@query
+def boundary_edges(spark, sf_dir):
+    return analysis.boundary_edges(forest(spark, sf_dir), labels(spark, sf_dir)).select("u", "v", "w", "label_u", "label_v")
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    return analysis.confusion(forest(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def edge_delta(spark, sf_dir):
+    return analysis.edge_delta(forest(spark, sf_dir), values(spark, sf_dir))
+
+
+@query
+def path_properties(spark, sf_dir):
+    return analysis.path_properties(rooted(spark, sf_dir), 3, 77, values(spark, sf_dir))
+
+
+@query
+def node_diversity(spark, sf_dir):
+    mst, nodes = forest(spark, sf_dir), points(spark, sf_dir).select("id")
+    out = analysis.diversity(mst, nodes).withColumnRenamed("diversity", "mean")
+    for how in ("max", "median"):
+        out = out.join(analysis.diversity(mst, nodes, how).withColumnRenamed("diversity", how), "node")
+    return out
+
+
+@query
+def subtree_purity(spark, sf_dir):
+    return analysis.purity(rooted(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def boundary_rate(spark, sf_dir):
+    return analysis.boundary_rate(forest(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def purity_summary(spark, sf_dir):
+    return analysis.purity_summary(analysis.purity(rooted(spark, sf_dir), labels(spark, sf_dir)))
+
+
+@query
+def top_label_pairs(spark, sf_dir):
+    return analysis.top_label_pairs(forest(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def label_route(spark, sf_dir):
+    return analysis.label_route(rooted(spark, sf_dir), labels(spark, sf_dir), 0, 7)
+
+
+@query
+def label_coherence(spark, sf_dir):
+    return analysis.coherence(forest(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def steep_edges(spark, sf_dir):
+    return analysis.steep_edges(forest(spark, sf_dir), values(spark, sf_dir))
+
+
+@query
+def mislabelled(spark, sf_dir):
+    return analysis.mislabelled(predictions(spark, sf_dir))
+
+
+@query
+def failure_paths(spark, sf_dir):
+    """Rows only: held against brute force in tests."""
+    return analysis.failure_paths(rooted(spark, sf_dir), stored(predictions(spark, sf_dir)), values(spark, sf_dir))
+
+
+# Places
+
+
+@query
+def tree_layout(spark, sf_dir):
+    """Rows only: places are this engine's own."""
+    e = graph.edges_from_graph(neighbour_graph(spark, sf_dir))
+    return layout.layout_from_edges(points(spark, sf_dir).select("id"), e)[0]
+
+
+@query
+def transform_positions(spark, sf_dir):
+    """M3, M5 without jitter: a tenth of the vectors placed among the others."""
+    p = points(spark, sf_dir)
+    old, new = stored(p.where("id % 10 <> 9")), p.where("id % 10 = 9")
+    model = TreeMap(K, "cosine")
+    model._embedding = stored(coords(spark, sf_dir).where("id % 10 <> 9"))
+    model._graph = stored(knn.exact_knn(old, K, "cosine"))
+    return model.position(new.select("id"), stored(knn.exact_knn(old, K, "cosine", new)), jitter=0.0)
+
+
+@query
+def normalize_coords(spark, sf_dir):
+    return scalars.normalize(coords(spark, sf_dir))
+
+
+@query
+def normalize_axes(spark, sf_dir):
+    return scalars.normalize_axes(coords(spark, sf_dir))
+
+
+@query
+def quantize_coords(spark, sf_dir):
+    n = scalars.normalize(coords(spark, sf_dir)).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    q = n.select("id", scalars.quantize(F.col("x")).alias("qx"), scalars.quantize(F.col("y")).alias("qy"))
+    return q.withColumn("x", scalars.dequantize(F.col("qx"))).withColumn("y", scalars.dequantize(F.col("qy")))
+
+
+@query
+def colour_positions(spark, sf_dir):
+    return scalars.colour_position(table(spark, sf_dir, "events"), "value").select("event_id", "position")
+
+
+# Tables of points
+
+
+@query
+def category_codes(spark, sf_dir):
+    return scalars.encode(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment").select("c_custkey", "c_mktsegment", "c_mktsegment_code")
+
+
+@query
+def value_histogram(spark, sf_dir):
+    return facets.histogram(table(spark, sf_dir, "events"), "value")
+
+
+@query
+def facet_top(spark, sf_dir):
+    return facets.facet_counts(table(spark, sf_dir, "documents"), "source", 15, "doc_id")
+
+
+@query
+def facet_recount(spark, sf_dir):
+    """A5: facets of what filters leave."""
+    left = facets.in_range(facets.in_categories(table(spark, sf_dir, "documents"), "lang", ["de", "fr"]), "n_chars", 100, 2000)
+    return facets.facet_counts(left, "source", 15, "doc_id")
+
+
+@query
+def other_filter(spark, sf_dir):
+    return facets.in_categories(table(spark, sf_dir, "customer"), "c_nationkey", ["3", facets.OTHER]).select("c_custkey", "c_nationkey")
+
+
+@query
+def range_filter(spark, sf_dir):
+    return facets.in_range(table(spark, sf_dir, "lineitem"), "l_extendedprice", 20000.0, 30000.0).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query
+def text_search(spark, sf_dir):
+    return facets.search(table(spark, sf_dir, "documents"), "text", " LICENSE ").select("doc_id", "lang", "source")
+
+
+@query
+def row_subset(spark, sf_dir):
+    """customers with an order above 400,000."""
+    ids = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select("o_custkey")
+    return facets.subset(table(spark, sf_dir, "customer"), "c_custkey", ids).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query
+def sample_quotas(spark, sf_dir):
+    """A10: how many of each group a sample of 500 has."""
+    s = facets.stratified_sample(table(spark, sf_dir, "events"), "event_id", "event_type", 500, mode="balanced")
+    return s.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def text_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.obs_to_numeric(F.col("c_name")).alias("number"), scalars.obs_to_numeric(F.col("c_mktsegment")).alias("none"))
+
+
+@query
+def cell_metadata(spark, sf_dir):
+    return cells.cell_metadata(table(spark, sf_dir, "customer"), "c_custkey", ["c_nationkey", "c_acctbal", "c_mktsegment"])
+
+
+@query
+def marker_scores(spark, sf_dir):
+    """Orders as cells, suppliers as genes, quantities as expression."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_suppkey").cast("string").alias("gene"), F.lit("X").alias("layer"), F.col("l_quantity").alias("value"))
+    genes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("gene"))
+    return cells.marker_scores(x, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell")), genes, ["1", "2", "3", "4"])
+
+
+@query
+def item_set_jaccard(spark, sf_dir):
+    """Customers by the parts in their orders; a twentieth of them ask."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sets = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("l_partkey").alias("on"))
+    sets = stored(sets)
+    return knn.jaccard_knn(sets, K, external(sets))
+
+
+@query
+def sequence_properties(spark, sf_dir):
+    names = tuple(p for p in proteins.PROPERTIES if p != "isoelectric_point")
+    return proteins.sequence_properties(sequences(spark, sf_dir), "seq", names).drop("seq")
+
+
+@query
+def isoelectric_point(spark, sf_dir):
+    """Rows only: a bisection, held against brute force in tests."""
+    return proteins.sequence_properties(sequences(spark, sf_dir), "seq", ("isoelectric_point",)).drop("seq")
+
+
+@query
+def kmer_features(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("seq"))
+    return proteins.kmers(b, "id", "seq", 3)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
