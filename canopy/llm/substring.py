@@ -355,7 +355,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             names=["id", "n_words", "removed", "n_removed", "kept_text", "kept_sha256"],
         )
 
-    found = hits.groupBy("block").agg(F.collect_list(F.struct("number", "bits")).alias("hits"))
+    # Written down, so that the join below takes the blocks' buckets as they are and moves the hits only
+    found = durable(hits.groupBy("block").agg(F.collect_list(F.struct("number", "bits")).alias("hits")))
     out_type = f"id {kind}, n_words long, removed array<struct<start:long,end:long>>, n_removed long, kept_text string, kept_sha256 string"
     main = blocks.join(flags, "block", "left").join(found, "block", "left").select("ids", "texts", "minis", "hits").mapInArrow(remove, out_type)
     copies = marks.join(later, "at").select("id", "text").mapInArrow(by_block("text", word_count), f"id {kind}, n_words long, whole boolean, text string")
