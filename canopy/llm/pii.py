@@ -18,7 +18,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"  # [0-9]([\x20-]?[0-9])+
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: ``label`` and ``:``, ``=`` or ``#``, then a value.
-CONTEXT = r"(?<![A-Za-z])[A-Za-z][A-Za-z_.-]{1,23}+\x20?[:=#]\x20?[\"'(]?[A-Za-z0-9+][^\s\"'<>,;]{3,63}"
+CONTEXT = r"(?<![A-Za-z])[A-Za-z][A-Za-z_.-]{1,23}+\x20?[:=#]\x20?[\"'(]?[A-Za-z0-9+][^\s\"'<>,;]{0,63}"
 LABEL = r"^([A-Za-z][A-Za-z_.-]*\x20?[:=#])"
 VALUE_AT = r"^[A-Za-z][A-Za-z_.-]*\x20?[:=#]\x20?[\"'(]?"
 #: Different seeds that a pattern needs, its least score, and rounds.
@@ -68,17 +68,18 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
 def discovered(spans: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """``(_uid, added)``: spans of identifiers found by context in each document that has some.
 
-    spans: ``_uid``, ``base`` (coded spans) and ``context`` (labelled values). Counts are over all documents; pairs are aggregated before they are moved, so that a label that stands everywhere is no hot key.
+    spans: ``_uid``, ``seeds`` (spans of known kinds) and ``context`` (labelled values); a labelled value that overlaps a seed stands for it. Counts are over all documents; pairs are aggregated before they are moved, so that a label that stands everywhere is no hot key.
     """
-    each = spans.select("_uid", "base", F.explode("context").alias("c"))
+    each = spans.select("_uid", "seeds", F.explode("context").alias("c"))
     lead = F.length(F.regexp_extract("c.value", VALUE_AT, 0))
     value = F.regexp_replace(F.regexp_replace("c.value", VALUE_AT, ""), r"[.)!?:]+$", "")
     each = each.select(
-        "_uid", "base", F.lower(F.regexp_replace(F.regexp_extract("c.value", LABEL, 1), r"\x20", "")).alias("label"),
+        "_uid", "seeds", F.lower(F.regexp_replace(F.regexp_extract("c.value", LABEL, 1), r"\x20", "")).alias("label"),
         value.alias("value"), (F.col("c.start") + lead).alias("start"),
     ).withColumn("end", F.col("start") + F.length("value"))
-    overlaps = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    each = durable(each.where("end > start").select("_uid", "label", "value", "start", "end", overlaps.alias("seed")))
+    seed = F.get(F.filter("seeds", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0))
+    each = each.where("end > start").withColumn("_seed", seed["value"])
+    each = durable(each.select("_uid", "label", F.coalesce("_seed", "value").alias("value"), "start", "end", F.col("_seed").isNotNull().alias("seed")))
     edges = each.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed"))
     # Labels that never stand before enough seeds can't become patterns; the others keep all their pairs.
     able = edges.groupBy("label").agg(F.sum("seed").alias("support")).where(F.col("support") >= support).select("label")
@@ -106,9 +107,9 @@ def personal_data(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     found = base_spans(rows, "_text").drop("_text")
     base = F.concat(*[coded(F.col(k), k, i) for i, k in enumerate(KINDS)])
-    found = found.select("_row", F.array_sort(base).alias("base"), "context", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
+    found = found.select("_row", F.array_sort(base).alias("base"), F.concat(*KINDS).alias("seeds"), "context", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
     found = durable(found.withColumn("_uid", F.monotonically_increasing_id()))
-    extra = discovered(found.select("_uid", "base", "context"))
+    extra = discovered(found.select("_uid", "seeds", "context"))
     out = found.join(extra, "_uid", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(CODED)))))
     return out.select("_row.*", F.struct("base", "spans", *[f"n_{k}" for k in KINDS]).alias("_found"))
 
