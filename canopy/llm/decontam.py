@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from canopy.llm.durable import durable
-from canopy.llm.text import ALNUM_WORDS, by_block, segments, split_words
+from canopy.llm.text import ALNUM_WORDS, by_block, segments, split_words, then_give_back
 
 #: Words of test items in one broadcast; more items are looked up in further passes.
 BLOCK_WORDS = 200_000
@@ -196,7 +196,7 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = 8, item
         passes.append(look)
     out = f"id {kind}, n_words long, items array<{item_kind}>, spans array<struct<start:long,end:long>>"
     if len(passes) == 1:
-        return index.mapInArrow(passes[0], out)
+        return index.mapInArrow(then_give_back(passes[0]), out)
     rows = durable(index.select(F.monotonically_increasing_id().alias("_segment"), "*"))
     each = None
     for look in passes:
@@ -210,7 +210,7 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = 8, item
                         key = one.column("_segment")[0].as_py()
                         yield pa.record_batch([pa.array(np.full(n, key)), pa.array(np.arange(n)), *found.columns], names=["_segment", "_row", *found.schema.names])
 
-        part = rows.mapInArrow(keyed, f"_segment long, _row long, {out}")
+        part = rows.mapInArrow(then_give_back(keyed), f"_segment long, _row long, {out}")
         each = part if each is None else each.unionByName(part)
     joined = each.groupBy("_segment", "_row").agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
@@ -254,4 +254,4 @@ def proximity_matches(index: DataFrame, queries: list[tuple[str, str]], slop: in
                 doc = np.searchsorted(segment.first, at, side="right") - 1
                 yield pa.record_batch([pa.array([name] * len(at), pa.string()), segment.ids.take(pa.array(doc)), pa.array(at - segment.first[doc])], names=["query", "id", "position"])
 
-    return index.mapInArrow(look, f"query string, id {kind}, position long")
+    return index.mapInArrow(then_give_back(look), f"query string, id {kind}, position long")

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.durable import durable
-from canopy.llm.text import blocks, segments, text_bytes
+from canopy.llm.text import blocks, segments, text_bytes, then_give_back
 from canopy.llm.tokencount import apart
 from canopy.llm.transducer import split_texts, vocabulary
 
 PIECES = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long"
 #: Pieces whose ids a worker keeps; bounds memory only.
-CACHED = 300_000
+CACHED = 150_000
 
 
 class Encoder:
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, spec: str, end_id: int, capacity: int, id_col: str,
                 uid += len(row)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES.format(kind))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(then_give_back(run), PIECES.format(kind))
 
 
 # One packing: bins as lists of item numbers. Items are numbered by falling length.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.durable import durable
-from canopy.llm.text import SPACE_WORDS, by_block, split_words
+from canopy.llm.text import SPACE_WORDS, by_block, split_words, then_give_back
 
 #: Generator polynomial of the Golay code of length 23, fixed: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -102,7 +102,7 @@ def keys(values: DataFrame) -> DataFrame:
                 key = (i << 60) | (parts[i][row] << 12) | message
                 yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(key)], names=["fingerprint", "key"])
 
-    return values.mapInArrow(run, "fingerprint long, key long")
+    return values.mapInArrow(then_give_back(run), "fingerprint long, key long")
 
 
 def links(values: DataFrame, bits: int = 2) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.llm.durable import durable
-from canopy.llm.text import SPACE_WORDS, by_block, segments, split_words
+from canopy.llm.text import SPACE_WORDS, by_block, segments, split_words, then_give_back
 
 GRAM = 6
 #: Windows of a run at most; they are bits of a long.
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         out = [_longs(m[hit[a:b]]) for m, a, b in zip(minis, at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return pa.table({"block": table["block"], "minis": pa.array(out, pa.binary())})
 
-    sent = blocks.select("block", "texts").mapInArrow(minimizers, "bucket int, block long, minis binary, several binary")
+    sent = blocks.select("block", "texts").mapInArrow(then_give_back(minimizers), "bucket int, block long, minis binary, several binary")
     flags = durable(sent.groupBy("bucket").applyInArrow(repeated, "block long, minis binary").groupBy("block").agg(F.collect_list("minis").alias("minis")))
 
     def wanted(cell) -> np.ndarray:
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         return pa.table({"block": table["block"], "number": table["number"], "bits": pa.array(bits)}).take(pa.array(keep))
 
     run_type = f"shard int, mini long, block long, number int, id {kind}, row long, start long, words binary"
-    hits = durable(blocks.join(flags, "block").select("block", "ids", "texts", "minis").mapInArrow(runs, run_type).groupBy("shard").applyInArrow(shard, "block long, number int, bits long"))
+    hits = durable(blocks.join(flags, "block").select("block", "ids", "texts", "minis").mapInArrow(then_give_back(runs), run_type).groupBy("shard").applyInArrow(shard, "block long, number int, bits long"))
 
     # 4. Removal
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +358,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     # Written down, so that the join below takes the blocks' buckets as they are and moves the hits only
     found = durable(hits.groupBy("block").agg(F.collect_list(F.struct("number", "bits")).alias("hits")))
     out_type = f"id {kind}, n_words long, removed array<struct<start:long,end:long>>, n_removed long, kept_text string, kept_sha256 string"
-    main = blocks.join(flags, "block", "left").join(found, "block", "left").select("ids", "texts", "minis", "hits").mapInArrow(remove, out_type)
+    main = blocks.join(flags, "block", "left").join(found, "block", "left").select("ids", "texts", "minis", "hits").mapInArrow(then_give_back(remove), out_type)
     copies = marks.join(later, "at").select("id", "text").mapInArrow(by_block("text", word_count), f"id {kind}, n_words long, whole boolean, text string")
     kept = F.when(F.col("whole"), F.lit("")).otherwise(F.array_join(F.filter(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""), " "))
     span = F.when(F.col("whole"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
