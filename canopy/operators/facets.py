@@ -102,7 +102,7 @@ def stratified_sample(df: DataFrame, id_col: str, group_col: str, max_items: int
     g = F.coalesce(F.col(group_col).cast("string"), F.lit(""))
     sizes = {r["g"]: r["n"] for r in df.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
     q = quotas(sizes, max_items, mode)
-    take = df.sparkSession.createDataFrame(sorted(q.items()) or [("", 0)], "g string, q long")
+    take = df.sparkSession.createDataFrame(sorted(q.items()) or [("", 0)], "_take string, _quota long")
     w = Window.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
     ranked = df.withColumn("_g", g).withColumn("_r", F.row_number().over(w))
-    return ranked.join(F.broadcast(take), F.col("_g") == F.col("g")).where("_r <= q").drop("_g", "_r", "g", "q")
+    return ranked.join(F.broadcast(take), F.col("_g") == F.col("_take")).where("_r <= _quota").drop("_g", "_r", "_take", "_quota")

@@ -89,13 +89,14 @@ def exact_knn(points: DataFrame, k: int, metric: str = "cosine", queries: DataFr
     blocks = -(-n // BLOCK_ROWS)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = qs.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("pb", every)
-    right = pts.withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", every)
+    # Own names: both sides may come from one table
+    right = pts.select(F.col("id").alias("pid"), F.col("v").alias("pv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("pb")).withColumn("qb", every)
 
     def pair(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame({"i": [], "rank": [], "j": [], "d": []})
-        p = p.sort_values("id")
-        i, rank, j, d = nearest(q["id"].to_numpy(), np.stack(q["v"]).astype(float), p["id"].to_numpy(), np.stack(p["v"]).astype(float), k, metric, itself)
+        p = p.sort_values("pid")
+        i, rank, j, d = nearest(q["id"].to_numpy(), np.stack(q["v"]).astype(float), p["pid"].to_numpy(), np.stack(p["pv"]).astype(float), k, metric, itself)
         return pd.DataFrame({"i": i, "rank": rank, "j": j, "d": d})
 
     met = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(pair, GRAPH)
