@@ -226,10 +226,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     # 1. Equal texts: all but the first are covered whole. Only digests move; ties of id go by place.
     marks = durable(rows.select("id", F.monotonically_increasing_id().alias("at"), F.sha2("text", 256).substr(1, 32).alias("digest"), F.octet_length("text").cast("long").alias("size"), "text"))
     firsts = marks.groupBy("digest").agg(F.min(F.struct(F.coalesce(F.col("id").isNotNull(), F.lit(False)).alias("k"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    copied = firsts.where("copies > 1")
+    # Written down, so that the join can split a text of very many copies among tasks
+    copied = durable(firsts.where("copies > 1").select("digest", F.col("first.at").alias("at0")))
     gb = (marks.agg(F.sum("size")).first()[0] or 0) / 1e9
     buckets, shards = max(LEAST, round(BUCKETS_PER_GB * gb)), max(LEAST, round(SHARDS_PER_GB * gb))
-    again = marks.join(copied.select("digest", F.col("first.at").alias("at0")), "digest").where("at <> at0")
+    again = marks.join(copied, "digest").where("at <> at0")
     later = durable(again.select("at"))
     name = _store(marks.join(later, "at", "left_anti"), max(LEAST // 4, buckets // 4))
     blocks = spark.table(name)
