@@ -30,7 +30,7 @@ PROPERTIES = ("length", "molecular_weight", "isoelectric_point", "gravy", "charg
 
 
 def is_valid(seq: Column) -> Column:
-    return F.upper(seq).rlike(f"^[{''.join(sorted(MASS))}]+$")
+    return seq.rlike(f"^[{''.join(sorted(MASS))}]+$")
 
 
 def _total(terms: list[Column]) -> Column:
@@ -45,10 +45,12 @@ def sequence_properties(df: DataFrame, seq_col: str = "seq", properties: tuple[s
     names = PROPERTIES if properties is None else properties
     if unknown := set(names) - set(PROPERTIES):
         raise ValueError(f"unknown properties: {sorted(unknown)}")
-    seq = F.upper(F.col(seq_col))
+    df_columns = df.columns
+    df = df.withColumn("_u", F.upper(F.col(seq_col)))
+    seq = F.col("_u")
     n = F.length(seq).cast("double")
     counts = F.struct(*[(F.length(seq) - F.length(F.replace(seq, F.lit(r), F.lit("")))).cast("double").alias(r) for r in MASS])
-    out = df.withColumn("_n", F.when(is_valid(F.col(seq_col)), counts))
+    out = df.withColumn("_n", F.when(is_valid(seq), counts))
     c = {r: F.col(f"_n.{r}") for r in MASS}
 
     def charge(ph: Column) -> Column:
@@ -71,7 +73,7 @@ def sequence_properties(df: DataFrame, seq_col: str = "seq", properties: tuple[s
         "n_cysteines": c["C"],
         **{g: _total([c[r] for r in letters]) / n for g, letters in GROUPS.items()},
     }
-    return out.select(*df.columns, *[F.when(F.col("_n").isNotNull(), made[p]).alias(p) for p in names])
+    return out.select(*df_columns, *[F.when(F.col("_n").isNotNull(), made[p]).alias(p) for p in names])
 
 
 def kmers(df: DataFrame, id_col: str = "id", seq_col: str = "seq", k: int = 3) -> DataFrame:

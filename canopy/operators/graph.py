@@ -85,8 +85,30 @@ def boruvka(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return edges.limit(0) if chosen is None else stored(chosen.distinct())
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """``(node, root)`` of all nodes with edges; the root is the component's least node. Large and small stars in turn, until nothing changes."""
+def _roots(edges: pd.DataFrame) -> pd.DataFrame:
+    ids, flat = np.unique(edges[["u", "v"]].to_numpy(), return_inverse=True)
+    parent = list(range(len(ids)))
+
+    def find(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for a, b in flat.reshape(-1, 2).tolist():
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return pd.DataFrame({"node": ids, "root": ids[[find(a) for a in range(len(ids))]] if len(ids) else ids})
+
+
+def components(edges: DataFrame, rounds: int = 64, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """``(node, root)`` of all nodes with edges; the root is the component's least node.
+
+    One task joins sets up to ``one_task`` edges; beyond, large and small stars take turns until nothing changes.
+    """
+    edges = stored(edges.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
+    if edges.count() <= one_task:
+        return edges.groupBy(F.lit("all").alias("k")).applyInPandas(_roots, "node long, root long")
     links = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct())
     before = None
     for _ in range(rounds):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from canopy.functions.encode import MASK, PRIME, permutations
 from canopy.functions.proteins import ACIDIC, BASIC, C_TERMINUS, GROUPS, HYDROPATHY, MASS, N_TERMINUS, WATER
 
-K, PERMUTATIONS, BANDS, SEED = 5, 32, 16, 42
+K, PERMUTATIONS, BANDS, SEED = 5, 32, 8, 42
 
 POINTS = "e AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 

@@ -21,7 +21,7 @@ from canopy.plans.oracles import ORACLE_SQL
 from canopy.storage import stored
 
 K = 5
-PERMUTATIONS, BANDS, SEED = 32, 16, 42
+PERMUTATIONS, BANDS, SEED = 32, 8, 42
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 

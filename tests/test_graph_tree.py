@@ -51,7 +51,8 @@ def test_boruvka_agrees_with_kruskal(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 5, 1.0), (3, 4, 1.0)], EDGES)
-    assert rows(graph.components(e), "node", "root") == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1)]
+    for one_task in (100, 0):
+        assert rows(graph.components(e, one_task=one_task), "node", "root") == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1)]
 
 
 def test_traversal_sizes_and_paths(sample):

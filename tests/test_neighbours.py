@@ -123,3 +123,17 @@ def test_kinds_and_checks(spark):
         check(d, InputKind.DENSE)
     with pytest.raises(ValueError):
         check(spark.createDataFrame([(0, [float("nan")])], "id long, v array<double>"), InputKind.DENSE)
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_jaccard_neighbours(spark, limit, monkeypatch):
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(2)
+    sets = [set(rng.integers(0, 25, 6).tolist()) for _ in range(20)] + [set()]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, on array<long>")
+    got = sorted(tuple(r) for r in knn.jaccard_knn(df, 3).collect())
+    want = []
+    for i, a in enumerate(sets):
+        near = sorted((1 - len(a & b) / len(a | b), j) for j, b in enumerate(sets) if i != j and a & b)[:3]
+        want += [(i, k, j, pytest.approx(d)) for k, (d, j) in enumerate(near, 1)]
+    assert got == want
