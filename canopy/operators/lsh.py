@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.functions.encode import bands, signature_distance
+from canopy.functions.encode import MASK, bands, signature_distance
 from canopy.operators.knn import ranked
 from canopy.storage import stored
 
@@ -31,13 +31,14 @@ class SignatureIndex:
     def build(self) -> SignatureIndex:
         """N4."""
         for new in self.pending:
-            made = bands(new if self.keep_empty else new.where(F.exists("sig", lambda x: x != (1 << 32) - 1) if "struct" not in dict(new.dtypes)["sig"] else F.lit(True)), self.l)
-            self.bands = made if self.bands is None else self.bands.unionByName(made)
-            if self.store:
+            if self.store:  # written once, read for the bands and later for distances
+                new = stored(new)
                 self.sigs = new if self.sigs is None else self.sigs.unionByName(new)
+            weighted = "struct" in dict(new.dtypes)["sig"]
+            known = new if self.keep_empty or weighted else new.where(F.exists("sig", lambda x: x != MASK))
+            made = bands(known, self.l)
+            self.bands = made if self.bands is None else self.bands.unionByName(made)
         self.bands = stored(self.bands)
-        if self.store:
-            self.sigs = stored(self.sigs)
         self.pending = []
         return self
 
