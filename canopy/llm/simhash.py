@@ -24,6 +24,25 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRED = 32
 
 
+def shingle_hashes(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of every shingle of the texts, and the n + 1 offsets of the texts among them."""
+    words = split_words(text, SPACE_WORDS, lower=True)
+    size = words.end - words.start
+    # Words again, each followed by one space
+    begin = np.cumsum(size + 1) - size - 1
+    joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    inside = SPACE_WORDS[words.data]
+    joined[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = words.data[inside]
+    n_words = np.diff(words.first)
+    n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    first = np.concatenate(([0], np.cumsum(n)))
+    row = np.repeat(np.arange(len(n)), n)
+    lead = words.first[row] + np.arange(len(row)) - first[row]
+    last = np.minimum(lead + shingle, words.first[row + 1]) - 1
+    raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
+    return np.array([digest(raw[a:b], 42) for a, b in zip(begin[lead].tolist(), (begin[last] + size[last]).tolist(), strict=True)], np.uint64), first
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint)``: a bit is 1 if it is set in over half the XXH64 (seed 42) of the text's shingles.
 
@@ -33,22 +52,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, text = batch.columns
-        words = split_words(text, SPACE_WORDS, lower=True)
-        size = words.end - words.start
-        # Words again, each followed by one space
-        begin = np.cumsum(size + 1) - size - 1
-        joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
-        inside = SPACE_WORDS[words.data]
-        joined[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = words.data[inside]
-        n_words = np.diff(words.first)
-        n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
-        first = np.concatenate(([0], np.cumsum(n)))
-        row = np.repeat(np.arange(len(n)), n)
-        lead = words.first[row] + np.arange(len(row)) - first[row]
-        last = np.minimum(lead + shingle, words.first[row + 1]) - 1
-        raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-        hashes = np.array([digest(raw[a:b], 42) for a, b in zip(begin[lead].tolist(), (begin[last] + size[last]).tolist(), strict=True)], ">u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        hashes, first = shingle_hashes(text, shingle)
+        n = np.diff(first)
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         some = n > 0
         ones = np.zeros((len(n), 64), np.int64)
         if len(bits):

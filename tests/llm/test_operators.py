@@ -473,6 +473,43 @@ def test_empty_tables_and_clashing_names(spark, spec):
         assert run(odd).count() == 3, name
 
 
+def shingled(t, n=5):
+    w = SPACE.findall(lower(t))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_near_copies_go_and_others_stay(spark):
+    from canopy.llm.stages import drop_near_duplicates
+
+    rng = random.Random(9)
+    texts = [None, "", "one two", "One  two"]
+    for k in range(40):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 1 + len(w) // 40, 1 + len(w) // 15):  # the last ones are under 0.8
+            v = list(w)
+            for _ in range(edits):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(v))
+    hot = [f"h{rng.randrange(3000)}" for _ in range(200)]
+    texts += [" ".join([*hot[:i], "changed", *hot[i + 1 :]]) for i in range(150)]
+    sets, parent = [shingled(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or a and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    kept = [r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(kept) == [i for i in range(len(texts)) if find(i) == i]
+
+
 def test_pipeline_stages(spark, labelled, texts, tmp_path):
     import corpus_pipeline
 
