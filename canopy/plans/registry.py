@@ -232,7 +232,7 @@ def clean_edges(spark, sf_dir):
     """similarity edges with negative weights and loops."""
     near = neighbour_graph(spark, sf_dir)
     raw = near.select(F.col("i").alias("u"), F.col("j").alias("v"), (F.col("d") - 0.6).alias("w"))
-    return graph.clean_edges(raw, 400)
+    return graph.clean_edges(raw, (points(spark, sf_dir).agg(F.max("id")).first()[0] or 0) + 1)
 
 
 @query

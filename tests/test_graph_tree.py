@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from canopy.operators import analysis, graph, knn, tree
@@ -109,3 +110,19 @@ def test_failure_paths_against_brute_force(sample, spark):
     v = spark.createDataFrame([(i, float(10 - i)) for i in range(5)], "id long, value double")
     got = {r["node"]: (r["to"], r["hops"], r["least"]) for r in analysis.failure_paths(t, p, v).collect()}
     assert got == {1: (0, 1, 9.0), 3: (2, 3, 7.0)}
+
+
+def test_clean_edges_of_all_nodes(spark, tmp_path):
+    from canopy.plans import registry
+
+    rng = np.random.default_rng(4)
+    x = {i: rng.normal(size=8) for i in range(380, 430)}
+    rows = [(i, [float(f) for f in v], 0) for i, v in x.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = {i: v / np.linalg.norm(v) for i, v in x.items()}
+    want = set()
+    for i in x:
+        near = sorted((1 - unit[i] @ unit[j], j) for j in x if j != i)[: registry.K]
+        want |= {(min(i, j), max(i, j)) for d, j in near if d >= 0.6}
+    got = {(r["u"], r["v"]) for r in registry.QUERIES["clean_edges"](spark, str(tmp_path)).collect()}
+    assert got == want and any(v >= 400 for _, v in want)
