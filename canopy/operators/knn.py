@@ -15,6 +15,8 @@ GRAPH = "i long, rank int, j long, d double"
 #: Bytes of vectors that go to every executor; beyond them blocks meet in a shuffle.
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16_384
+#: Pairs whose distances are taken at once.
+PAIRS = 1 << 15
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -31,10 +33,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str, skip_self: bool) -> tuple[np.ndarray, ...]:
     """Rows (i, rank, j, d) of the k nearest in ``x`` of each query. Zero vectors are at cosine distance 1 from all."""
     out: list[list[np.ndarray]] = [[], [], [], []]
-    take = min(k + 8 + skip_self, len(ids))
+    take = min(k, len(ids))
     if not take or not len(q_ids):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.float64))
     base, square = (_unit(x), None) if metric == "cosine" else (x, (x * x).sum(axis=1))
+    rounding = 8 * max(8, x.shape[1]) * np.finfo(float).eps
     for at in range(0, len(q_ids), 512):
         part = q[at : at + 512]
         unit = _unit(part) if metric == "cosine" else part
@@ -44,20 +47,22 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
             order = np.minimum(order, len(ids) - 1)
             same = ids[order] == q_ids[at : at + 512]
             near[np.flatnonzero(same), order[same]] = np.inf
-        cand = np.argpartition(near, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
+        # All within rounding of the k-th best: more than k at one distance are told apart by id
+        slack = rounding if metric == "cosine" else rounding * (np.sqrt(square.max()) + np.linalg.norm(part, axis=1)) ** 2
+        row, col = np.nonzero((near <= (np.partition(near, take - 1, axis=1)[:, take - 1] + slack)[:, None]) & np.isfinite(near))
         # Distances again, from differences, so that close points don't lose digits
-        if metric == "cosine":
-            d = 1 - np.einsum("qd,qkd->qk", unit, base[cand])
-        else:
-            d = np.sqrt(((part[:, None] - x[cand]) ** 2).sum(axis=2))
-        d[np.isinf(np.take_along_axis(near, cand, 1))] = np.inf
-        by = np.lexsort((ids[cand], d), axis=1)[:, :k]
-        d, j = np.take_along_axis(d, by, 1), ids[np.take_along_axis(cand, by, 1)]
-        row, col = np.nonzero(np.isfinite(d))
-        out[0].append(q_ids[at + row])
-        out[1].append((col + 1).astype(np.int32))
-        out[2].append(j[row, col])
-        out[3].append(d[row, col])
+        d = np.empty(len(row))
+        for s in range(0, len(row), PAIRS):
+            r, c = row[s : s + PAIRS], col[s : s + PAIRS]
+            d[s : s + PAIRS] = 1 - (unit[r] * base[c]).sum(axis=1) if metric == "cosine" else np.sqrt(((part[r] - x[c]) ** 2).sum(axis=1))
+        by = np.lexsort((ids[col], d, row))
+        row, col, d = row[by], col[by], d[by]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        best = rank < k
+        out[0].append(q_ids[at + row[best]])
+        out[1].append((rank[best] + 1).astype(np.int32))
+        out[2].append(ids[col[best]])
+        out[3].append(d[best])
     return tuple(np.concatenate(c) for c in out)
 
 

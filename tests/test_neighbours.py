@@ -40,6 +40,20 @@ def test_repeated_vectors_are_never_their_own_neighbours(spark):
     assert knn.exact_knn(frame(spark, x), 3, "cosine").where("i = j").count() == 0
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_many_equal_vectors_are_ordered_by_id(spark, metric, limit, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 150)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16))
+    x[100:] = x[100]
+    got = {}
+    for r in knn.exact_knn(frame(spark, x), 5, metric, broadcast_bytes=limit).where("i >= 100").collect():
+        got.setdefault(r["i"], []).append((r["rank"], r["j"]))
+    for i in range(100, 400):
+        assert [j for _, j in sorted(got[i])] == [j for j in range(100, 107) if j != i][:5]
+
+
 def test_zero_vectors_are_far_from_all(spark):
     got = knn.exact_knn(frame(spark, np.array([[0.0, 0], [1, 0], [0, 1]])), 2, "cosine").where("i = 0").collect()
     assert [r["d"] for r in got] == [1.0, 1.0]
