@@ -15,9 +15,10 @@ ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 KINDS = ("assign", "access", "hex")
-USER = r"(?i)(?<![a-z])(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._@-]{3,64}"
-BLOB = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,63}[0-9])(?=[A-Za-z0-9+/]{0,63}[A-Z])(?=[A-Za-z0-9+/]{0,63}[a-z])[A-Za-z0-9+/]{20,}+={0,2}"
-ENDPOINT = r"(?i)(?<![a-z])(?:https?|s3|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftps?|ssh)://[^\s\"'<>]{4,200}"
+USER = r"(?i)(?<![a-z])(?<!secret_)(?:user(?:_?name)?|login|account(?:_?name)?|client_?id|access_?key(?:_?id)?)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._@-]{3,64}"
+# '=' may stand before a blob, but not as the padding of another. Each class is looked for in the whole run, from its start only.
+BLOB = r"(?<![A-Za-z0-9+/])(?<![A-Za-z0-9+/]{20}==)(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{20,}+={0,2}"
+ENDPOINT = r"(?i)(?<![a-z])(?:https?|s3|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftps?|ssh)://[^\s\"'<>]{4,}+"
 #: Roles of parts: 0 identifier, 1 secret, 2 endpoint. (kind, role, strong)
 PARTS = {"access": (0, True), "user": (0, False), "assign": (1, True), "short": (1, False), "blob": (1, False), "endpoint": (2, False)}
 WEAK = ("user", "short", "blob", "endpoint")
