@@ -1,6 +1,6 @@
 """Personal data: patterns for known kinds, and bootstrapped contextual extraction, by DataFrame functions only.
 
-The known kinds are seeds. Lexical patterns are the labels that stand before values (``label:``, ``label =``, ``label #``). A table of (pattern, value) pairs with counts over all documents is a bipartite graph; in each round a pattern's score is the share of its occurrences whose values are trusted, and a value's score grows with the scores of its patterns. Values that look like identifiers and stand behind patterns of high score are reported as kind ``context``, though they are of no known kind.
+The known kinds are seeds. Lexical patterns are the labels that stand before values (``label:``, ``label =``, ``label #``), and the one to three words before or after seeds and other identifiers. A table of (pattern, value) pairs with counts over all documents is a bipartite graph; in each round a pattern's score is the share of its occurrences whose values are trusted, its support the number of different trusted values, and values behind patterns of enough of both are trusted in the next round, so that they lend support to patterns of their own. Values that look like identifiers and stand behind patterns of high score are reported as kind ``context``, though they are of no known kind.
 """
 
 from __future__ import annotations
@@ -18,10 +18,16 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"  # [0-9]([\x20-]?[0-9])+
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: ``label`` and ``:``, ``=`` or ``#``, then a value.
-CONTEXT = r"(?<![A-Za-z])[A-Za-z][A-Za-z_.-]{1,23}+\x20?[:=#]\x20?[\"'(]?[A-Za-z0-9+][^\s\"'<>,;]{0,63}"
+CONTEXT = r"(?<![A-Za-z])[A-Za-z][A-Za-z_.-]{1,23}+\x20?[:=#]\x20?[\"'(]?[A-Za-z0-9+][^\s\"'<>,;]*+"
 LABEL = r"^([A-Za-z][A-Za-z_.-]*\x20?[:=#])"
+#: Punctuation that isn't part of a value.
+ENDING = r"[.)!?:]+$"
 VALUE_AT = r"^[A-Za-z][A-Za-z_.-]*\x20?[:=#]\x20?[\"'(]?"
-#: Different seeds that a pattern needs, its least score, and rounds.
+#: What looks like an identifier: a run with four digits or more.
+IDENTIFIER = r"(?<![^\s\"'(<>,;:=#])[A-Za-z0-9+](?=(?:[^\s\"'<>,;0-9]*+[0-9]){3})[^\s\"'<>,;]*+"
+#: A word of prose beside a value, and how many code points are looked at on either side.
+WORD, BESIDE = r"\p{L}[\p{L}'-]*+[:,.]?", 120
+#: Different trusted values that a pattern needs, its least score, and rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
 
 
@@ -52,7 +58,7 @@ def is_ip(value: Column) -> Column:
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
-    """Columns ``email``, ``ip``, ``card`` and ``phone`` of spans, and ``context`` of labelled values."""
+    """Columns ``email``, ``ip``, ``card`` and ``phone`` of spans, ``context`` of labelled values and ``other`` of what looks like an identifier."""
     t = F.col(text)
     kinds = {
         "email": (EMAIL, t.contains("@")),
@@ -60,40 +66,93 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
         "card": (CARD, t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")),
         "phone": (PHONE, t.contains("+")),
         "context": (CONTEXT, t.rlike("[:=#]")),
+        "other": (IDENTIFIER, t.rlike("[0-9]")),
     }
-    keep = {"ip": is_ip, "card": is_card, "phone": lambda v: F.length(_digits(v)).between(10, 15)}
+    keep = {"ip": is_ip, "card": is_card, "phone": lambda v: F.length(_digits(v)).between(10, 15), "other": lambda v: F.length(_digits(v)) >= 4}
     return with_spans(df, text, kinds, keep)
 
 
-def discovered(spans: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """``(_uid, added)``: spans of identifiers found by context in each document that has some.
+def in_prose(spans: Column, text: Column) -> Column:
+    """Spans with ``patterns``: the last one to three words before each and the first after it, lower-cased."""
+
+    def patterns(s: Column) -> Column:
+        start, end = s["start"].cast("int"), s["end"].cast("int")
+        first = F.greatest(start - BESIDE, F.lit(0))
+        before = F.regexp_replace(F.lower(F.substring(text, first + 1, start - first)), r"\s+", " ")
+        after = F.regexp_replace(F.lower(F.substring(text, end + 1, F.lit(BESIDE))), r"\s+", " ")
+        out = []
+        for n in (1, 2, 3):
+            words = rf"{WORD}(?:\x20{WORD}){{{n - 1}}}"
+            out.append(F.concat(F.lit("< "), F.regexp_extract(before, rf"(?<!\S)({words})\x20[\"'(]?$", 1)))
+            out.append(F.concat(F.lit("> "), F.regexp_extract(after, rf"^[\"').,;:!?]*\x20({words})(?!\S)", 1)))
+        return F.filter(F.array(*out), lambda p: F.length(p) > 2)
+
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), patterns(s).alias("patterns")))
+
+
+def occurrences(spans: DataFrame) -> DataFrame:
+    """``(_uid, label, value, start, end, seed)``: values by the patterns beside them.
 
-    spans: ``_uid``, ``seeds`` (spans of known kinds) and ``context`` (labelled values); a labelled value that overlaps a seed stands for it. Counts are over all documents; pairs are aggregated before they are moved, so that a label that stands everywhere is no hot key.
+    A labelled value that overlaps a seed stands for it; other identifiers that do are left out, since the seed has its own words.
     """
+    seed = F.get(F.filter("seeds", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0))
     each = spans.select("_uid", "seeds", F.explode("context").alias("c"))
     lead = F.length(F.regexp_extract("c.value", VALUE_AT, 0))
-    value = F.regexp_replace(F.regexp_replace("c.value", VALUE_AT, ""), r"[.)!?:]+$", "")
+    value = F.regexp_replace(F.regexp_replace("c.value", VALUE_AT, ""), ENDING, "")
     each = each.select(
         "_uid", "seeds", F.lower(F.regexp_replace(F.regexp_extract("c.value", LABEL, 1), r"\x20", "")).alias("label"),
         value.alias("value"), (F.col("c.start") + lead).alias("start"),
     ).withColumn("end", F.col("start") + F.length("value"))
-    seed = F.get(F.filter("seeds", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0))
     each = each.where("end > start").withColumn("_seed", seed["value"])
-    each = durable(each.select("_uid", "label", F.coalesce("_seed", "value").alias("value"), "start", "end", F.col("_seed").isNotNull().alias("seed")))
-    edges = each.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed"))
-    # Labels that never stand before enough seeds can't become patterns; the others keep all their pairs.
-    able = edges.groupBy("label").agg(F.sum("seed").alias("support")).where(F.col("support") >= support).select("label")
-    edges = durable(edges.join(able, "label").withColumn("like", F.length(_digits(F.col("value"))) >= 4))
+    labelled = each.select("_uid", "label", F.coalesce("_seed", "value").alias("value"), "start", "end", F.col("_seed").isNotNull().alias("seed"))
+    known = spans.select("_uid", F.explode("seeds").alias("c")).select("_uid", F.explode("c.patterns").alias("label"), "c.value", "c.start", "c.end", F.lit(True).alias("seed"))
+    other = spans.select("_uid", "seeds", F.explode("other").alias("c"))
+    other = other.select("_uid", "seeds", F.col("c.patterns").alias("patterns"), F.regexp_replace("c.value", ENDING, "").alias("value"), F.col("c.start").alias("start")).withColumn("end", F.col("start") + F.length("value"))
+    other = other.where(seed.isNull()).select("_uid", F.explode("patterns").alias("label"), "value", "start", "end", F.lit(False).alias("seed"))
+    return labelled.unionByName(known).unionByName(other)
+
+
+def standing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(label, total)``: how often the words of ``patterns (label)`` stand in ``texts (text)``, beside whatever."""
+    words = texts.select(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
+
+    def joined(n: int) -> Column:
+        out = F.col("w")
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice("w", F.lit(k + 1), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.filter(out, lambda g: g.isNotNull())
+
+    sought = patterns.select("label", F.substring("label", 3, 1 << 20).alias("words"))
+    met = words.select(F.explode(F.concat(*[joined(n) for n in (1, 2, 3)])).alias("words")).join(F.broadcast(sought.select("words").distinct()), "words")
+    return sought.join(met.groupBy("words").agg(F.count(F.lit(1)).alias("total")), "words").select("label", "total")
+
+
+def discovered(spans: DataFrame, texts: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """``(_uid, added)``: spans of identifiers found by context in each document that has some.
+
+    spans: ``_uid``, ``seeds`` (spans of known kinds) and ``other`` (identifiers), both with ``patterns``, and ``context`` (labelled values). Counts are over all documents; pairs are aggregated before they are moved, so that a pattern that stands everywhere is no hot key. texts: ``text`` of all documents.
+    """
+    each = durable(occurrences(spans))
+    edges = each.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")).withColumn("like", F.length(_digits(F.col("value"))) >= 4)
+    # Patterns beside fewer values than they need, were all trusted, can't count in any round; the others keep all their pairs.
+    able = edges.groupBy("label").agg(F.sum((F.col("like") | (F.col("seed") == 1)).cast("int")).alias("most")).where(F.col("most") >= support).select("label")
+    # Words of prose stand before other words too, as labels do before words: their score is a share of all places
+    prose = durable(able.where(F.col("label").rlike("^[<>] ")))
+    edges = durable(edges.join(able, "label").join(standing(texts, prose), "label", "left"))
+    most = edges.groupBy("label").agg((F.sum("n") >= confidence * F.coalesce(F.max("total"), F.lit(0))).alias("may")).where("may").select("label")
+    edges = durable(edges.join(most, "label"))
     scored = edges.withColumn("s", F.col("seed").cast("double"))
+
+    def patterns(scored: DataFrame) -> DataFrame:
+        sure = F.sum((F.col("s") >= confidence).cast("int"))
+        of = scored.groupBy("label").agg((F.sum(F.col("n") * F.col("s")) / F.greatest(F.sum("n"), F.max("total"))).alias("p"), sure.alias("support"))
+        return of.where((F.col("p") >= confidence) & (F.col("support") >= support)).select("label", "p")
+
     for _ in range(rounds):
-        patterns = scored.groupBy("label").agg((F.sum(F.col("n") * F.col("s")) / F.sum("n")).alias("p"))
-        trusted = edges.join(patterns, "label").groupBy("value").agg(F.max("p").alias("p"))
-        scored = durable(
-            edges.join(trusted, "value").withColumn("s", F.when(F.col("seed") == 1, 1.0).when(F.col("like") & (F.col("p") >= confidence), F.col("p")).otherwise(0.0)).drop("p")
-        )
-    patterns = scored.groupBy("label").agg((F.sum(F.col("n") * F.col("s")) / F.sum("n")).alias("p"))
-    sure = scored.where((F.col("s") >= confidence) & F.col("like")).join(patterns.where(F.col("p") >= confidence), "label").select("label", "value")
-    new = each.where(~F.col("seed")).join(sure, ["label", "value"])
+        trusted = edges.join(patterns(scored), "label").where("like").groupBy("value").agg(F.max("p").alias("p"))
+        scored = durable(edges.join(trusted, "value", "left").withColumn("s", F.when(F.col("seed") == 1, 1.0).when(F.col("like") & F.col("p").isNotNull(), F.col("p")).otherwise(0.0)).drop("p"))
+    sure = scored.where((F.col("s") >= confidence) & F.col("like")).join(patterns(scored), "label").select("label", "value")
+    new = each.where(~F.col("seed")).join(sure, ["label", "value"]).select("_uid", "start", "end").distinct()
     span = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("context").alias("kind"))
     return new.groupBy("_uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
 
@@ -105,11 +164,11 @@ def personal_data(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     """
     columns = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    found = base_spans(rows, "_text").drop("_text")
+    found = base_spans(rows, "_text")
     base = F.concat(*[coded(F.col(k), k, i) for i, k in enumerate(KINDS)])
-    found = found.select("_row", F.array_sort(base).alias("base"), F.concat(*KINDS).alias("seeds"), "context", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
+    found = found.select("_row", F.array_sort(base).alias("base"), in_prose(F.concat(*KINDS), F.col("_text")).alias("seeds"), "context", in_prose(F.col("other"), F.col("_text")).alias("other"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
     found = durable(found.withColumn("_uid", F.monotonically_increasing_id()))
-    extra = discovered(found.select("_uid", "seeds", "context"))
+    extra = discovered(found.select("_uid", "seeds", "context", "other"), rows.select(F.col("_text").alias("text")))
     out = found.join(extra, "_uid", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(CODED)))))
     return out.select("_row.*", F.struct("base", "spans", *[f"n_{k}" for k in KINDS]).alias("_found"))
 

@@ -363,6 +363,27 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[11]["spans"] == got[12]["spans"] == ""
 
 
+def test_words_beside_seeds_become_patterns_and_spread(spark):
+    from canopy.llm.pii import detect
+
+    rows = [f"you can call me at +1 (555) 555-01{i} any day" for i in range(10, 50)]
+    # Found behind "call me at"; their own words, met with no seed, find the last one
+    rows += [f"call me at 88120{i}77 or by post" for i in range(8)] + [f"old number 88120{i}77 was dropped" for i in range(8)]
+    rows += ["old number 7712345 was dropped", "a lot of 7654321 pieces"]
+    got = by_id(detect(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], DOCS)))
+    found = [[rows[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i]["spans"].split(",") if s) if k == "context"] for i in range(len(rows))]
+    assert found[40:57] == [[f"88120{i}77"] for i in range(8)] * 2 + [["7712345"]]
+    assert not any(found[:40] + found[57:])
+
+
+def test_labelled_values_run_to_their_end(spark):
+    from canopy.llm.pii import detect
+
+    rows = [f"phone: +1 (555) 555-010{i} now" for i in range(20)] + ["phone: " + "5" * 90]
+    got = by_id(detect(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], DOCS)))
+    assert got[20]["spans"] == "context:7:97"
+
+
 def test_weak_credentials_need_company(spark):
     from canopy.llm.secrets import scan
 
