@@ -1,6 +1,8 @@
 """Packing documents into sequences: a grouping genetic algorithm on islands.
 
 Documents are dealt by hash into blocks of bounded size. Each island evolves a population of packings of a block: a crossover takes whole well-filled bins of one parent, drops the other parent's bins that share documents with them, and best-fits the documents displaced. After each epoch every island hands its elite to the next one. Islands are tasks, epochs are jobs; only lengths and assignments move.
+
+A block wastes part of a sequence whatever its packing, so full sequences of each block's elite stay, and what is in the others goes to the next level, where the remains of several blocks make up a new one. Levels shrink by about three quarters each.
 """
 
 from __future__ import annotations
@@ -8,7 +10,8 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -34,18 +37,19 @@ class Encoder:
         import tiktoken
 
         tokens, self.added = vocabulary(spec)
-        self.bpe = tiktoken.Encoding("own", pat_str=r"\s+|\S+", mergeable_ranks=tokens, special_tokens={})._core_bpe
+        # The pattern takes a piece as it is: pieces are cut before
+        self.bpe = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=tokens, special_tokens={})
         self.known: dict[bytes, list[int]] = {}
 
     def _ids(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all distinct pieces, joined, and their n + 1 bounds."""
         if len(self.known) > CACHED:
             self.known.clear()
-        known, merge, rows = self.known, self.bpe.encode_single_piece, []
+        known, merge, rows = self.known, self.bpe.encode_ordinary, []
         for piece in vocab.to_pylist():
             ids = known.get(piece)
             if ids is None:
-                ids = known[piece] = merge(piece)
+                ids = known[piece] = merge(piece.decode())
             rows.append(ids)
         bounds = np.zeros(len(rows) + 1, np.int64)
         np.cumsum([len(r) for r in rows], out=bounds[1:])
@@ -210,21 +214,26 @@ def _bins(assigned: np.ndarray) -> list[list[int]]:
     return out
 
 
-def pack(
-    docs: DataFrame, spec: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text",
-    block_items: int = 2048, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 4, seed: int = 7,
-) -> DataFrame:
-    """Pack whole documents into sequences of at most ``capacity`` tokens.
+@dataclass(frozen=True)
+class Evolution:
+    """How islands of a level evolve: individuals of each, generations of an epoch, epochs."""
 
-    Returns ``(id, piece, start, length, ids_crc32, sequence_id, offset)``, a row for each piece. A document's ids are followed by ``end_id``, so that null and empty texts take one token. Only longer documents are cut; all pieces but the first have ``capacity`` ids. Full pieces are sequences of their own. Repeated rows are packed like others; an empty table gives no rows; other columns don't matter.
+    population: int = 4
+    generations: int = 4
+    epochs: int = 2
+    islands: int = 2
+
+
+#: The first level has nearly all pieces; later ones are small and get more generations.
+FIRST, LATER = Evolution(), Evolution(6, 10)
+#: Levels at most. Each packs what sequences that aren't full hold at the level before.
+LEVELS = 4
+ELITE = "block long, island int, bins int, fill double, assigned array<int>"
 
-    Blocks hold about ``block_items`` pieces each, whatever the number or likeness of the documents, because rows are dealt by a number that no two share.
-    """
-    all_pieces = durable(pieces(docs, spec, end_id, capacity, id_col, text_col))
-    full, short = all_pieces.where(F.col("length") == capacity), all_pieces.where(F.col("length") < capacity)
-    n_blocks = max(1, -(-short.count() // block_items))
-    short = short.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(n_blocks)))
-    lengths = short.select("block", "uid", "length").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
+
+def _elites(lengths: DataFrame, capacity: int, how: Evolution, seed: int) -> DataFrame:
+    """``(block, assigned)``: the best packing that the islands of each block of ``(block, uid, length)`` have found."""
+    spread = lengths.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(how.islands)])))
 
     def grow(epoch: int, key, items: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
         if not len(items):
@@ -232,34 +241,63 @@ def pack(
         items = items.sort_values(["length", "uid"], ascending=[False, True])
         sizes = items["length"].tolist()
         guest = _bins(np.asarray(guests["assigned"].iloc[0])) if len(guests) else None
-        best = evolve(sizes, capacity, hash((seed, int(key[0]), int(key[1]), epoch)), guest, population, generations)
+        best = evolve(sizes, capacity, hash((seed, int(key[0]), int(key[1]), epoch)), guest, how.population, how.generations)
         bins, fill = fitness(sizes, best, capacity)
         return pd.DataFrame({"block": [key[0]], "island": [key[1]], "bins": [-bins], "fill": [fill], "assigned": [_assigned(best, len(sizes))]})
 
     def in_epoch(epoch: int):
         return lambda key, items, guests: grow(epoch, key, items, guests)
 
-    elite_type = "block long, island int, bins int, fill double, assigned array<int>"
-    elites = durable(lengths.groupBy("block", "island").applyInPandas(lambda key, items: grow(0, key, items, items.iloc[:0]), elite_type))
-    for epoch in range(1, epochs):
-        moved = elites.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
-        elites = durable(
-            lengths.groupBy("block", "island").cogroup(moved.groupBy("block", "island"))
-            .applyInPandas(in_epoch(epoch), elite_type)
-        )
-    best = elites.groupBy("block").agg(F.max_by("assigned", F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("assigned"))
+    elites = durable(spread.groupBy("block", "island").applyInPandas(lambda key, items: grow(0, key, items, items.iloc[:0]), ELITE))
+    for epoch in range(1, how.epochs):
+        moved = elites.withColumn("island", F.pmod(F.col("island") + 1, F.lit(how.islands)).cast("int"))
+        elites = durable(spread.groupBy("block", "island").cogroup(moved.groupBy("block", "island")).applyInPandas(in_epoch(epoch), ELITE))
+    return elites.groupBy("block").agg(F.max_by("assigned", F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("assigned"))
+
+
+def _placing(level: int, last: bool, capacity: int):
+    """Sequence and offset of each piece of a block, and whether its sequence stays as it is."""
 
     def place(key, items: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["length", "uid"], ascending=[False, True])
         assigned = np.asarray(chosen["assigned"].iloc[0]) if len(items) else np.zeros(0, int)
-        items["sequence_id"] = (int(key[0]) << 24) + assigned.astype(np.int64)
-        items["offset"] = items.groupby("sequence_id")["length"].cumsum() - items["length"]
-        return items[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        # 3 bits for the level, 36 for the block and 24 for the sequence in it
+        items["sequence_id"] = (level << 60) + (int(key[0]) << 24) + assigned.astype(np.int64)
+        bins = items.groupby("sequence_id")["length"]
+        items["offset"] = bins.cumsum() - items["length"]
+        items["stays"] = last | (bins.transform("sum") == capacity)
+        return items[["uid", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "stays"]]
 
+    return place
+
+
+def pack(
+    docs: DataFrame, spec: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text",
+    block_items: int = 2048, first: Evolution = FIRST, later: Evolution = LATER, levels: int = LEVELS, seed: int = 7,
+) -> DataFrame:
+    """Pack whole documents into sequences of at most ``capacity`` tokens.
+
+    Returns ``(id, piece, start, length, ids_crc32, sequence_id, offset)``, a row for each piece. A document's ids are followed by ``end_id``, so that null and empty texts take one token. Only longer documents are cut; all pieces but the first have ``capacity`` ids, however long the text. Full pieces are sequences of their own. Pieces of one length, and repeated rows, are told apart by a number of their own and packed like others; an empty table gives no rows; other columns don't matter.
+
+    Blocks hold about ``block_items`` pieces each, whatever the number or likeness of the documents, because rows are dealt by a number that no two share. After ``levels`` levels, or once there is but one block, all sequences stay as they are.
+    """
+    all_pieces = durable(pieces(docs, spec, end_id, capacity, id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = short.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(
-        place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
-    alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out = placed.unionByName(alone)
-    return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)
+    full = all_pieces.where(F.col("length") == capacity)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    done = [full.withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")}).select(*columns)]
+    left = all_pieces.where(F.col("length") < capacity)
+    for level in range(levels):
+        n_blocks = max(1, -(-left.count() // block_items))
+        dealt = left.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "uid"), F.lit(n_blocks)))
+        best = _elites(dealt.select("block", "uid", "length"), capacity, later if level else first, seed + level)
+        last = n_blocks == 1 or level == levels - 1
+
+        out = f"{PIECES.format(kind)}, sequence_id long, offset long, stays boolean"
+        placed = durable(dealt.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(_placing(level, last, capacity), out))
+        done.append(placed.where("stays").select(*columns))
+        if last:
+            break
+        left = placed.where("NOT stays").select("uid", *columns[:5])
+    packed = reduce(DataFrame.unionByName, done)
+    return packed if id_col == "doc_id" else packed.withColumnRenamed("doc_id", id_col)
