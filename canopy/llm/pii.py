@@ -18,13 +18,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"  # [0-9]([\x20-]?[0-9])+
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: ``label`` and ``:``, ``=`` or ``#``, then a value.
-CONTEXT = r"(?<![A-Za-z])[A-Za-z][A-Za-z_.-]{1,23}+\x20?[:=#]\x20?[\"'(]?[A-Za-z0-9+][^\s\"'<>,;]*+"
+CONTEXT = r"(?<![A-Za-z])[A-Za-z][A-Za-z_.-]++\x20?[:=#]\x20?[\"'(]?[A-Za-z0-9+@][^\s\"'<>,;]*+"
 LABEL = r"^([A-Za-z][A-Za-z_.-]*\x20?[:=#])"
 #: Punctuation that isn't part of a value.
 ENDING = r"[.)!?:]+$"
 VALUE_AT = r"^[A-Za-z][A-Za-z_.-]*\x20?[:=#]\x20?[\"'(]?"
-#: What looks like an identifier: a run with four digits or more.
-IDENTIFIER = r"(?<![^\s\"'(<>,;:=#])[A-Za-z0-9+](?=(?:[^\s\"'<>,;0-9]*+[0-9]){3})[^\s\"'<>,;]*+"
+#: What looks like an identifier: a run with four digits or more, or a handle, ``@`` and three characters or more.
+IDENTIFIER = r"(?<![^\s\"'(<>,;:=#])(?:@[A-Za-z0-9_.]{3,}+|[A-Za-z0-9+](?=(?:[^\s\"'<>,;0-9]*+[0-9]){3})[^\s\"'<>,;]*+)"
 #: A word of prose beside a value, and how many code points are looked at on either side.
 WORD, BESIDE = r"\p{L}[\p{L}'-]*+[:,.]?", 120
 #: Different trusted values that a pattern needs, its least score, and rounds.
@@ -35,6 +35,11 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def identifying(value: Column) -> Column:
+    """Whether a value can be one that contexts find: four digits or more, or a handle."""
+    return (F.length(_digits(value)) >= 4) | value.rlike(r"^@[A-Za-z0-9_.]{3}")
+
+
 def luhn(digits: Column) -> Column:
     """Whether the check digit is right."""
     n = F.length(digits)
@@ -66,9 +71,9 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
         "card": (CARD, t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")),
         "phone": (PHONE, t.contains("+")),
         "context": (CONTEXT, t.rlike("[:=#]")),
-        "other": (IDENTIFIER, t.rlike("[0-9]")),
+        "other": (IDENTIFIER, t.rlike("[0-9@]")),
     }
-    keep = {"ip": is_ip, "card": is_card, "phone": lambda v: F.length(_digits(v)).between(10, 15), "other": lambda v: F.length(_digits(v)) >= 4}
+    keep = {"ip": is_ip, "card": is_card, "phone": lambda v: F.length(_digits(v)).between(10, 15), "other": identifying}
     return with_spans(df, text, kinds, keep)
 
 
@@ -133,7 +138,7 @@ def discovered(spans: DataFrame, texts: DataFrame, support: int = SUPPORT, confi
     spans: ``_uid``, ``seeds`` (spans of known kinds) and ``other`` (identifiers), both with ``patterns``, and ``context`` (labelled values). Counts are over all documents; pairs are aggregated before they are moved, so that a pattern that stands everywhere is no hot key. texts: ``text`` of all documents.
     """
     each = durable(occurrences(spans))
-    edges = each.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")).withColumn("like", F.length(_digits(F.col("value"))) >= 4)
+    edges = each.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")).withColumn("like", identifying(F.col("value")))
     # Patterns beside fewer values than they need, were all trusted, can't count in any round; the others keep all their pairs.
     able = edges.groupBy("label").agg(F.sum((F.col("like") | (F.col("seed") == 1)).cast("int")).alias("most")).where(F.col("most") >= support).select("label")
     # Words of prose stand before other words too, as labels do before words: their score is a share of all places
@@ -174,7 +179,10 @@ def personal_data(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of each document."""
+    """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of each document.
+
+    Null and empty texts have no spans; long texts and long values are searched whole. Spans that begin together go by kind; of a kind none overlap. Repeated rows are searched each; an empty table gives no rows; other columns don't matter.
+    """
     found = personal_data(docs, text_col, [id_col])
     return found.select(id_col, *[f"_found.n_{k}" for k in KINDS], F.sha2(listed(F.col("_found.base")), 256).alias("base_sha256"), listed(F.col("_found.spans")).alias("spans"))
 

@@ -1,6 +1,6 @@
 """Secrets, and multipart credentials linked by interval joins, by DataFrame functions only.
 
-Strong findings (assigned secrets, access keys, long hex runs) are reported as they are. Weak parts — user names or key ids, short or unlabelled secrets, endpoints — are reported only where complementary parts stand within ``REACH`` code points of each other in a document: a weak identifier with a secret, a weak secret with an identifier or endpoint, an endpoint with a secret. Parts are joined on document and interval bucket, so a join meets only neighbours.
+Strong findings (assigned secrets, access keys, long hex runs) are reported as they are. Weak parts — user names or key ids, short or unlabelled secrets, endpoints — are reported only where complementary parts stand in one scope: a weak identifier with a secret, a weak secret with an identifier or endpoint, an endpoint with a secret. The scope of a part is the interval from ``REACH`` code points before it to ``REACH`` after it, so two parts are in one scope if at most that many code points lie between them, however long they are. The interval join goes by document and bucket of ``REACH`` code points: a weak part stands in all buckets of its scope, the other in all buckets of its own interval, and a bucket holds parts of a few hundred code points only.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 KINDS = ("assign", "access", "hex")
-USER = r"(?i)(?<![a-z])(?<!secret_)(?:user(?:_?name)?|login|account(?:_?name)?|client_?id|access_?key(?:_?id)?)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._@-]{3,64}"
+USER = r"(?i)(?<![a-z])(?<!secret_)(?:user(?:_?name)?|login|account(?:_?name)?|client_?id|access_?key(?:_?id)?)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._@-]{3,}+"
 # '=' may stand before a blob, but not as the padding of another. Each class is looked for in the whole run, from its start only.
 BLOB = r"(?<![A-Za-z0-9+/])(?<![A-Za-z0-9+/]{20}==)(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{20,}+={0,2}"
-ENDPOINT = r"(?i)(?<![a-z])(?:https?|s3|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftps?|ssh)://[^\s\"'<>]{4,}+"
+ENDPOINT = r"(?i)(?<![a-z])(?:https?|s3|jdbc:[a-z]{2,}+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftps?|ssh)://[^\s\"'<>]{4,}+"
 #: Roles of parts: 0 identifier, 1 secret, 2 endpoint. (kind, role, strong)
 PARTS = {"access": (0, True), "user": (0, False), "assign": (1, True), "short": (1, False), "blob": (1, False), "endpoint": (2, False)}
 WEAK = ("user", "short", "blob", "endpoint")
@@ -53,7 +53,7 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     parts = durable(found.where(F.size(roles) > 1).select("_uid", "base", F.explode(roles).alias("p")).select("_uid", "base", "p.*"))
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     weak = parts.where(F.col("kind").isin(*WEAK) & ~inside).select("_uid", "kind", "role", "start", "end", F.explode(F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))).alias("bucket"))
-    other = parts.select("_uid", F.floor(F.col("start") / reach).alias("bucket"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"))
+    other = parts.select("_uid", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))).alias("bucket"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"))
     near = weak.join(other, ["_uid", "bucket"]).where((F.col("o_start") <= F.col("end") + reach) & (F.col("o_end") >= F.col("start") - reach))
     complementary = F.when(F.col("role") == 1, F.col("o_role") != 1).otherwise(F.col("o_role") == 1)
     kept = near.where(complementary).select("_uid", "kind", "start", "end").distinct()
@@ -64,7 +64,7 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_assign, n_access, n_hex, base_sha256, spans)`` of each document.
 
-    Base kinds are found leftmost and without overlap, each by itself; assigned values of under 12 characters, access keys of under 18 and hex runs of under 16 are no findings. Null and empty texts have none. Repeated rows are searched each; an empty table gives no rows; other columns don't matter.
+    Base kinds are found leftmost and without overlap, each by itself; assigned values of under 12 characters, access keys of under 18 and hex runs of under 16 are no findings. Null and empty texts have none; long texts and long values are searched whole. Spans that begin together go by kind; repeated rows are searched each, since a number of its own tells each row apart; an empty table gives no rows; other columns don't matter.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = base_spans(rows, "_text").drop("_text")
