@@ -35,15 +35,18 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(c
 
 QUALITY = rf"""
 WITH {SPACE_WORDS},
-lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (regexp_matches(line, '^[\x20\t]*[*•‣-]\x20')) AS n_bulleted, count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\t\r]*$')) AS n_cut_off FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 windows AS (SELECT doc_id, p, array_to_string(ws[p : p + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM w WHERE len(ws) >= 8)),
 twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
 again AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM twice) GROUP BY doc_id),
+common AS (SELECT doc_id, max(c) AS top_word, sum(c) FILTER (regexp_matches(word, '\p{{L}}')) AS n_lettered FROM (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL) GROUP BY doc_id),
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
-  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_bulleted, 0) AS n_bulleted, coalesce(n_cut_off, 0) AS n_cut_off, coalesce(top_word, 0) AS top_word, coalesce(n_lettered, 0) AS n_lettered FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN common USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 4 * n_symbols > n_words OR word_chars NOT BETWEEN 2 * n_words AND 25 * n_words OR 2 * n_dup_lines > n_lines) AS kept FROM f"""
+  NOT (base_failed OR 4 * n_symbols > n_words OR word_chars NOT BETWEEN 2 * n_words AND 25 * n_words OR 2 * n_dup_lines > n_lines
+  OR 2 * n_lettered < n_words OR 10 * n_bulleted > 9 * n_lines OR 10 * n_cut_off > 3 * n_lines OR 10 * top_word > 3 * n_words) AS kept FROM f"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": DECONTAMINATION,

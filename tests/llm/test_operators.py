@@ -438,6 +438,34 @@ def test_quality(docs, texts, spark):
     assert {r["doc_id"] for r in keep_good(docs).collect()} == {i for i, r in got.items() if r["kept"]}
     junk = spark.createDataFrame([(0, "word### " * 9 + " ".join(f"a{i}$$$" for i in range(40)), "en", "s", 0)], DOCS)
     assert not assess(junk).first()["kept"]
+    clean = " ".join(f"word{chr(97 + i)}" for i in range(26))
+    others = {"12345 " * 1 + " ".join(str(i) for i in range(40)): False, "\n".join(f"- item {w}" for w in clean.split()): False, "\n".join(f"{w} and {w}o ..." for w in clean.split()): False,
+              " ".join(f"yes {w}" for w in clean.split()): False, clean: True}
+    got = by_id(assess(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(others)], DOCS)))
+    assert [got[i]["kept"] for i in range(len(others))] == list(others.values())
+
+
+def test_rules_are_asked_of_survivors_only(docs, spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from canopy.llm import quality
+
+    asked_of_long_texts_only = quality.Rule("dear", lambda m: F.when(m["n_words"] < 20, F.raise_error(F.lit("asked of a rejected document")).cast("boolean")).otherwise(F.lit(False)), "n_words")
+    monkeypatch.setitem(quality.RULES, "dear", asked_of_long_texts_only)
+    monkeypatch.setattr(quality, "order_of_rules", lambda docs, text_col="text", rules=quality.RULES: [n for n in ("short", "repeats", "symbols", "dear") if n in rules])
+    assert quality.assess(docs).where("kept").count() > 0
+    assert quality.keep_good(docs).count() > 0
+    monkeypatch.setattr(quality, "order_of_rules", lambda docs, text_col="text", rules=quality.RULES: ["dear", "short"])
+    with pytest.raises(Exception, match="asked of a rejected"):
+        quality.keep_good(docs).count()
+
+
+def test_order_of_rules_is_by_rejections_per_cost(docs):
+    from canopy.llm import quality
+
+    order = quality.order_of_rules(docs, sample=10)
+    assert sorted(order) == sorted(quality.RULES)
+    assert order.index("short") < order.index("repeats")  # it rejects more and costs less
 
 
 def test_sharding(docs, texts):
