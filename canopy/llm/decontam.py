@@ -1,12 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of segments. A segment covers some documents (a few MB of text) and holds their words' postings: sorted distinct terms, and for each the rising positions at which it stands. Test phrases are looked up in every segment: the list of a phrase's rarest term, shifted by the term's offset, is intersected with the shifted lists of its other terms in rising order of length. Segments are independent, so nothing is shuffled.
+The index is a table of segments. A segment covers some documents (a few MB of text) and holds their words' postings: sorted distinct terms, and for each the rising positions at which it stands. Test phrases are looked up in every segment: the list of a phrase's rarest term, shifted by the term's offset, is intersected with the shifted lists of its other terms in rising order of length. Segments are independent, so nothing is shuffled. Proximity matches begin likewise: at the places of an item's rarest term, whose lists are those of the rarest words in the test set, the others are looked for some words to either side.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,15 @@ from canopy.llm.text import ALNUM_WORDS, by_block, segments, split_words, then_g
 BLOCK_WORDS = 200_000
 #: Candidates intersected at once in a segment.
 CANDIDATES = 1 << 20
+#: Terms of an item, the rarest in the test set, that stand within so many words in a proximity match.
+NEAR_TERMS, SLOP = 4, 10
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments ``(ids, n_words, terms, bounds, positions)``, written to shared storage.
+    """Segments ``(segment, ids, n_words, terms, bounds, positions)``, written to shared storage.
 
     ``positions[bounds[t]:bounds[t + 1]]`` are those of ``terms[t]``; document d has positions ``first[d] + 0 ..`` where ``first`` adds up ``n_words + 1``, so that no phrase crosses documents. Null and empty texts have no words.
     """
@@ -48,7 +55,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return durable(rows.mapInArrow(by_block("text", work), f"ids array<{kind}>, n_words array<int>, terms array<binary>, bounds array<int>, positions array<int>"))
+    made = rows.mapInArrow(by_block("text", work), f"ids array<{kind}>, n_words array<int>, terms array<binary>, bounds array<int>, positions array<int>")
+    return durable(made.select(F.monotonically_increasing_id().alias("segment"), "*"))
 
 
 @dataclass
@@ -122,57 +130,89 @@ class Segment:
             at = to
         return (np.concatenate(found_p), np.concatenate(found_s)) if found_p else (np.zeros(0, int), np.zeros(0, int))
 
-    def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest of the terms that have each of the others within ``slop`` words in the same document."""
-        terms = np.unique(terms)
-        if not len(terms) or (terms < 0).any():
-            return np.zeros(0, np.int64)
-        terms = terms[np.argsort(np.diff(self.bounds)[terms], kind="stable")]
-        at = self.positions[self.bounds[terms[0]] : self.bounds[terms[0] + 1]].astype(np.int64)
-        for t in terms[1:]:
-            doc = np.searchsorted(self.first, at, side="right") - 1
-            low, high = np.maximum(at - slop, self.first[doc]), np.minimum(at + slop, self.first[doc + 1] - 2)
-            others = self.positions[self.bounds[t] : self.bounds[t + 1]]
-            at = at[np.searchsorted(others, high, side="right") > np.searchsorted(others, low, side="left")]
-        return at
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
+    def near(self, terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``terms`` (numbers, an item's rarest first, -1 where there is none here) and positions of their first term that have each other term within ``slop`` words in the same document."""
+        here = np.flatnonzero((terms >= 0).all(axis=1)) if terms.size else np.zeros(0, np.int64)
+        load = np.cumsum(np.diff(self.bounds)[terms[here, 0]]) if len(here) else here
+        rows, places, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while at < len(here):
+            to = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + CANDIDATES, side="right")))
+            row, term = here[at:to], terms[here[at:to], 0]
+            count = self.bounds[term + 1] - self.bounds[term]
+            row = np.repeat(row, count)
+            place = self.positions[np.repeat(self.bounds[term], count) + segments(count)].astype(np.int64)
+            for k in range(1, terms.shape[1]):
+                doc = np.searchsorted(self.first, place, side="right") - 1
+                key = terms[row, k] << 32
+                low, high = key | np.maximum(place - slop, self.first[doc]), key | np.minimum(place + slop, self.first[doc + 1] - 2)
+                keep = np.searchsorted(self.keys, high, side="right") > np.searchsorted(self.keys, low, side="left")
+                row, place = row[keep], place[keep]
+            rows.append(row)
+            places.append(place)
+            at = to
+        return np.concatenate(rows), np.concatenate(places)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment]]:
+    """Segments with their numbers."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield Segment({name: batch.column(name)[i].values for name in batch.schema.names})
-
-
-def query_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, str | None]]]:
-    """Test items in blocks of bounded size; they reach the driver one block at a time."""
-    block, words = [], 0
-    for row in benchmark.select(id_col, text_col).toLocalIterator():
-        n = len((row[1] or "").split()) + 1
-        if block and words + n > block_words:
-            yield block
-            block, words = [], 0
-        block.append((row[0], row[1]))
-        words += n
+            yield batch.column("segment")[i].as_py(), Segment({name: batch.column(name)[i].values for name in batch.schema.names if name != "segment"})
+
+
+def with_rarest(benchmark: DataFrame, id_col: str, text_col: str, n: int = NEAR_TERMS) -> DataFrame:
+    """``(id, text, rare)``: the ``n`` words of each item that fewest items have, ties in order of bytes; none if it has fewer different words."""
+    words = F.array_distinct(F.filter(F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWERED), SEPARATORS), lambda w: w != ""))
+    items = durable(benchmark.select(F.monotonically_increasing_id().alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    each = items.select("at", F.explode(words).alias("t"))
+    spread = each.join(each.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "t")
+    rare = spread.groupBy("at").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "t"))), 1, n).alias("rare")).where(F.size("rare") == n)
+    return items.join(rare, "at", "left").select("id", "text", F.coalesce(F.transform("rare", lambda s: s["t"]), F.array().cast("array<string>")).alias("rare"))
+
+
+def query_blocks(items: DataFrame, block_words: int, window: int) -> Iterator[list[tuple[object, str, list[str]]]]:
+    """Test items ``(id, text, rare)`` in blocks of at most ``block_words`` words; they reach the driver one block at a time. Longer items are cut into parts that share ``window - 1`` words, so that each window is in one of them."""
+    block, held = [], 0
+    block_words = max(block_words, window)
+    for item, text, rare in items.toLocalIterator():
+        words = re.findall(WORD, (text or "").translate(str.maketrans(UPPER, LOWERED)))
+        step = block_words - window + 1
+        for at in range(0, max(1, len(words) - window + 1), step):
+            part = words[at : at + block_words]
+            if block and held + len(part) > block_words:
+                yield block
+                block, held = [], 0
+            block.append((item, " ".join(part), list(rare) if at == 0 else []))
+            held += len(part)
     yield block
 
 
-def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = 8, item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(id, n_words, items, spans)`` of each document: the items with a window in it, and the merged word ranges ``[start, end)`` that their occurrences cover.
+def matches(index: DataFrame, benchmark: DataFrame, window: int = 8, slop: int = SLOP, item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``(id, n_words, items, spans, near)`` of each document: the items with a window in it, the merged word ranges ``[start, end)`` that their occurrences cover, and the items whose rarest terms stand near each other.
 
-    Test items go to the executors in blocks of about ``block_words`` words, one pass over the index each.
+    Test items go to the executors in blocks of at most ``block_words`` words, one pass over the index each. The first pass returns every document, further ones only documents with a match.
     """
     spark = index.sparkSession
     kind = index.schema["ids"].dataType.elementType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     passes = []
-    for block in query_blocks(benchmark, item_col, item_text, block_words):
-        shared = spark.sparkContext.broadcast(([i for i, _ in block], phrases(block, window)))
+    for block in query_blocks(with_rarest(benchmark, item_col, item_text), block_words, window):
+        shared = spark.sparkContext.broadcast(([i for i, _, _ in block], phrases([(i, t) for i, t, _ in block], window), [r for _, _, r in block]))
 
-        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, wanted = shared.value
+        def look(batches: Iterator[pa.RecordBatch], shared=shared, whole=not passes) -> Iterator[pa.RecordBatch]:
+            names, wanted, rare = shared.value
+            ids_of = pa.array(names, item_type)
             length = (wanted.windows >= 0).sum(axis=1)
-            for number, segment in enumerate(_segments(batches)):
+            has = np.flatnonzero([len(r) > 0 for r in rare])
+            flat = [t.encode() for k in has.tolist() for t in rare[k]]
+
+            def lists(doc: np.ndarray, item: np.ndarray, docs: int) -> pa.Array:
+                pairs = np.unique(np.stack((doc, item)), axis=1)
+                bound = np.searchsorted(pairs[0], np.arange(docs + 1)).astype(np.int32)
+                return pa.ListArray.from_arrays(bound, ids_of.take(pa.array(pairs[1])))
+
+            for number, segment in _segments(batches):
                 docs = len(segment.ids)
                 which, start = segment.phrase(wanted)
                 change = np.zeros(int(segment.first[-1]) + 2, np.int32)
@@ -187,35 +227,25 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = 8, item
                 spans = pa.ListArray.from_arrays(bound, pa.StructArray.from_arrays([pa.array(opens - base), pa.array(closes - base)], names=["start", "end"]))
                 count = wanted.bounds[which + 1] - wanted.bounds[which]
                 item = wanted.items[np.repeat(wanted.bounds[which], count) + segments(count)]
-                doc = np.repeat(np.searchsorted(segment.first, start, side="right") - 1, count)
-                pairs = np.unique(np.stack((doc, item)), axis=1)
-                bound = np.searchsorted(pairs[0], np.arange(docs + 1)).astype(np.int32)
-                items = pa.ListArray.from_arrays(bound, (pa.array(names) if len(pairs[1]) else pa.array([], item_type)).take(pa.array(pairs[1])).cast(item_type))
-                yield pa.record_batch([segment.ids, pa.array(segment.n_words), items, spans], names=["id", "n_words", "items", "spans"])
+                items = lists(np.repeat(np.searchsorted(segment.first, start, side="right") - 1, count), item, docs)
+                row, place = segment.near(segment.numbers(flat)[:-1].reshape(len(has), -1) if len(has) else np.zeros((0, 1), np.int64), slop)
+                near = lists(np.searchsorted(segment.first, place, side="right") - 1, has[row] if len(row) else row, docs)
+                out = pa.record_batch([pa.array(np.full(docs, number)), pa.array(np.arange(docs)), segment.ids, pa.array(segment.n_words), items, spans, near], names=["_segment", "_row", "id", "n_words", "items", "spans", "near"])
+                yield out if whole else out.take(pa.array(np.flatnonzero((np.diff(bound) > 0) | (pc.list_value_length(near).to_numpy(zero_copy_only=False) > 0))))
 
         passes.append(look)
-    out = f"id {kind}, n_words long, items array<{item_kind}>, spans array<struct<start:long,end:long>>"
+    out = f"_segment long, _row long, id {kind}, n_words long, items array<{item_kind}>, spans array<struct<start:long,end:long>>, near array<{item_kind}>"
+    first = index.mapInArrow(then_give_back(passes[0]), out)
     if len(passes) == 1:
-        return index.mapInArrow(then_give_back(passes[0]), out)
-    rows = durable(index.select(F.monotonically_increasing_id().alias("_segment"), "*"))
-    each = None
-    for look in passes:
-
-        def keyed(batches: Iterator[pa.RecordBatch], look=look) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    one = batch.slice(i, 1)
-                    for found in look(iter([one.drop_columns(["_segment"])])):
-                        n = found.num_rows
-                        key = one.column("_segment")[0].as_py()
-                        yield pa.record_batch([pa.array(np.full(n, key)), pa.array(np.arange(n)), *found.columns], names=["_segment", "_row", *found.schema.names])
-
-        part = rows.mapInArrow(then_give_back(keyed), f"_segment long, _row long, {out}")
-        each = part if each is None else each.unionByName(part)
-    joined = each.groupBy("_segment", "_row").agg(
-        F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
-    )
-    return joined.select("id", "n_words", "items", F.array_sort("spans").alias("spans"))
+        return first.drop("_segment", "_row")
+    further = reduce(DataFrame.unionByName, [index.mapInArrow(then_give_back(look), out) for look in passes[1:]])
+    more = further.groupBy("_segment", "_row").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("items", "spans", "near")])
+    joined = first.join(more, ["_segment", "_row"], "left")
+
+    def both(c: str) -> Column:
+        return F.array_distinct(F.concat(c, F.coalesce(f"_{c}", F.array().cast(first.schema[c].dataType)))).alias(c)
+
+    return joined.select("id", "n_words", both("items"), F.array_sort(both("spans")).alias("spans"), both("near"))
 
 
 def covered(spans: Column) -> Column:
@@ -230,27 +260,29 @@ def covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(id, n_words, n_hit, items, spans, contaminated)`` of each document.
+    """``(id, n_words, n_hit, items, spans, contaminated, near)`` of each document.
 
-    Words are lower-cased runs of digits, letters and non-ASCII. A document word inside an occurrence of an item's window is hit; ``contaminated``: windows of ``min_items`` items or more occur. Null and empty texts have no words; null or wordless items have no windows; repeated items count once for each id; an empty table on either side gives rows without hits, or none.
+    Words are lower-cased runs of digits, letters and non-ASCII. A document word inside an occurrence of an item's window is hit; ``contaminated``: windows of ``min_items`` items or more occur. ``near``: items of which the ``NEAR_TERMS`` words that are rarest in the benchmark stand within ``SLOP`` words of an occurrence of the rarest of them, in any order. Null and empty texts have no words; null or wordless items have no windows; long documents and items are looked at whole; repeated documents are looked at each, repeated items count once for each id; an empty table on either side gives rows without hits, or none; other columns don't matter.
     """
-    index = build_index(docs, id_col, text_col)
-    found = phrase_matches(index, benchmark, window, item_col, item_text)
+    found = matches(build_index(docs, id_col, text_col), benchmark, window, SLOP, item_col, item_text)
     return found.select(
         F.col("id").alias(id_col), "n_words", covered(F.col("spans")).alias("n_hit"), F.array_distinct("items").alias("items"), "spans",
-        (F.size(F.array_distinct("items")) >= min_items).alias("contaminated"),
+        (F.size(F.array_distinct("items")) >= min_items).alias("contaminated"), F.array_distinct("near").alias("near"),
     )
 
 
-def proximity_matches(index: DataFrame, queries: list[tuple[str, str]], slop: int = 10) -> DataFrame:
-    """``(query, id, position)``: where the rarest of a query's terms stands with all its other terms within ``slop`` words."""
+def proximity_matches(index: DataFrame, queries: list[tuple[str, str]], slop: int = SLOP) -> DataFrame:
+    """``(query, id, position)``: where a query's first word stands with all its other words within ``slop`` words, for queries ``(name, words)``. Queries without words match nothing; documents of equal ids give rows each."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment in _segments(batches):
-            for name, text in queries:
-                words = split_words(pa.array([text]), ALNUM_WORDS, lower=True)
-                at = segment.near(segment.numbers(words.vocab.to_pylist())[:-1], slop)
+        terms = [[w.encode() for w in dict.fromkeys(re.findall(WORD, text.translate(str.maketrans(UPPER, LOWERED))))] for _, text in queries]
+        width = max(map(len, terms), default=0)
+        for _, segment in _segments(batches):
+            for (name, _), own in zip(queries, terms, strict=True):
+                if not own:
+                    continue
+                _, at = segment.near(segment.numbers((own * width)[: max(width, len(own))])[:-1][None], slop)
                 doc = np.searchsorted(segment.first, at, side="right") - 1
                 yield pa.record_batch([pa.array([name] * len(at), pa.string()), segment.ids.take(pa.array(doc)), pa.array(at - segment.first[doc])], names=["query", "id", "position"])
 

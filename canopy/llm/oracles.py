@@ -15,14 +15,19 @@ SPACE_WORDS = f"w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, re
 
 DECONTAMINATION = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {alnum_words("text")} AS ws FROM documents),
-b AS (SELECT item_id, {alnum_words("text")} AS ws FROM benchmark),
+b AS MATERIALIZED (SELECT item_id, row_number() OVER () AS rid, {alnum_words("text")} AS ws FROM benchmark),
 win AS MATERIALIZED (SELECT DISTINCT item_id, least(8, len(ws)) AS n, array_to_string(ws[k : k + 7], ' ') AS g FROM b, range(1, 100000) r(k) WHERE len(ws) > 0 AND k <= greatest(1, len(ws) - 7)),
 sizes AS (SELECT DISTINCT n FROM win),
 hits AS MATERIALIZED (SELECT doc_id, p, n, item_id FROM (SELECT doc_id, n, p, array_to_string(ws[p : p + n - 1], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d), sizes WHERE p + n - 1 <= len(ws)) JOIN win USING (n, g)),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
-SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id),
+bt AS (SELECT DISTINCT item_id, rid, unnest(ws) AS t FROM b),
+rare AS MATERIALIZED (SELECT item_id, rid, t, r FROM (SELECT item_id, rid, t, row_number() OVER (PARTITION BY rid ORDER BY n, t) AS r, count(*) OVER (PARTITION BY rid) AS c FROM bt JOIN (SELECT t, count(*) AS n FROM bt GROUP BY t) USING (t)) WHERE r <= 4 AND c >= 4),
+pos AS MATERIALIZED (SELECT doc_id, t, p FROM (SELECT doc_id, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS p FROM d) WHERE t IN (SELECT t FROM rare)),
+beside AS (SELECT DISTINCT x.doc_id, f.item_id FROM rare f JOIN pos x ON f.r = 1 AND x.t = f.t JOIN rare o ON o.rid = f.rid AND o.r > 1 JOIN pos y ON y.doc_id = x.doc_id AND y.t = o.t AND y.p BETWEEN x.p - 10 AND x.p + 10 GROUP BY f.rid, f.item_id, x.doc_id, x.p HAVING count(DISTINCT o.r) = 3),
+near AS (SELECT doc_id, count(*) AS n_near FROM beside GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 SUBSTRINGS = f"""
 WITH {SPACE_WORDS},

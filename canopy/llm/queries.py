@@ -34,7 +34,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,11 +191,12 @@ def windows_of(items):
 def test_decontamination(docs, texts, spark, block_words, monkeypatch):
     from canopy.llm import decontam
 
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", block_words)
-    monkeypatch.setattr(decontam.phrase_matches, "__defaults__", (8, "item_id", "text", block_words))
-    items = [(0, texts[7][10:120]), (1, texts[25]), (2, "One TWO"), (3, None), (4, ""), (5, texts[7][60:200]), (11, "the"), (12, "no such words here at all my friend today")]
+    monkeypatch.setattr(decontam.matches, "__defaults__", (*decontam.matches.__defaults__[:-1], block_words))
+    items = [(0, texts[7][10:120]), (1, texts[25]), (2, "One TWO"), (3, None), (4, ""), (5, texts[7][60:200]), (11, "the"), (12, "no such words here at all my friend today"), (13, " ".join(texts[33].split()[3:30:4])), (13, texts[34])]
     found = windows_of(items)
-    got = by_id(decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")))
+    df = collections.Counter(w for _, t in items for w in set(ALNUM.findall(lower(t))))
+    rare = [(i, sorted(set(ALNUM.findall(lower(t))), key=lambda w: (df[w], w.encode()))[:4]) for i, t in items]
+    got, some = by_id(decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))), set()
     for i, t in enumerate(texts):
         w, hit, names = ALNUM.findall(lower(t)), set(), set()
         for n in {len(k) for k in found}:
@@ -203,8 +204,11 @@ def test_decontamination(docs, texts, spark, block_words, monkeypatch):
                 if (key := tuple(w[k : k + n])) in found:
                     hit.update(range(k, k + n))
                     names |= found[key]
+        near = {n for n, terms in rare if len(terms) == 4 and any(x == terms[0] and set(terms) <= set(w[max(0, p - 10) : p + 11]) for p, x in enumerate(w))}
         r = got[i]
-        assert (r["n_words"], r["n_hit"], set(r["items"]), r["contaminated"]) == (len(w), len(hit), names, len(names) >= 2), t
+        assert (r["n_words"], r["n_hit"], set(r["items"]), r["contaminated"], set(r["near"])) == (len(w), len(hit), names, len(names) >= 2, near), t
+        some |= near
+    assert len(some) >= 2, some
 
 
 def test_no_benchmark_and_proximity(docs, texts, spark):
@@ -213,8 +217,9 @@ def test_no_benchmark_and_proximity(docs, texts, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r["n_hit"] == 0 and not r["contaminated"] for r in decontam.decontaminate(docs, none).collect())
     index = decontam.build_index(docs)
-    got = {(r["id"], r["position"]) for r in decontam.proximity_matches(index, [("q", "one two")], slop=3).collect()}
-    assert (4, 0) in got or (4, 1) in got
+    got = {(r["query"], r["id"], r["position"]) for r in decontam.proximity_matches(index, [("q", "Two one"), ("none", "!"), ("far", "two one three")], slop=3).collect()}
+    want = {("q", i, p) for i, t in enumerate(texts) for w in [ALNUM.findall(lower(t))] for p, x in enumerate(w) if x == "two" and "one" in w[max(0, p - 3) : p + 4]}
+    assert got == want and ("q", 4, 1) in got
 
 
 def fingerprint(t):
