@@ -46,7 +46,7 @@ def apart(column: pa.Array, added: dict[str, int]) -> tuple[pa.Array, np.ndarray
 def count_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` of each document.
 
-    spec: the JSON text of a byte-level BPE tokenizer (a vocabulary of bounded size goes to the executors). Strings of added tokens inside a text count one each. Null and empty texts have 0 bytes and 0 tokens; a row is returned for each row given, repeated or not; other columns don't matter. One pass, no shuffle; long texts are worked on in blocks.
+    spec: the JSON text of a byte-level BPE tokenizer (a vocabulary of bounded size goes to the executors). Strings of added tokens inside a text count one each. Null and empty texts have 0 bytes and 0 tokens; long texts and long pieces of them are counted whole; a row is returned for each row given, repeated or not; an empty table gives no rows; other columns don't matter. One pass, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 

@@ -5,6 +5,8 @@ Splitter
 
 Merger
     Within a piece, a transducer over bytes keeps in its state what later bytes can depend on: for each suffix that may still grow into a token, the last token before it and the number of tokens before it, relative to now. Each transition carries the change in the number of tokens. States and transitions are made when first met.
+
+    A piece is cut into chunks of bytes. The map of a chunk, from the state at its beginning to the state at its end and the tokens emitted on the way, is taken for all chunks at once, at first from the states that the bytes just before them lead to. In rounds, each chunk whose predecessor ends in another state than it was taken from is taken again from that one; the maps then compose, and a prefix sum over the emitted counts gives those of pieces.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from canopy.llm.text import slices
 # Character classes of the splitter. FILL pads chunks and changes no state; END follows each document.
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE, S_T_M_D, R, V, E, LOW_L, END, FILL = range(13)
 CLASSES = 13
+#: Bytes of a chunk of a piece, and bytes before a chunk from which its state is guessed.
+CHUNK, LEAD = 64, 32
 
 
 @lru_cache(maxsize=1)
@@ -275,18 +279,14 @@ class Merger:
         to = self._id(key.tobytes())
         self.next[state, self.column[b]], self.delta[state, self.column[b]] = to, count
 
-    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each slice of ``data``; all slices take one transition a step, the longest first."""
-        if len(self.states) > self.max_states:
-            self.reset()
-        size = np.diff(offsets)
+    def _advance(self, data: np.ndarray, columns: np.ndarray, starts: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The maps of slices from the states given: states at their ends, and tokens emitted. All slices take one transition a step, the longest first."""
         order = np.argsort(-size, kind="stable")
-        starts, left = offsets[:-1][order], size[order]
-        columns = self._columns(data)
-        state, total = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        at0, left, now = starts[order], size[order], state[order]
+        total = np.zeros(len(size), np.int64)
         for j in range(int(left[0]) if len(left) else 0):
             alive = int(np.searchsorted(-left, -j, side="left"))
-            s, at = state[:alive], starts[:alive] + j
+            s, at = now[:alive], at0[:alive] + j
             c = columns[at]
             to = self.next[s, c]
             if (to < 0).any():
@@ -295,10 +295,36 @@ class Merger:
                     self._make(key >> 8, key & 255)
                 to = self.next[s, c]
             total[:alive] += self.delta[s, c]
-            state[:alive] = to
-        out = np.empty(len(size), np.int64)
-        out[order] = total
-        return out
+            now[:alive] = to
+        end, emitted = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        end[order], emitted[order] = now, total
+        return end, emitted
+
+    def count(self, data: np.ndarray, offsets: np.ndarray, width: int = CHUNK, lead: int = LEAD) -> np.ndarray:
+        """Tokens of each slice of ``data``, by chunks of at most ``width`` bytes."""
+        if len(self.states) > self.max_states:
+            self.reset()
+        columns = self._columns(data)
+        size = np.diff(offsets)
+        n = -(-size // width)
+        first = np.cumsum(n) - n
+        piece = np.repeat(np.arange(len(size)), n)
+        number = np.arange(len(piece)) - first[piece]
+        starts = offsets[:-1][piece] + number * width
+        length = np.minimum(width, offsets[1:][piece] - starts)
+        state = np.zeros(len(piece), np.int64)
+        later = np.flatnonzero(number > 0)
+        if len(later):
+            state[later] = self._advance(data, columns, starts[later] - lead, np.full(len(later), lead), state[later])[0]
+        end, emitted = self._advance(data, columns, starts, length, state)
+        while len(later):
+            wrong = later[state[later] != end[later - 1]]
+            if not len(wrong):
+                break
+            state[wrong] = end[wrong - 1]
+            end[wrong], emitted[wrong] = self._advance(data, columns, starts[wrong], length[wrong], state[wrong])
+        total = np.concatenate(([0], np.cumsum(emitted)))
+        return total[first + n] - total[first]
 
 
 def split_texts(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:

@@ -87,6 +87,18 @@ def test_transducer_on_odd_texts(tokenizer, spec):
         assert sums(each[pieces.indices.to_numpy()], first).tolist() == [len(e.ids) for e in tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
+def test_chunk_maps_of_long_pieces(tokenizer, spec):
+    from canopy.llm.transducer import Merger, vocabulary
+
+    rng = random.Random(2)
+    pieces = ["".join(rng.choice(w) for _ in range(n)) for w, n in (("ab", 5000), ("abcdefghij", 777), ("e", 1000), ("ntionig", 64), ("th", 65), ("é", 400), ("estr", 20_000))]
+    data = "".join(pieces).encode()
+    offsets = np.cumsum([0, *[len(x.encode()) for x in pieces]])
+    want = [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in pieces]
+    for width, lead in ((64, 32), (32, 0), (17, 3), (1 << 20, 32)):  # with no lead most guesses are wrong
+        assert Merger(vocabulary(spec)[0]).count(np.frombuffer(data, np.uint8), offsets, width, lead).tolist() == want
+
+
 def test_splitter_maps_compose():
     from canopy.llm.transducer import CLASSES, splitter
 
