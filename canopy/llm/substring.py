@@ -4,9 +4,11 @@ Sending every shard's automaton to every document would cost shards times docume
 
 1. Documents that equal an earlier one are covered whole and go no further.
 2. Blocks of documents send the minimizers of their runs, each once; those met in one place only are done with.
-3. Blocks send the words of the other runs, each distinct one once with its first place, to the shard of the minimizer. A shard puts its runs, in order of their places, through a suffix automaton. The matching statistic at each word, the length of the longest word sequence ending there that has occurred before, tells which windows have started earlier.
+3. Blocks send the words of the other runs, each distinct one once with its first place, to the shard of the minimizer. A shard puts its runs, in order of their places, through a suffix automaton, one for each minimizer. The matching statistic at each word, the length of the longest word sequence ending there that has occurred before, decides which windows have started earlier, and nothing else does.
 4. Blocks merge the windows found into maximal spans and remove them.
 
+A minimizer of more than ``HOT`` blocks, as of a passage that a share of all documents has, would bring a run from each of them to one shard. Its runs are cut into their windows instead, which are dealt by digest: the first place of each is aggregated before it is moved, and joined back to the places of the window, where Spark can split a window that stands in very many blocks.
+
 Blocks stand in a table bucketed by block, so that steps 3 and 4 join small tables to them without moving texts.
 """
 
@@ -34,6 +36,10 @@ RUN = 32
 BLOCK_BYTES = 4 << 20
 #: Buckets of minimizers for each GB of text, and shards of runs; at least LEAST.
 BUCKETS_PER_GB, SHARDS_PER_GB, LEAST = 64, 256, 64
+#: Buckets of the table of blocks at most; Spark takes up to 100,000.
+MOST_STORED = 50_000
+#: Blocks that a minimizer's runs may come from, to be matched in one shard.
+HOT = 4096
 
 _tables: list[tuple[SparkSession, str]] = []
 
@@ -102,10 +108,23 @@ class Runs:
         mini, inverse, n = np.unique(self.mini, return_inverse=True, return_counts=True)
         return mini, (n > 1) | (np.bincount(inverse, weights=self.twice, minlength=len(mini)) > 0)
 
+    def _of(self, wanted: np.ndarray) -> np.ndarray:
+        """Runs with minimizers in ``wanted`` (sorted)."""
+        spot = np.minimum(np.searchsorted(wanted, self.mini), max(0, len(wanted) - 1))
+        return np.flatnonzero(wanted[spot] == self.mini) if len(wanted) else np.zeros(0, np.int64)
+
+    def windows(self, wanted: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Windows of runs with minimizers in ``wanted``: distinct digests, where the windows start, and the digest of each."""
+        run = self._of(wanted)
+        start = np.repeat(self.start[run], self.count[run]) + segments(self.count[run])
+        last = start + self.window - 1
+        raw, seen = self.joined, {}
+        number = [seen.setdefault(xxhash.xxh3_128_digest(raw[x:y]), len(seen)) for x, y in zip(self.begin[start].tolist(), (self.begin[last] + self.size[last]).tolist(), strict=True)]
+        return list(seen), start, np.array(number, np.int64)
+
     def distinct(self, wanted: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Runs with minimizers in ``wanted`` (sorted): distinct word sequences, the runs, and the sequence of each."""
-        spot = np.minimum(np.searchsorted(wanted, self.mini), max(0, len(wanted) - 1))
-        run = np.flatnonzero(wanted[spot] == self.mini) if len(wanted) else np.zeros(0, np.int64)
+        run = self._of(wanted)
         last = self.start[run] + self.count[run] + self.window - 2
         a, b = self.begin[self.start[run]].tolist(), (self.begin[last] + self.size[last]).tolist()
         seen: dict[bytes, int] = {}
@@ -176,8 +195,6 @@ class Automaton:
 
 def seen_before(runs: list[list[bytes]], window: int) -> list[int]:
     """For each run, in order, the windows that occur in earlier runs or further left, as bits."""
-    if len(runs) == 1 and len(set(runs[0])) > len(runs[0]) - window:
-        return [0]  # a window can't stand twice in it
     automaton, out = Automaton(), []
     for words in runs:
         bits = 0
@@ -218,7 +235,7 @@ def _longs(values: np.ndarray) -> bytes:
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_words, removed, n_removed, kept_text, kept_sha256)`` of each document.
 
-    Words are runs free of white space, unchanged. A word goes if a window of ``window`` words that covers it has the words of a window that starts earlier: in a document of smaller id, or further left in the same one. ``removed``: maximal word ranges ``[start, end)``. Null and empty texts have no words; texts of under ``window`` words stay whole. Null ids count as smallest; of rows with one id, the one stored first counts as smaller. An empty table gives no rows; other columns don't matter.
+    Words are runs free of white space, unchanged. A word goes if a window of ``window`` words that covers it has the words of a window that starts earlier: in a document of smaller id, or further left in the same one. ``removed``: maximal word ranges ``[start, end)``. Null and empty texts have no words; texts of under ``window`` words stay whole. Null ids count as smallest; of rows with one id, the one stored first counts as smaller. Long texts are looked at whole; repeated rows give a row each; an empty table gives none; other columns don't matter.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -232,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     buckets, shards = max(LEAST, round(BUCKETS_PER_GB * gb)), max(LEAST, round(SHARDS_PER_GB * gb))
     again = marks.join(copied, "digest").where("at <> at0")
     later = durable(again.select("at"))
-    name = _store(marks.join(later, "at", "left_anti"), max(LEAST // 4, buckets // 4))
+    name = _store(marks.join(later, "at", "left_anti"), min(MOST_STORED, max(LEAST // 4, buckets // 4)))
     blocks = spark.table(name)
 
     def word_count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -240,6 +257,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         whole = n >= window
         return pa.record_batch([batch.column("id"), pa.array(n), pa.array(whole), batch.column("text")], names=["id", "n_words", "whole", "text"])
 
+    hot = HOT
+
     # 2. Minimizers, each once a block
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,11 +266,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 mini, several = Runs(batch.column("texts")[i].values, window).minimizers()
                 bucket = (mini.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                bound = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                used = [b for b in range(buckets) if bound[b + 1] > bound[b]]
-                parts = [order[bound[b] : bound[b + 1]] for b in used]
+                used, bound = np.unique(bucket[order], return_index=True)
+                parts = np.split(order, bound[1:])[: len(used)]
                 yield pa.record_batch(
-                    [pa.array(used, pa.int32()), pa.array([batch.column("block")[i].as_py()] * len(used), pa.int64()), pa.array([_longs(mini[p]) for p in parts], pa.binary()), pa.array([several[p].tobytes() for p in parts], pa.binary())],
+                    [pa.array(used.astype(np.int32)), pa.array([batch.column("block")[i].as_py()] * len(used), pa.int64()), pa.array([_longs(mini[p]) for p in parts], pa.binary()), pa.array([several[p].tobytes() for p in parts], pa.binary())],
                     names=["bucket", "block", "minis", "several"],
                 )
 
@@ -261,13 +279,17 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         flat = np.concatenate(minis)
         value, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
         n += np.bincount(inverse, weights=several, minlength=len(value)).astype(n.dtype)
-        hit = n[inverse] > 1
+        n = n[inverse]
         at = np.cumsum([0, *[len(m) for m in minis]])
-        out = [_longs(m[hit[a:b]]) for m, a, b in zip(minis, at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pa.table({"block": table["block"], "minis": pa.array(out, pa.binary())})
+
+        def those(hit: np.ndarray) -> pa.Array:
+            return pa.array([_longs(m[hit[a:b]]) for m, a, b in zip(minis, at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+
+        return pa.table({"block": table["block"], "minis": those((n > 1) & (n <= hot)), "hot": those(n > hot)})
 
     sent = blocks.select("block", "texts").mapInArrow(then_give_back(minimizers), "bucket int, block long, minis binary, several binary")
-    flags = durable(sent.groupBy("bucket").applyInArrow(repeated, "block long, minis binary").groupBy("block").agg(F.collect_list("minis").alias("minis")))
+    met = sent.groupBy("bucket").applyInArrow(repeated, "block long, minis binary, hot binary").groupBy("block")
+    flags = durable(met.agg(F.collect_list("minis").alias("minis"), F.filter(F.collect_list("hot"), lambda h: F.octet_length(h) > 0).alias("hot")))
 
     def wanted(cell) -> np.ndarray:
         values = cell.as_py()
@@ -292,24 +314,37 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     def shard(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, sort_keys=[("mini", "ascending"), ("id", "ascending"), ("block", "ascending"), ("row", "ascending"), ("start", "ascending")], null_placement="at_start"))
         mini, words = table["mini"].to_numpy(), table["words"].to_pylist()
-        bits = np.zeros(len(mini), np.int64)
         heads = np.append(np.flatnonzero(np.append(True, mini[1:] != mini[:-1])), len(mini)).tolist()
-        for a, b in zip(heads[:-1], heads[1:], strict=True):
-            firsts: dict[bytes, int] = {}
-            for k in range(a, b):
-                if words[k] in firsts:
-                    bits[k] = -1  # all its windows
-                else:
-                    firsts[words[k]] = k
-            found = seen_before([w.split(b" ") for w in firsts], window)
-            for k, value in zip(firsts.values(), found, strict=True):
-                bits[k] = value if value < 1 << 63 else value - (1 << 64)
+        bits = np.array([n for a, b in zip(heads[:-1], heads[1:], strict=True) for n in seen_before([w.split(b" ") for w in words[a:b]], window)], np.int64)
         keep = np.flatnonzero(bits)
         return pa.table({"block": table["block"], "number": table["number"], "bits": pa.array(bits)}).take(pa.array(keep))
 
     run_type = f"shard int, mini long, block long, number int, id {kind}, row long, start long, words binary"
     hits = durable(blocks.join(flags, "block").select("block", "ids", "texts", "minis").mapInArrow(then_give_back(runs), run_type).groupBy("shard").applyInArrow(shard, "block long, number int, bits long"))
 
+    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column("ids")[i].values
+                found = Runs(batch.column("texts")[i].values, window)
+                digests, start, number = found.windows(wanted(batch.column("hot")[i]))
+                row = np.searchsorted(found.first, start, side="right") - 1
+                lead = leading(ids, row, start, number)
+                yield pa.record_batch(
+                    [pa.array(digests, pa.binary()), pa.array(np.full(len(lead), batch.column("block")[i].as_py())), pa.array(np.arange(len(lead), dtype=np.int32)), ids.take(pa.array(row[lead])), pa.array(row[lead]), pa.array(start[lead])],
+                    names=["digest", "block", "number", "id", "row", "start"],
+                )
+
+    heated = flags.where(F.size("hot") > 0)
+    met_again = None
+    if not heated.isEmpty():
+        each = durable(blocks.join(heated, "block").select("block", "ids", "texts", "hot").mapInArrow(then_give_back(hot_windows), f"digest binary, block long, number int, id {kind}, row long, start long"))
+        place = (F.col("id").isNotNull().alias("k"), "id", "block", "row", "start")
+        earliest = each.groupBy("digest").agg(F.min(F.struct(*place, "number")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Written down, so that the join can split a window of very many blocks among tasks
+        earliest = durable(earliest.select("digest", F.col("f.block").alias("block0"), F.col("f.number").alias("number0")))
+        met_again = durable(each.join(earliest, "digest").where("block <> block0 OR number <> number0").groupBy("block").agg(F.collect_list("number").alias("hot_hits")))
+
     # 4. Removal
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,6 +367,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                         at = found.start[run][hit] + k
                         np.add.at(gone, at, 1)
                         np.add.at(gone, at + window, -1)
+                    digests, start, number = found.windows(wanted(batch.column("hot")[i]))
+                    again = np.ones(len(start), bool)
+                    if len(start):
+                        later = np.zeros(len(digests), bool)
+                        if batch.column("hot_hits")[i].is_valid:
+                            later[batch.column("hot_hits")[i].values.to_numpy()] = True
+                        lead = leading(ids, np.searchsorted(found.first, start, side="right") - 1, start, number)
+                        again[lead] = later[number[lead]]
+                    np.add.at(gone, start[again], 1)
+                    np.add.at(gone, start[again] + window, -1)
                 yield removed(ids, found, np.cumsum(gone[:-1]) > 0)
 
     def removed(ids: pa.Array, found: Runs, gone: np.ndarray) -> pa.RecordBatch:
@@ -359,7 +404,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     # Written down, so that the join below takes the blocks' buckets as they are and moves the hits only
     found = durable(hits.groupBy("block").agg(F.collect_list(F.struct("number", "bits")).alias("hits")))
     out_type = f"id {kind}, n_words long, removed array<struct<start:long,end:long>>, n_removed long, kept_text string, kept_sha256 string"
-    main = blocks.join(flags, "block", "left").join(found, "block", "left").select("ids", "texts", "minis", "hits").mapInArrow(then_give_back(remove), out_type)
+    main = blocks.join(flags, "block", "left").join(found, "block", "left")
+    main = main.withColumn("hot_hits", F.lit(None).cast("array<int>")) if met_again is None else main.join(met_again, "block", "left")
+    main = main.select("ids", "texts", "minis", "hot", "hits", "hot_hits").mapInArrow(then_give_back(remove), out_type)
     copies = marks.join(later, "at").select("id", "text").mapInArrow(by_block("text", word_count), f"id {kind}, n_words long, whole boolean, text string")
     kept = F.when(F.col("whole"), F.lit("")).otherwise(F.array_join(F.filter(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""), " "))
     span = F.when(F.col("whole"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))

@@ -159,11 +159,12 @@ def removed_words(texts, window=20):
     return out
 
 
-@pytest.mark.parametrize("block", [4 << 20, 300])
-def test_substring_dedup(docs, texts, block, monkeypatch):
+@pytest.mark.parametrize(("block", "hot"), [(4 << 20, 4096), (300, 4096), (300, 3), (4 << 20, 1)])
+def test_substring_dedup(docs, texts, block, hot, monkeypatch):
     from canopy.llm import substring
 
     monkeypatch.setattr(substring, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring, "HOT", hot)
     got = by_id(substring.remove_repeats(docs))
     for i, (n, gone, left) in enumerate(removed_words(texts)):
         r = got[i]
