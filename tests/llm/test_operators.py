@@ -132,6 +132,30 @@ def test_packing(docs, texts, spec, tokenizer):
         assert at == len(ids)
 
 
+def test_levels_take_fewer_sequences_than_best_fit_of_blocks(spark, spec):
+    from canopy.llm.packing import best_fit, pack
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join("word" for _ in range(rng.randrange(20, 900)))) for i in range(600)], "doc_id long, text string").repartition(4).cache()
+    count = lambda **how: pack(docs, spec, block_items=60, **how).select("sequence_id").distinct().count()
+    sizes = sorted((r["length"] for r in pack(docs, spec).collect()), reverse=True)
+    assert -(-sum(sizes) // 1024) <= count() < count(levels=1)
+    assert count() <= len(best_fit(sizes, list(range(len(sizes))), [], 1024)) + 1
+
+
+def test_genetic_packing_beats_best_fit():
+    from canopy.llm.packing import best_fit, evolve
+
+    fewer = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        sizes = sorted((rng.randrange(200, 700) for _ in range(150)), reverse=True)
+        base, found = len(best_fit(sizes, list(range(150)), [], 1024)), len(evolve(sizes, 1024, seed, None, 16, 60))
+        assert -(-sum(sizes) // 1024) <= found <= base
+        fewer += found < base
+    assert fewer >= 2
+
+
 def test_genetic_packing_is_no_worse_than_best_fit():
     from canopy.llm.packing import best_fit, crossover, evolve
 
@@ -513,6 +537,23 @@ def test_jumps_move_keys_into_new_shards_only(spark):
     assert max(collections.Counter(before).values()) < 4000 / 40 * 1.6
 
 
+def test_shards_against_a_loop(spark):
+    from canopy.llm.sharding import shard
+
+    def jump(key, shards):
+        b, step = 0, 0
+        while True:
+            step += 1
+            h = xxhash.xxh64_intdigest(step.to_bytes(4, "little"), xxhash.xxh64_intdigest(key.encode(), 42))
+            to = int((b + 1) / (((h >> 33) + 1) / float(1 << 31)))
+            if to >= shards:
+                return b
+            b = to
+
+    got = shard(spark.range(3000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text")).collect()
+    assert all((r["shard"], r["grown_shard"]) == (jump(str(r["doc_id"]), 16), jump(str(r["doc_id"]), 17)) for r in got)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(5)
@@ -559,7 +600,17 @@ def test_empty_tables_and_clashing_names(spark, spec):
     odd = spark.createDataFrame([(None, None, 1, 1, 1, 1, "x", "f", "b"), (5, "a b", 1, 1, 1, 1, "x", "f", "b"), (5, "a b", 1, 1, 1, 1, "x", "f", "b")], names)
     for name, run in runs.items():
         assert run(empty).count() == 0, name
-        assert run(odd).count() == 3, name
+        got = [tuple(r[c] for c in r.asDict() if c not in ("slot", "shard", "grown_shard", "sequence_id", "offset")) for r in run(odd).collect()]
+        assert [i for i, *_ in sorted(got, key=str)] == [5, 5, None], name
+        twin = [g for g in got if g[0] == 5]
+        assert name == "substring" or twin[0] == twin[1], name
+    assert {(r["n_bytes"], r["n_tokens"]) for r in runs["count"](odd).collect()} == {(0, 0), (3, 2)}
+    assert {(r["n_words"], r["kept_text"]) for r in runs["substring"](odd).collect()} == {(0, ""), (2, "a b")}
+    assert {(r["size"], r["text_crc32"]) for r in runs["shard"](odd).collect()} == {(1, 0), (4, zlib.crc32(b"a b"))}
+    assert {r["fingerprint"] for r in runs["simhash"](odd).collect()} == {"0" * 16, f"{fingerprint('a b'):016x}"}
+    assert all(r["spans"] == "" for n in ("pii", "secrets") for r in runs[n](odd).collect())
+    assert not any(r["kept"] for r in runs["quality"](odd).collect()) and not any(r["contaminated"] for r in runs["decontam"](odd).collect())
+    assert sorted(r["length"] for r in runs["pack"](odd).collect()) == [1, 3, 3]
 
 
 def shingled(t, n=5):
@@ -567,9 +618,13 @@ def shingled(t, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def test_near_copies_go_and_others_stay(spark):
+@pytest.mark.parametrize(("crowd", "rounds"), [(5000, 12), (0, 12), (0, 1)])
+def test_near_copies_go_and_others_stay(spark, crowd, rounds, monkeypatch):
+    from canopy.llm import resemblance
     from canopy.llm.stages import drop_near_duplicates
 
+    monkeypatch.setattr(resemblance, "CROWD", crowd)
+    monkeypatch.setattr(resemblance.by_leaders, "__defaults__", (rounds,))
     rng = random.Random(9)
     texts = [None, "", "one two", "One  two"]
     for k in range(40):
@@ -679,3 +734,67 @@ def test_handles_and_long_labels_are_found_by_context(spark):
     got = by_id(detect(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], DOCS)))
     assert [rows[i][int(a) : int(b)] for i in (30, 32) for k, a, b in [got[i]["spans"].split(":")] if k == "context"] == ["@night_owl", "7" * 100]
     assert got[31]["spans"] == ""
+
+
+CLASHING = "doc_id long, text string, score double, row long, at long, id long, _text string, _row string, _score double, n_chars int"
+
+
+def test_stages_on_nulls_ties_repeats_and_clashing_names(spark):
+    from canopy.llm import stages
+
+    long_text = "many words of one long text " * 4000
+    rows = [(None, None), (1, None), (2, ""), (3, "write to a@b.co today"), (3, "write to a@b.co today"), (4, long_text), (5, "nothing to see in this one"), (6, "+1 (555) 555-0101 a@b.co")]
+    docs = spark.createDataFrame([(i, t, 0.5, 7, 7, 7, "x", "y", 0.1, None) for i, t in rows], CLASHING)
+    bench = spark.createDataFrame([(1, "nothing to see in this one"), (1, None), (None, "!")], "item_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    runs = {"toxic": lambda d: stages.drop_toxic(d, labels), "near": stages.drop_near_duplicates, "bench": lambda d: stages.drop_contaminated(d, bench), "pii": stages.redact}
+    left = {}
+    for name, run in runs.items():
+        assert run(docs).columns == docs.columns, name
+        assert run(docs.limit(0)).count() == 0, name
+        got = run(docs).collect()
+        assert all((r["score"], r["row"], r["at"], r["id"], r["_text"], r["_row"], r["_score"]) == (0.5, 7, 7, 7, "x", "y", 0.1) for r in got)
+        left[name] = sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+    every = sorted(rows, key=str)
+    assert left["toxic"] == every
+    assert left["near"] == sorted([(None, None), (3, rows[3][1]), (4, long_text), (5, rows[6][1]), (6, rows[7][1])], key=str)
+    assert left["bench"] == [r for r in every if r[0] != 5]
+    assert left["pii"] == sorted([(i, t and t.replace("a@b.co", "[EMAIL]").replace("+1 (555) 555-0101", "[PHONE]")) for i, t in rows], key=str)
+    assert {r["doc_id"]: r["n_chars"] for r in stages.redact(docs).collect()}[4] == len(long_text)
+
+
+def test_classifier_against_loops(spark):
+    import pyarrow as pa
+
+    from canopy.llm import toxicity as t
+
+    texts = ["one two three", "", "three", "Don't stop, two two one", "étude one"]
+    model = t.train(texts * 30, np.array([1, 0, 0, 1, 0] * 30), epochs=1)
+    words = [re.findall(r"[A-Za-z'\x80-\U0010FFFF]+", lower(x)) for x in texts]
+    vocab = sorted({w for ws in words for w in ws})
+    vector = dict(zip(vocab, model.table[t.features(pa.array(vocab, pa.binary()))].mean(axis=1)))
+    want = []
+    for ws in words:
+        rows = [vector[w] for w in ws] + [np.zeros(t.DIM)] * max(t.WIDTHS)
+        h = []
+        for width, weights, bias in zip(t.WIDTHS, model.filters, model.biases):
+            values = [bias + sum(rows[i + j] @ weights[j] for j in range(width) if i + j < len(rows)) for i in range(len(rows))]
+            h.append(np.maximum(np.max(values, axis=0), 0))
+        z = np.concatenate(h) @ model.out + model.out_bias
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(t.probability(t.read(pa.array(texts, pa.large_string())), model), want, atol=1e-5)
+    # A document's score doesn't depend on those beside it
+    assert np.allclose([t.scores(pa.array([x]), model)[0] for x in texts], t.scores(pa.array(texts), model), atol=1e-6)
+
+
+def test_training_sample_is_bounded_in_bytes(labelled):
+    from canopy.llm import toxicity as t
+
+    docs, labels = labelled
+    seen, train = [], t.train
+    try:
+        t.train = lambda texts, y: seen.append(sum(len(x.encode()) for x in texts)) or train(texts[:50], y[:50])
+        t.fit(docs, labels, sample_bytes=5000)
+    finally:
+        t.train = train
+    assert 4000 < seen[0] <= 5000
