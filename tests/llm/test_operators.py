@@ -145,8 +145,8 @@ def test_levels_take_fewer_sequences_than_best_fit_of_blocks(spark, spec):
 def test_genetic_packing_beats_best_fit():
     from canopy.llm.packing import best_fit, evolve
 
-    fewer = 0
-    for seed in range(6):
+    fewer = 0  # of eight cases
+    for seed in range(8):
         rng = random.Random(seed)
         sizes = sorted((rng.randrange(200, 700) for _ in range(150)), reverse=True)
         base, found = len(best_fit(sizes, list(range(150)), [], 1024)), len(evolve(sizes, 1024, seed, None, 16, 60))
