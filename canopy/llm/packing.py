@@ -157,7 +157,7 @@ def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int
 
 
 def crossover(sizes: list[int], one: list[list[int]], other: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Well-filled bins of ``one`` as they are, bins of ``other`` that share no item with them, the rest by best fit."""
+    """Well-filled bins of ``one`` as they are, bins of ``other`` that share no item with them, the rest by best fit in falling or nearly falling order. A few good bins of ``other`` are dissolved too, so that what stands in them can meet what is displaced."""
     filled = [b for b in one if sum(sizes[i] for i in b) >= capacity * 0.995]
     inject = [b for b in filled if rng.random() < 0.6]
     taken = bytearray(len(sizes))
@@ -168,11 +168,12 @@ def crossover(sizes: list[int], one: list[list[int]], other: list[list[int]], ca
     for b in other:
         if any(taken[i] for i in b):
             loose += [i for i in b if not taken[i]]
-        elif sum(sizes[i] for i in b) >= capacity * 0.98:
+        elif sum(sizes[i] for i in b) >= capacity * 0.98 and rng.random() > 0.03:
             child.append(list(b))
         else:  # poorly filled bins are dissolved
             loose += b
-    return best_fit(sizes, sorted(loose), child, capacity)
+    order = sorted(loose, key=lambda i: -sizes[i] * (1 + 0.3 * rng.random())) if rng.random() < 0.7 else sorted(loose)
+    return best_fit(sizes, order, child, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, guest: list[list[int]] | None, population: int, generations: int) -> list[list[int]]:
