@@ -225,8 +225,8 @@ class Evolution:
     islands: int = 2
 
 
-#: The first level has nearly all pieces; later ones are small and get more generations.
-FIRST, LATER = Evolution(), Evolution(6, 10)
+#: The first level has nearly all pieces; later ones are smaller and get more generations.
+FIRST, LATER = Evolution(), Evolution(4, 6)
 #: Levels at most. Each packs what sequences that aren't full hold at the level before.
 LEVELS = 4
 ELITE = "block long, island int, bins int, fill double, assigned array<int>"
