@@ -121,17 +121,27 @@ def pieces(docs: DataFrame, spec: str, end_id: int, capacity: int, id_col: str,
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(then_give_back(run), PIECES.format(kind))
 
 
-# One packing: bins as lists of item numbers. Items are numbered by falling length.
+# One packing: bins as lists of item numbers, and what each holds. Items are numbered by falling length.
 
 
-def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Put items, in the order given, into the fullest bin that takes each. ``bins`` is extended in place."""
+@dataclass
+class Packing:
+    bins: list[list[int]]
+    fills: list[int]
+
+    def fitness(self, capacity: int) -> tuple[int, float]:
+        """Fewer bins first, then fuller ones (mean squared fill)."""
+        return -len(self.bins), sum(f * f for f in self.fills) / (capacity * capacity * max(1, len(self.bins)))
+
+
+def best_fit(sizes: list[int], items: list[int], packing: Packing, capacity: int) -> Packing:
+    """Put items, in the order given, into the fullest bin that takes each. ``packing`` is extended in place."""
+    bins, fills = packing.bins, packing.fills
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
-    for b, members in enumerate(bins):
-        left = capacity - sum(sizes[i] for i in members)
-        room[left].append(b)
-        mask |= 1 << left
+    for b, fill in enumerate(fills):
+        room[capacity - fill].append(b)
+        mask |= 1 << (capacity - fill)
     for i in items:
         size = sizes[i]
         fits = mask >> size
@@ -141,53 +151,53 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity
             if not room[left]:
                 mask ^= 1 << left
             bins[b].append(i)
+            fills[b] += size
             left -= size
         else:
             b = len(bins)
             bins.append([i])
+            fills.append(size)
             left = capacity - size
         room[left].append(b)
         mask |= 1 << left
-    return bins
-
+    return packing
 
-def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones (mean squared fill)."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
-
-def crossover(sizes: list[int], one: list[list[int]], other: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
+def crossover(sizes: list[int], one: Packing, other: Packing, capacity: int, rng: random.Random) -> Packing:
     """Well-filled bins of ``one`` as they are, bins of ``other`` that share no item with them, the rest by best fit in falling or nearly falling order. A few good bins of ``other`` are dissolved too, so that what stands in them can meet what is displaced."""
-    filled = [b for b in one if sum(sizes[i] for i in b) >= capacity * 0.995]
-    inject = [b for b in filled if rng.random() < 0.6]
+    well, good, draw = capacity * 0.995, capacity * 0.98, rng.random
     taken = bytearray(len(sizes))
-    for b in inject:
-        for i in b:
-            taken[i] = 1
-    child, loose = [list(b) for b in inject], []
-    for b in other:
-        if any(taken[i] for i in b):
-            loose += [i for i in b if not taken[i]]
-        elif sum(sizes[i] for i in b) >= capacity * 0.98 and rng.random() > 0.03:
-            child.append(list(b))
-        else:  # poorly filled bins are dissolved
-            loose += b
-    order = sorted(loose, key=lambda i: -sizes[i] * (1 + 0.3 * rng.random())) if rng.random() < 0.7 else sorted(loose)
+    child = Packing([], [])
+    for b, fill in zip(one.bins, one.fills, strict=True):
+        if fill >= well and draw() < 0.6:
+            child.bins.append(b[:])
+            child.fills.append(fill)
+            for i in b:
+                taken[i] = 1
+    loose = []
+    for b, fill in zip(other.bins, other.fills, strict=True):
+        left = [i for i in b if not taken[i]]
+        if len(left) == len(b) and fill >= good and draw() > 0.03:
+            child.bins.append(left)
+            child.fills.append(fill)
+        else:  # poorly filled bins, and those that share items, are dissolved
+            loose += left
+    order = sorted(loose, key=lambda i: -sizes[i] * (1 + 0.3 * draw())) if draw() < 0.7 else sorted(loose)
     return best_fit(sizes, order, child, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, guest: list[list[int]] | None, population: int, generations: int) -> list[list[int]]:
+def evolve(sizes: list[int], capacity: int, seed: int, guest: Packing | None, population: int, generations: int) -> Packing:
     """The elite of an island after some generations. It never has more bins than best fit decreasing gives."""
     rng = random.Random(seed)
     order = list(range(len(sizes)))
-    herd = [best_fit(sizes, order, [], capacity)]
+    herd = [best_fit(sizes, order, Packing([], []), capacity)]
     bound = -(-sum(sizes) // capacity)
     if guest is not None:
         herd.append(guest)
-    while len(herd) < population and -fitness(sizes, herd[0], capacity)[0] > bound:
+    while len(herd) < population and len(herd[0].bins) > bound:
         mixed = sorted(order, key=lambda i: -sizes[i] * (1 + 0.2 * rng.random()))
-        herd.append(best_fit(sizes, mixed, [], capacity))
-    scored = sorted(((fitness(sizes, h, capacity), n, h) for n, h in enumerate(herd)), reverse=True)
+        herd.append(best_fit(sizes, mixed, Packing([], []), capacity))
+    scored = sorted(((h.fitness(capacity), n, h) for n, h in enumerate(herd)), key=lambda x: x[:2], reverse=True)
     born = len(herd)
     for _ in range(generations):
         if -scored[0][0][0] <= bound or len(scored) < 2:
@@ -195,24 +205,25 @@ def evolve(sizes: list[int], capacity: int, seed: int, guest: list[list[int]] |
         for _ in range(population // 2):
             one, other = rng.sample(scored, 2)
             child = crossover(sizes, one[2], other[2], capacity, rng)
-            scored.append((fitness(sizes, child, capacity), born, child))
+            scored.append((child.fitness(capacity), born, child))
             born += 1
-        scored = sorted(scored, reverse=True)[:population]
+        scored = sorted(scored, key=lambda x: x[:2], reverse=True)[:population]
     return scored[0][2]
 
 
-def _assigned(bins: list[list[int]], n: int) -> np.ndarray:
+def _assigned(packing: Packing, n: int) -> np.ndarray:
     out = np.empty(n, np.int32)
-    for b, members in enumerate(bins):
+    for b, members in enumerate(packing.bins):
         out[members] = b
     return out
 
 
-def _bins(assigned: np.ndarray) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in range(int(assigned.max()) + 1 if len(assigned) else 0)]
+def _packing(assigned: np.ndarray, sizes: list[int]) -> Packing:
+    n = int(assigned.max()) + 1 if len(assigned) else 0
+    bins: list[list[int]] = [[] for _ in range(n)]
     for i, b in enumerate(assigned.tolist()):
-        out[b].append(i)
-    return out
+        bins[b].append(i)
+    return Packing(bins, [sum(sizes[i] for i in b) for b in bins])
 
 
 @dataclass(frozen=True)
@@ -241,9 +252,9 @@ def _elites(lengths: DataFrame, capacity: int, how: Evolution, seed: int) -> Dat
             return pd.DataFrame({"block": [], "island": [], "bins": [], "fill": [], "assigned": []})
         items = items.sort_values(["length", "uid"], ascending=[False, True])
         sizes = items["length"].tolist()
-        guest = _bins(np.asarray(guests["assigned"].iloc[0])) if len(guests) else None
+        guest = _packing(np.asarray(guests["assigned"].iloc[0]), sizes) if len(guests) else None
         best = evolve(sizes, capacity, hash((seed, int(key[0]), int(key[1]), epoch)), guest, how.population, how.generations)
-        bins, fill = fitness(sizes, best, capacity)
+        bins, fill = best.fitness(capacity)
         return pd.DataFrame({"block": [key[0]], "island": [key[1]], "bins": [-bins], "fill": [fill], "assigned": [_assigned(best, len(sizes))]})
 
     def in_epoch(epoch: int):

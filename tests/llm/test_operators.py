@@ -143,29 +143,30 @@ def test_levels_take_fewer_sequences_than_best_fit_of_blocks(spark, spec):
 
 
 def test_genetic_packing_beats_best_fit():
-    from canopy.llm.packing import best_fit, evolve
+    from canopy.llm.packing import Packing, best_fit, evolve
 
     fewer = 0  # of eight cases
     for seed in range(8):
         rng = random.Random(seed)
         sizes = sorted((rng.randrange(200, 700) for _ in range(150)), reverse=True)
-        base, found = len(best_fit(sizes, list(range(150)), [], 1024)), len(evolve(sizes, 1024, seed, None, 16, 60))
+        base, found = (len(p.bins) for p in (best_fit(sizes, list(range(150)), Packing([], []), 1024), evolve(sizes, 1024, seed, None, 16, 60)))
         assert -(-sum(sizes) // 1024) <= found <= base
         fewer += found < base
     assert fewer >= 2
 
 
 def test_genetic_packing_is_no_worse_than_best_fit():
-    from canopy.llm.packing import best_fit, crossover, evolve
+    from canopy.llm.packing import Packing, best_fit, crossover, evolve
 
     rng = random.Random(2)
     for seed in range(5):
         sizes = sorted((rng.randrange(200, 700) for _ in range(150)), reverse=True)
-        base = best_fit(sizes, list(range(150)), [], 1024)
+        base = best_fit(sizes, list(range(150)), Packing([], []), 1024)
         found = evolve(sizes, 1024, seed, None, 6, 6)
-        assert len(found) <= len(base) and sorted(i for b in found for i in b) == list(range(150))
-        child = crossover(sizes, base, found, 1024, rng)
-        assert sorted(i for b in child for i in b) == list(range(150)) and all(sum(sizes[i] for i in b) <= 1024 for b in child)
+        assert len(found.bins) <= len(base.bins)
+        for p in (base, found, crossover(sizes, base, found, 1024, rng)):
+            assert sorted(i for b in p.bins for i in b) == list(range(150))
+            assert p.fills == [sum(sizes[i] for i in b) for b in p.bins] and max(p.fills) <= 1024
 
 
 def removed_words(texts, window=20):
