@@ -53,12 +53,22 @@ def diversity(tree: DataFrame, nodes: DataFrame, method: str = "mean") -> DataFr
 
 
 def purity(rooted_forest: DataFrame, labels: DataFrame, min_size: int = 10) -> DataFrame:
-    """``(node, size, purity)``: the commonest label's share below and at each node, null for subtrees under ``min_size``."""
+    """``(node, size, purity)``: the commonest label's share below and at each node, null for subtrees under ``min_size``.
+
+    A subtree is an interval of depth-first places, so a label's count in it is the difference of two running counts. There are two rows for each such node and label of its tree, however deep it is. Nodes without a label count in the size only.
+    """
     lab = labels.select(F.col(labels.columns[0]).alias("node"), F.col(labels.columns[1]).alias("label"))
-    big = rooted_forest.where(F.col("size") >= min_size).select(F.col("node").alias("ancestor"), "size")
-    n = closure(rooted_forest).join(big, "ancestor").join(lab, "node").groupBy("ancestor", "size", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = n.groupBy(F.col("ancestor").alias("node"), "size").agg((F.max("n") / F.col("size")).alias("purity"))
-    return rooted_forest.select("node", "size").join(top.select("node", "purity"), "node", "left")
+    placed = rooted_forest.join(lab, "node").select("root", "label", F.col("dfs").alias("at"), F.lit(None).cast("long").alias("node"), F.lit(1).alias("one"))
+    big = rooted_forest.where(F.col("size") >= min_size).select("root", "node", "dfs", "size")
+    asked = big.join(placed.select("root", "label").distinct(), "root")
+    ends = F.array(F.struct(F.col("dfs").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("dfs") + F.col("size")).alias("at"), F.lit(1).alias("sign")))
+    asked = asked.select("root", "label", "node", F.explode(ends).alias("e")).select("root", "label", "e.at", "node", F.lit(0).alias("one"), "e.sign")
+    rows = placed.withColumn("sign", F.lit(0)).unionByName(asked)
+    # Labels at places before an end; those at it come later
+    running = rows.withColumn("c", F.sum("one").over(Window.partitionBy("root", "label").orderBy("at", "one")))
+    n = running.where("sign <> 0").groupBy("node", "label").agg(F.sum(F.col("c") * F.col("sign")).alias("n"))
+    top = n.groupBy("node").agg(F.max("n").alias("n"))
+    return rooted_forest.select("node", "size").join(top, "node", "left").select("node", "size", F.when(F.col("n") > 0, F.col("n") / F.col("size")).alias("purity"))
 
 
 def boundary_rate(tree: DataFrame, labels: DataFrame) -> DataFrame:

@@ -76,13 +76,13 @@ def boruvka(edges: DataFrame, rounds: int = 64) -> DataFrame:
         least = ways.groupBy("c").agg(F.min(F.struct("e", "o")).alias("m"))
         took = stored(least.select("c", F.col("m.o").alias("o"), F.col("m.e.u").alias("u"), F.col("m.e.v").alias("v"), F.col("m.e.w").alias("w")))
         if took.isEmpty():
-            break
+            return edges.limit(0) if chosen is None else stored(chosen.distinct())
         new = took.select("u", "v", "w").distinct()
         chosen = new if chosen is None else chosen.unionByName(new)
         label = components(took.select(F.col("c").alias("u"), F.col("o").alias("v")))
         a, b = (label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("cu", "cv"))
         live = stored(live.join(a, "cu", "left").join(b, "cv", "left").select("u", "v", "w", F.coalesce("rcu", "cu").alias("cu"), F.coalesce("rcv", "cv").alias("cv")).where("cu <> cv"))
-    return edges.limit(0) if chosen is None else stored(chosen.distinct())
+    raise RuntimeError(f"trees were not joined in {rounds} rounds")
 
 
 def _roots(edges: pd.DataFrame) -> pd.DataFrame:
@@ -122,6 +122,8 @@ def components(edges: DataFrame, rounds: int = 64, one_task: int = ONE_TASK_EDGE
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(links.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
 
 

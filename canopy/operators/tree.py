@@ -5,19 +5,23 @@ A rooted forest is ``(node, root, parent, depth, dist, bfs, dfs, size)``: bfs an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.operators.graph import both_ways, components
 from canopy.storage import stored
 
 ROOTED = "node long, root long, parent long, depth int, dist double, bfs long, dfs long, size long"
-#: Edges up to which one task roots a forest; beyond, levels are joined one after another.
-ONE_TASK_EDGES = 2_000_000
-#: (node, ancestor) pairs up to which each tree is walked in one task.
-ONE_TASK_PAIRS = 20_000_000
+#: Edges up to which one task roots a forest, at about 1 KB each; beyond, links are doubled.
+ONE_TASK_EDGES = 500_000
+#: (node, ancestor) pairs up to which each tree is walked in one task, at 20 bytes each.
+ONE_TASK_PAIRS = 5_000_000
+#: Nodes asked for that are sent to all executors.
+FEW = 100_000
 
 
 def _root(edges: pd.DataFrame, nodes: list[int], first: list[int]) -> pd.DataFrame:
@@ -59,15 +63,35 @@ def rooted(forest: DataFrame, nodes: DataFrame | None = None, root: int | None =
     edges = forest.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w"))
     first = [] if root is None else [root]
     if edges.count() > one_task:
-        return _rooted_by_levels(edges, nodes, root)
+        return _rooted_by_doubling(edges, nodes, root)
     members = edges.select(F.col("u").alias("node")) if nodes is None else nodes.select(F.col(nodes.columns[0]).cast("long").alias("node"))
     left = edges.groupBy(F.lit("all").alias("k"))
     right = members.distinct().groupBy(F.lit("all").alias("k"))
     return left.cogroup(right).applyInPandas(lambda e, n: _root(e, n["node"].tolist(), first), ROOTED)
 
 
-def _rooted_by_levels(edges: DataFrame, nodes: DataFrame | None, root: int | None) -> DataFrame:
-    """Level after level from the roots, then sizes from the leaves up and numbers from the sizes."""
+def doubled(rows: DataFrame, keys: list[str], to: list[str], compose: dict[str, Callable[[Column, Column], Column]], rounds: int = 64) -> DataFrame:
+    """Sums along pointers: ``rows`` have ``keys``, a pointer ``to`` (null at an end) to other rows' keys, and values. Each round doubles the way that a row has gone, so that as many rounds are needed as bits in the longest.
+
+    compose: for each value, of a row's own and of that at the place where its way ends.
+    """
+    rows = stored(rows)
+    for _ in range(rounds):
+        if rows.where(F.col(to[0]).isNotNull()).isEmpty():
+            return rows
+        far = rows.select(*[F.col(k).alias(t) for k, t in zip(keys, to, strict=True)], *[F.col(t).alias(f"_{t}") for t in to], *[F.col(v).alias(f"_{v}") for v in compose])
+        # Rows that have arrived take no part in the join
+        gone, going = rows.where(F.col(to[0]).isNull()), rows.where(F.col(to[0]).isNotNull())
+        met = going.join(far, to).select(*keys, *[F.col(f"_{t}").alias(t) for t in to], *[f(F.struct(*compose), F.struct(*[F.col(f"_{v}").alias(v) for v in compose])).alias(v) for v, f in compose.items()])
+        rows = stored(met.unionByName(gone))
+    raise RuntimeError(f"pointers did not end in {rounds} rounds")
+
+
+def _rooted_by_doubling(edges: DataFrame, nodes: DataFrame | None, root: int | None) -> DataFrame:
+    """Parents and sizes from ranks in Euler tours, all else from sums along parents; both by doubling, so that the number of jobs grows with the logarithm of the depth.
+
+    A tour leaves a node by the neighbour after the one that it came from, in order of id and round about; it ends where it would leave the root by its least neighbour again.
+    """
     near = stored(both_ways(edges))
     label = components(edges)
     if root is not None:
@@ -76,31 +100,27 @@ def _rooted_by_levels(edges: DataFrame, nodes: DataFrame | None, root: int | Non
     if nodes is not None:
         every = nodes.select(F.col(nodes.columns[0]).cast("long").alias("node")).distinct()
         label = every.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    level = stored(label.where("node = root").select("node", "root", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), F.lit(0.0).alias("dist")))
-    levels = [level]
-    while not level.isEmpty():
-        step = level.join(near, level["node"] == near["a"]).where("b <> coalesce(parent, -1)")
-        level = stored(step.select(F.col("b").alias("node"), "root", F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth"), (F.col("dist") + F.col("w")).alias("dist")))
-        levels.append(level)
-    sizes = done = None
-    for part in reversed(levels):
-        below = None if sizes is None else sizes.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("below"))
-        mine = part.withColumn("size", F.lit(1).cast("long")) if below is None else part.join(below, "node", "left").withColumn("size", 1 + F.coalesce("below", F.lit(0))).drop("below")
-        sizes = stored(mine)
-        done = sizes if done is None else done.unionByName(sizes)
-    done = stored(done)
-    # A node's place in depth-first order: its parent's, 1, and the sizes of earlier siblings
-    w = Window.partitionBy("parent").orderBy("node")
-    offset = done.withColumn("before", F.sum("size").over(w) - F.col("size"))
-    placed = offset.where("parent IS NULL").select("node", F.lit(0).cast("long").alias("dfs"))
-    out = placed
-    for depth in range(1, len(levels)):
-        placed = stored(offset.where(F.col("depth") == depth).join(placed.withColumnRenamed("node", "parent"), "parent").select("node", (F.col("dfs") + 1 + F.col("before")).alias("dfs")))
-        out = out.unionByName(placed)
-    both = done.join(out, "node")
+    label = stored(label)
+    after = F.lead("b").over(Window.partitionBy("a").orderBy("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("low"))
+    turn = near.select("a", "b", after.alias("c")).join(least, "a").join(label.where("node = root").select(F.col("node").alias("a"), F.lit(True).alias("top")), "a", "left")
+    # From b to a, and on to c
+    tour = turn.select(F.col("b").alias("u"), F.col("a").alias("v"), F.coalesce("c", F.when(F.col("top").isNull(), F.col("low"))).alias("c"))
+    links = tour.select("u", "v", F.when(F.col("c").isNotNull(), F.col("v")).alias("nu"), F.col("c").alias("nv"), F.lit(1).cast("long").alias("n"))
+    ranks = doubled(links, ["u", "v"], ["nu", "nv"], {"n": lambda x, y: x["n"] + y["n"]})
+    back = ranks.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("n").alias("m"))
+    down = ranks.join(back, ["u", "v"]).where("n > m").select(F.col("v").alias("node"), F.col("u").alias("parent"), ((F.col("n") - F.col("m") + 1) / 2).cast("long").alias("size"))
+    down = down.join(near.select(F.col("a").alias("parent"), F.col("b").alias("node"), "w"), ["parent", "node"])
+    before = F.sum("size").over(Window.partitionBy("parent").orderBy("node")) - F.col("size")
+    steps = down.select("node", F.col("parent").alias("up"), F.lit(1).alias("depth"), F.col("w").alias("dist"), (1 + before).cast("long").alias("dfs"))
+    tops = label.where("node = root").select("node", F.lit(None).cast("long").alias("up"), F.lit(0).alias("depth"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("dfs"))
+    add = {v: (lambda x, y, v=v: x[v] + y[v]) for v in ("depth", "dist", "dfs")}
+    sums = doubled(steps.unionByName(tops), ["node"], ["up"], add).drop("up")
+    whole = label.groupBy("root").agg(F.count(F.lit(1)).alias("all"))
+    both = stored(label.join(whole, "root").join(sums, "node").join(down.select("node", "parent", "size"), "node", "left").withColumn("size", F.coalesce("size", "all")).drop("all"))
     per_level = both.withColumn("k", F.row_number().over(Window.partitionBy("root", "depth").orderBy("dfs")) - 1)
     counts = both.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.withColumn("s", F.sum("n").over(Window.partitionBy("root").orderBy("depth")) - F.col("n"))
+    starts = counts.withColumn("s", F.sum("n").over(Window.partitionBy("root").orderBy("depth")) - F.col("n")).drop("n")
     return per_level.join(starts, ["root", "depth"]).select("node", "root", "parent", "depth", "dist", (F.col("s") + F.col("k")).cast("long").alias("bfs"), "dfs", "size")
 
 
@@ -137,7 +157,10 @@ def closure(rooted_forest: DataFrame, of: DataFrame | None = None) -> DataFrame:
     depth = depth or 0
     if (rows or 0) <= ONE_TASK_PAIRS:
         pairs = rooted_forest.groupBy("root").applyInPandas(_ancestors, "node long, ancestor long, steps int")
-        return pairs if of is None else pairs.join(F.broadcast(of.select("node").distinct()), "node")
+        if of is None:
+            return pairs
+        asked = stored(of.select("node").distinct())
+        return pairs.join(F.broadcast(asked) if asked.count() <= FEW else asked, "node")
     up = stored(rooted_forest.select("node", "parent", "depth"))
     jump = up.where("parent IS NOT NULL").select("node", F.col("parent").alias("to"))
     start = up.select("node") if of is None else of.select("node").distinct()

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder in ``spark.checkpoint.dir``, or on one machine a temporary one where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="canopy-"))
             have = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = have.get()
@@ -21,7 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read back."""
+    """``df`` written as Parquet and read back. Files go when the driver exits."""
     path = f"{shared_dir(df.sparkSession)}/canopy-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            return
