@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.functions.scalars import in_order
+from canopy.operators.ann import approximate_knn
 from canopy.operators.knn import exact_knn, jaccard_knn
 from canopy.schema import InputKind, binary_sets, check
 from canopy.storage import stored
 
+META = "metric string, mode string, probes int, n long, width int"
+
 
 class VectorIndex:
-    """Exact neighbours by cosine or Euclidean distance, or by Jaccard distance of set bits."""
+    """Neighbours by cosine or Euclidean distance, or by Jaccard distance of set bits.
+
+    mode: ``exact``, or ``approximate`` for dense vectors, which looks at ``probes`` cells (see ``ann``); what that finds is measured in a registered query.
+    """
 
-    def __init__(self, metric: str = "euclidean") -> None:
+    def __init__(self, metric: str = "euclidean", mode: str = "exact", probes: int | None = None) -> None:
         if metric not in ("cosine", "euclidean", "jaccard"):
             raise ValueError("metric is cosine, euclidean or jaccard")
-        self.metric = metric
+        if mode not in ("exact", "approximate") or (mode == "approximate" and metric == "jaccard"):
+            raise ValueError("mode is exact, or approximate for dense vectors")
+        self.metric, self.mode, self.probes = metric, mode, probes
         self.rows: DataFrame | None = None
         self.n = self.width = 0
 
@@ -49,8 +58,7 @@ class VectorIndex:
         rows = self._built()
         name = vectors.columns[0]
         low = rows.agg(F.max("id")).first()[0]
-        # One task numbers a batch of additions, which is small beside the index; only ids go there
-        keys = stored(vectors.select(F.col(name).alias("id")).withColumn("key", F.row_number().over(Window.orderBy(name)).cast("long") + low))
+        keys = stored(in_order(vectors.select(F.col(name).alias("id")), ["id"], "key").withColumn("key", F.col("key") + 1 + low))
         if self.metric == "jaccard":
             made = binary_sets(vectors, name, vectors.columns[1])
         else:
@@ -66,7 +74,9 @@ class VectorIndex:
         rows = self._built()
         if not 1 <= k < self.n:
             raise ValueError(f"k must be at least 1 and less than the {self.n} rows")
-        return jaccard_knn(rows, k) if self.metric == "jaccard" else exact_knn(rows, k, self.metric)
+        if self.metric == "jaccard":
+            return jaccard_knn(rows, k)
+        return exact_knn(rows, k, self.metric) if self.mode == "exact" else approximate_knn(rows, k, self.metric, probes=self.probes)
 
     def query_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """The nearest of each query; rows equal to it count."""
@@ -74,7 +84,7 @@ class VectorIndex:
         if self.metric == "jaccard":
             return jaccard_knn(rows, k, binary_sets(queries, *queries.columns[:2]))
         check(queries, InputKind.DENSE, self.width)
-        return exact_knn(rows, k, self.metric, queries)
+        return exact_knn(rows, k, self.metric, queries) if self.mode == "exact" else approximate_knn(rows, k, self.metric, queries, self.probes)
 
     def query_point(self, vector: list[float], k: int) -> DataFrame:
         """``(rank, j, d)``."""
@@ -87,12 +97,12 @@ class VectorIndex:
         """K3."""
         rows = self._built()
         rows.write.mode("overwrite").parquet(f"{path}/rows")
-        rows.sparkSession.createDataFrame([(self.metric, self.n, self.width)], "metric string, n long, width int").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+        rows.sparkSession.createDataFrame([(self.metric, self.mode, self.probes, self.n, self.width)], META).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         """S13."""
-        meta = spark.read.schema("metric string, n long, width int").json(f"{path}/meta").first()
-        out = cls(meta["metric"])
+        meta = spark.read.schema(META).json(f"{path}/meta").first()
+        out = cls(meta["metric"], meta["mode"], meta["probes"])
         out.n, out.width, out.rows = meta["n"], meta["width"], spark.read.parquet(f"{path}/rows")
         return out
