@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +19,9 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16_384
 #: Pairs whose distances are taken at once.
 PAIRS = 1 << 15
+#: Sets of members from 0 to under so many are compared as rows of bits if they have a share of them like this or more.
+BITS, DENSE = 8192, 0.02
+BIT_ROWS, BIT_QUERIES = 8192, 128
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -135,7 +140,7 @@ def graph_from_arrays(rows: DataFrame) -> DataFrame:
 def jaccard_knn(sets: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Exact Jaccard distance over an inverted index ``member -> ids``.
 
-    Only pairs that share a member are neighbours; sets that share none are at distance 1 and left out. The index goes to every executor if its size, which is checked, allows; otherwise it is joined. Members of very many sets make this quadratic; ``lsh`` doesn't.
+    Only pairs that share a member are neighbours; sets that share none are at distance 1 and left out. The index goes to every executor if its size, which is checked, allows; otherwise it is joined. Dense sets of small members, as of fingerprints, are compared as rows of bits in blocks instead. Members of very many sets make this quadratic; ``lsh`` doesn't.
     """
     itself = queries is None
     id_col, set_col = sets.columns[:2]
@@ -143,7 +148,11 @@ def jaccard_knn(sets: DataFrame, k: int, queries: DataFrame | None = None) -> Da
     asked = own.select(F.col("j").alias("i"), "s") if itself else queries.select(F.col(queries.columns[0]).cast("long").alias("i"), F.array_distinct(queries.columns[1]).alias("s"))
     element = sets.schema[set_col].dataType.elementType.simpleString()
     width = F.octet_length(F.array_join("s", "")) if element == "string" else 8 * F.size("s")
-    members = own.agg(F.sum(F.size("s") * 8 + width)).first()[0] or 0
+    bits = F.lit(None).cast("long") if element == "string" else F.max(F.when(F.array_min("s") < 0, F.lit(1 << 40)).otherwise(F.array_max("s").cast("long")))
+    members, top, n, total = own.agg(F.sum(F.size("s") * 8 + width), bits, F.count(F.lit(1)), F.sum(F.size("s"))).first()
+    members = members or 0
+    if top is not None and top < BITS and total >= DENSE * n * (top + 1):
+        return _jaccard_by_bits(own, asked, k, itself, top + 1, n)
     if members <= BROADCAST_BYTES:
         return _jaccard_by_postings(own, asked, k, itself)
     left = asked.select("i", F.size("s").alias("n_i"), F.explode("s").alias("m"))
@@ -155,6 +164,98 @@ def jaccard_knn(sets: DataFrame, k: int, queries: DataFrame | None = None) -> Da
     return ranked(pairs, k)
 
 
+def nearest_bits(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, itself: bool) -> tuple[np.ndarray, ...]:
+    """Rows (i, rank, j, d) of the k nearest of each query by Jaccard distance among packed rows ``x`` that share a bit with it."""
+    n_q, n_x = (np.bitwise_count(v).sum(axis=1, dtype=np.int64) for v in (q, x))
+    best_d, best_j = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    for a in range(0, len(x), BIT_ROWS):
+        block, there, size = np.unpackbits(x[a : a + BIT_ROWS], axis=1).astype(np.float32).T, ids[a : a + BIT_ROWS], n_x[a : a + BIT_ROWS]
+        for b in range(0, len(q), BIT_QUERIES):
+            rows = slice(b, b + BIT_QUERIES)
+            common = (np.unpackbits(q[rows], axis=1).astype(np.float32) @ block).astype(np.float64)
+            with np.errstate(invalid="ignore"):
+                d = np.where(common > 0, 1.0 - common / (n_q[rows, None] + size[None] - common), np.inf)
+            if itself:
+                d[q_ids[rows, None] == there[None]] = np.inf
+            take = min(k, d.shape[1])
+            cut = np.minimum(np.partition(d, take - 1, axis=1)[:, take - 1], best_d[rows, -1])
+            row, col = np.nonzero((d <= cut[:, None]) & np.isfinite(d))
+            if not len(row):
+                continue
+            # What is at the k-th distance or nearer, with the best so far, by (distance, id)
+            row = np.concatenate((row, np.repeat(np.arange(len(d)), k)))
+            dist, j = np.concatenate((d[row[: len(col)], col], best_d[rows].reshape(-1))), np.concatenate((there[col], best_j[rows].reshape(-1)))
+            by = np.lexsort((j, dist, row))
+            row, dist, j = row[by], dist[by], j[by]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = rank < k
+            best_d[b + row[keep], rank[keep]], best_j[b + row[keep], rank[keep]] = dist[keep], j[keep]
+    row, rank = np.nonzero(np.isfinite(best_d))
+    return q_ids[row], (rank + 1).astype(np.int32), best_j[row, rank], best_d[row, rank]
+
+
+def _jaccard_by_bits(own: DataFrame, asked: DataFrame, k: int, itself: bool, width: int, n: int) -> DataFrame:
+    """Sets as packed bits, which go to every executor if that many bytes are few, or else meet in blocks, each pair in one task."""
+    size = -(-width // 8)
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                sets = batch.column(1)
+                length = pa.compute.list_value_length(sets).fill_null(0).to_numpy(zero_copy_only=False)
+                flat = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(length)), length)
+                # Members that no set searched has are only counted
+                far = flat >= width
+                bits = np.zeros((len(length), width), bool)
+                bits[row[~far], flat[~far]] = True
+                more = np.bincount(row[far], minlength=len(length))
+                yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary()), pa.array(more)], names=[name, "bits", "more"])
+
+        return df.select(df.columns[0], "s").mapInArrow(run, f"{name} long, bits binary, more long")
+
+    def matrix(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column), np.uint8).reshape(-1, size)
+
+    def found(i: np.ndarray, q: np.ndarray, more: np.ndarray, j: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        if more.any():  # a column of its own for each foreign member, which no row searched has
+            extra = np.zeros((len(q), -(-int(more.max()) // 8) * 8), bool)
+            extra[np.arange(extra.shape[1])[None] < more[:, None]] = True
+            q, x = np.concatenate((q, np.packbits(extra, axis=1)), axis=1), np.concatenate((x, np.zeros((len(x), extra.shape[1] // 8), np.uint8)), axis=1)
+        return nearest_bits(i, q, j, x, k, itself)
+
+    cores = own.sparkSession.sparkContext.defaultParallelism
+    points, queries = packed(own, "j"), packed(asked, "i").repartition(cores)
+    if n * size <= BROADCAST_BYTES:
+        table = points.toArrow().sort_by("j")
+        shared = own.sparkSession.sparkContext.broadcast((table["j"].to_numpy(), matrix(table["bits"].to_pylist())))
+
+        def search(batches):
+            held: list[pa.RecordBatch] = []
+            for batch in itertools.chain(batches, [None]):
+                if batch is not None:
+                    held.append(batch)
+                if held and (batch is None or sum(b.num_rows for b in held) >= BLOCK_ROWS):
+                    part, held = pa.Table.from_batches(held), []
+                    rows = found(part["i"].to_numpy(), matrix(part["bits"].to_pylist()), part["more"].to_numpy(), *shared.value)
+                    yield pa.record_batch([pa.array(c) for c in rows], names=["i", "rank", "j", "d"])
+
+        return queries.mapInArrow(search, GRAPH)
+    blocks = -(-n // (4 * BLOCK_ROWS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("pb", every)
+    right = points.select("j", F.col("bits").alias("pbits"), F.pmod(F.xxhash64("j"), F.lit(blocks)).cast("int").alias("pb")).withColumn("qb", every)
+
+    def pair(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame({"i": [], "rank": [], "j": [], "d": []})
+        i, rank, j, d = found(q["i"].to_numpy(), matrix(q["bits"]), q["more"].to_numpy(), p["j"].to_numpy(), matrix(p["pbits"]))
+        return pd.DataFrame({"i": i, "rank": rank, "j": j, "d": d})
+
+    met = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(pair, GRAPH)
+    return ranked(met.drop("rank"), k)
+
+
 def _jaccard_by_postings(own: DataFrame, asked: DataFrame, k: int, itself: bool) -> DataFrame:
     """The inverted index, small enough for every executor, as arrays: a query adds up the postings of its members."""
     table = own.toArrow().sort_by("j")

@@ -101,8 +101,40 @@ def test_bytes():
     with pytest.raises(ValueError):
         binary.quantize(x, 8)
     got = binary.Container.read(binary.payload(x, x, {"n": [1] * 11, "c": ["b", "a"] + ["b"] * 9}, {"t": 1}))
-    assert [s[:2] for s in got] == [(1, "coords"), (2, "n"), (3, "c"), (4, "metadata")]
-    assert json.loads(got[3][2])["dictionaries"]["c"] == ["b", "a"]
+    assert [s[:2] for s in got.sections] == [("coords", "coords"), ("number", "n"), ("category", "c")]
+    assert np.frombuffer(got.sections[2][2], "<u4").tolist() == [0, 1] + [0] * 9
+    assert got.metadata == {"t": 1, "dictionaries": {"c": ["b", "a"]}}
+    with pytest.raises(ValueError):
+        binary.Container.read(b"something else")
+
+
+def test_large_components_are_swept_like_small_ones():
+    import pandas as pd
+
+    from canopy.operators.layout import place_tree
+
+    for n in (1499, 1501, 20_000):
+        rng = np.random.default_rng(n)
+        parent = [None] + [int(rng.integers(max(0, i - 40), i)) for i in range(1, n)]
+        size, depth = [1] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            size[parent[i]] += size[i]
+        for i in range(1, n):
+            depth[i] = depth[parent[i]] + 1
+        below = [[] for _ in range(n)]
+        for i in range(1, n):
+            below[parent[i]].append(i)
+        dfs, stack = [0] * n, [0]
+        for k in range(n):
+            dfs[at := stack.pop()] = k
+            stack += reversed(below[at])
+        tree = pd.DataFrame({"node": range(n), "root": 0, "parent": pd.array(parent, "Int64"), "depth": depth, "dfs": dfs, "size": size})
+
+        def spread(sweeps, tree=tree, parent=parent, n=n):
+            xy = place_tree(tree, sweeps).sort_values("id")[["x", "y"]].to_numpy()
+            return np.linalg.norm(xy[1:] - xy[parent[1:]], axis=1)
+
+        assert abs(np.median(spread(60)) - 1) < abs(np.median(spread(0)) - 1) + 0.2 and not np.allclose(spread(60), spread(0))
 
 
 def test_names_and_colours():
@@ -130,7 +162,7 @@ def test_pages(model, spark, tmp_path):
     assert page.endswith(".html") and "A map" in open(page).read()
     folder = viz.write_static(str(tmp_path / "s"))
     meta = json.load(open(f"{folder}/metadata.json"))
-    assert meta["nPoints"] == 30 and meta["filters"] == ["n", "c"]
+    assert meta["points"]["n"] == 30 and meta["filters"] == ["n", "c"]
     assert "<svg" in viz.to_svg("c") and "#888888" in viz.to_svg("n")
     with pytest.raises(ValueError):
         model.to_viz().add_label("l", label.limit(3)).to_dataframe()

@@ -151,3 +151,29 @@ def test_jaccard_neighbours(spark, limit, monkeypatch):
         near = sorted((1 - len(a & b) / len(a | b), j) for j, b in enumerate(sets) if i != j and a & b)[:3]
         want += [(i, k, j, pytest.approx(d)) for k, (d, j) in enumerate(near, 1)]
     assert got == want
+
+
+@pytest.mark.parametrize("limit", [knn.BROADCAST_BYTES, 0])
+def test_rows_of_bits_against_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(knn, "BIT_ROWS", 32)
+    monkeypatch.setattr(knn, "BIT_QUERIES", 7)
+    rng = np.random.default_rng(5)
+    sets = [sorted(np.flatnonzero(rng.random(60) < 0.2).tolist()) for _ in range(150)] + [[3, 4, 5]] * 40 + [[]]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, on array<long>")
+
+    def near(q, own=None):
+        each = sorted((1.0 - len(set(q) & set(s)) / len(set(q) | set(s)), j) for j, s in enumerate(sets) if j != own and set(q) & set(s))
+        return [(r + 1, j, round(d, 9)) for r, (d, j) in enumerate(each[:6])]
+
+    def got(g):
+        out = {}
+        for r in sorted(g.collect(), key=lambda r: (r["i"], r["rank"])):
+            out.setdefault(r["i"], []).append((r["rank"], r["j"], round(r["d"], 9)))
+        return out
+
+    assert got(knn.jaccard_knn(df, 6)) == {i: near(s, i) for i, s in enumerate(sets) if s}
+    asked = {1000: [1, 2, 3, 900, 901], 1001: [70000], 1002: sets[5]}
+    q = spark.createDataFrame(list(asked.items()), "id long, on array<long>")
+    assert got(knn.jaccard_knn(df, 6, q)) == {i: near(s) for i, s in asked.items() if near(s)}
