@@ -89,10 +89,16 @@ def count_of(r: str) -> str:
 
 
 SEQUENCES = "sq AS (SELECT doc_id AS id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS seq FROM documents)"
-CHARGE = (
-    f"1 / (1 + pow(10.0, 7.0 - {N_TERMINUS})) + " + " + ".join(f"{count_of(r)} / (1 + pow(10.0, 7.0 - {k}))" for r, k in BASIC.items())
-    + f" - 1 / (1 + pow(10.0, {C_TERMINUS} - 7.0)) - " + " - ".join(f"{count_of(r)} / (1 + pow(10.0, {k} - 7.0))" for r, k in ACIDIC.items())
-)
+
+
+def charge(ph: str, count) -> str:
+    return (
+        f"1 / (1 + pow(10.0, {ph} - {N_TERMINUS})) + " + " + ".join(f"{count(r)} / (1 + pow(10.0, {ph} - {k}))" for r, k in BASIC.items())
+        + f" - 1 / (1 + pow(10.0, {C_TERMINUS} - {ph})) - " + " - ".join(f"{count(r)} / (1 + pow(10.0, {k} - {ph}))" for r, k in ACIDIC.items())
+    )
+
+
+CHARGE = charge("7.0", count_of)
 PROPERTIES = {
     "length": "length(seq)::DOUBLE", "molecular_weight": f"{residues(MASS)} + {WATER}", "gravy": f"{residues(HYDROPATHY)} / length(seq)", "charge_at_ph7": CHARGE,
     "aromaticity": f"{residues(GROUPS['aromaticity'])}::DOUBLE / length(seq)",
@@ -103,7 +109,49 @@ PROPERTIES = {
 RANGE = "r AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e)"
 NORMAL = f"{POINTS}, {RANGE}, nm AS (SELECT id, (x - (x0 + x1) / 2) / (greatest(x1 - x0, y1 - y0) / 2) AS x, (y - (y0 + y1) / 2) / (greatest(x1 - x0, y1 - y0) / 2) AS y FROM e, r)"
 
+OLD_AND_NEW = f"{POINTS}, old AS MATERIALIZED (SELECT * FROM e WHERE id % 10 <> 9), new AS MATERIALIZED (SELECT * FROM e WHERE id % 10 = 9)"
+ITEMS = "items AS (SELECT 'item_' || item_id AS name, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM benchmark)"
+# Hits in the order of the file, and the ids that names have by first appearance
+HITS = f"""{GRAPH}, lines AS (SELECT i, j, row_number() OVER (ORDER BY i, rank) AS line, (100 * (2 - d)) AS x FROM g),
+seen AS (SELECT name, min(pl) AS pl FROM (SELECT i AS name, 2 * line AS pl FROM lines UNION ALL SELECT j, 2 * line + 1 FROM lines) GROUP BY name),
+names AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY pl) - 1 AS id FROM seen)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "approximate_recall": "SELECT count(*) AS n, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
+    "binary_neighbours": q(
+        f"{POINTS}, bits AS MATERIALIZED (SELECT id, list_filter(range(1, len(v) + 1), lambda p: v[p] > 0) AS s FROM e),",
+        f"""c AS MATERIALIZED (SELECT a.id AS i, b.id AS j, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM bits a JOIN bits b ON a.id <> b.id)
+        SELECT i, rank, j, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM (SELECT i, j, 1 - c::DOUBLE / (n - c) AS d FROM c WHERE c > 0)) WHERE rank <= {K}""",
+    ),
+    "index_additions": q(
+        f"{OLD_AND_NEW}, top AS (SELECT max(id) AS m FROM old), held AS MATERIALIZED (SELECT id, v FROM old UNION ALL SELECT (SELECT m FROM top) + row_number() OVER (ORDER BY id), v FROM new), qs AS (SELECT * FROM e WHERE id % 20 = 0), {neighbours('g', K, 'list_distance', 'qs', 'held', 'TRUE')}",
+        "SELECT i, rank, j, round(d, 6) AS d FROM g",
+    ),
+    "kneighbors": q(f"{OLD_AND_NEW}, {neighbours('g', K, 'list_distance', 'new', 'old', 'TRUE')}", "SELECT i, rank, j, round(d, 6) AS d FROM g"),
+    "added_points_tree": q(
+        f"{OLD_AND_NEW}, {neighbours('g', K, left='old', right='old')}, k AS MATERIALIZED (SELECT least(i, j) AS u, greatest(i, j) AS v, min(d) AS w FROM g GROUP BY ALL), {kruskal()}, {neighbours('h', 1, left='new', right='old', other='TRUE')}",
+        "SELECT u, v, round(w, 6) AS w FROM mst UNION ALL SELECT least(i, j), greatest(i, j), round(d, 6) FROM h",
+    ),
+    "path_distance": q(f"{MST}, {spread('SELECT 3::BIGINT AS id')}", "SELECT 3::BIGINT AS a, 77::BIGINT AS b, round(dist, 6) AS distance FROM t WHERE node = 77"),
+    "failure_paths": q(
+        f"""{MST}, {neighbours('near', 1)}, p AS MATERIALIZED (SELECT i AS id, a.label, b.label AS predicted FROM near JOIN e a ON a.id = i JOIN e b ON b.id = j),
+wrong AS MATERIALIZED (SELECT id, label FROM p WHERE label <> predicted), goals AS MATERIALIZED (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS r FROM p WHERE label = predicted) WHERE r <= 20),
+walk(start, node, parent, hops, path) AS (SELECT id, id, NULL::BIGINT, 0, [id] FROM wrong UNION ALL SELECT walk.start, s.b, walk.node, hops + 1, list_append(path, s.b) FROM walk JOIN s ON s.a = walk.node WHERE s.b IS DISTINCT FROM walk.parent),
+best AS (SELECT start, min((hops, node)) AS m FROM walk JOIN wrong ON wrong.id = start JOIN goals ON goals.id = node AND goals.label = wrong.label GROUP BY start),
+far AS (SELECT start, m[1] AS hops, m[2] AS goal FROM best ORDER BY hops DESC, start LIMIT 5)""",
+        "SELECT start AS node, goal AS \"to\", far.hops::BIGINT AS hops, round(min(x), 6) AS least FROM far JOIN (SELECT start AS start2, node, unnest(path) AS q FROM walk) w ON start2 = start AND node = goal JOIN e ON e.id = q GROUP BY ALL",
+    ),
+    "fasta_records": f"WITH {ITEMS} SELECT name AS id, letters AS sequence FROM items",
+    "sequence_table": f"WITH {ITEMS} SELECT name AS id, letters AS sequence FROM items",
+    "id_list": "WITH m AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'P' || lpad(c_custkey::VARCHAR, 5, '0') WHEN 1 THEN 'A0A' || lpad(c_custkey::VARCHAR, 7, '0') ELSE 'Q1B' || lpad(c_custkey::VARCHAR, 3, '7') END AS uid FROM customer) SELECT uid, regexp_full_match(uid, '[OPQ][0-9][A-Z0-9]{3}[0-9]') OR regexp_full_match(uid, '[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2}') AS looks_valid FROM m",
+    "alignment_graph": q(HITS, "SELECT a.id AS i, rank, b.id AS j, round(1 / (1 + s), 6) AS d FROM (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, 'v' || j) AS rank FROM (SELECT i, j, round(x, 4) AS s FROM lines)) JOIN names a ON a.name = i JOIN names b ON b.name = j WHERE rank <= 3"),
+    "alignment_ids": q(HITS, "SELECT id, 'v' || name AS name FROM names"),
+    "selection_export": "SELECT c_custkey, c_name || ', \"the' || chr(9) || 'great\"' AS c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
+    "isoelectric_point": q(
+        f"""{SEQUENCES}, n AS MATERIALIZED (SELECT id, {", ".join(f"{count_of(r)}::DOUBLE AS n{r}" for r in (*ACIDIC, *BASIC))} FROM sq WHERE seq <> ''),
+half(id, k, lo, hi) AS (SELECT id, 0, 0::DOUBLE, 14::DOUBLE FROM n UNION ALL SELECT id, k + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (SELECT half.*, (lo + hi) / 2 AS mid, {charge("((lo + hi) / 2)", lambda r: "n" + r)} > 0 AS up FROM half JOIN n USING (id) WHERE k < 100))""",
+        "SELECT sq.id, round((lo + hi) / 2, 6) AS isoelectric_point FROM sq LEFT JOIN half ON half.id = sq.id AND k = 100",
+    ),
     "knn_cosine": q(GRAPH, "SELECT i, rank, j, round(d, 6) AS d FROM g"),
     "knn_l2": q(f"{POINTS}, {neighbours('g', K, 'list_distance')}", "SELECT i, rank, j, round(d, 6) AS d FROM g"),
     "knn_external": q(f"{POINTS}, qs AS (SELECT * FROM e WHERE id % 20 = 0), {neighbours('g', K, left='qs', other='TRUE')}", "SELECT i, rank, j, round(d, 6) AS d FROM g"),
@@ -118,7 +166,7 @@ ORACLE_SQL: dict[str, str] = {
     "lsh_knn": q(f"{SIGNATURES}, {CANDIDATES},", signature_rank("i <> j")),
     "lsh_query": q(f"{SIGNATURES}, {CANDIDATES},", signature_rank("i % 20 = 0")),
     "knn_edges": q(EDGES, "SELECT u, v, round(w, 6) AS w FROM k"),
-    "clean_edges": q(GRAPH, "SELECT least(i, j) AS u, greatest(i, j) AS v, round(min(d - 0.6), 6) AS w FROM g WHERE d - 0.6 >= 0 AND i < 400 AND j < 400 GROUP BY ALL"),
+    "clean_edges": q(GRAPH, "SELECT least(i, j) AS u, greatest(i, j) AS v, round(min(d - 0.6), 6) AS w FROM g WHERE d - 0.6 >= 0 GROUP BY ALL"),
     "mst_edges": q(MST, "SELECT u, v, round(w, 6) AS w FROM mst"),
     "connected_components": q(f"{POINTS}, {neighbours('g', 1)}, s AS (SELECT i AS a, j AS b FROM g UNION SELECT j, i FROM g), reach(a, b) AS (SELECT id, id FROM e UNION SELECT reach.a, s.b FROM reach JOIN s ON s.a = reach.b)", "SELECT a AS node, min(b) AS root FROM reach GROUP BY a"),
     "component_count": q(f"{POINTS}, {neighbours('g', 1)}, k AS (SELECT least(i, j) AS u, greatest(i, j) AS v, min(d) AS w FROM g GROUP BY ALL), {kruskal()}", "SELECT nodes, edges, nodes - edges AS components FROM (SELECT count(*) AS nodes FROM e), (SELECT count(*) AS edges FROM mst)"),

@@ -5,20 +5,21 @@ Results are made comparable: doubles rounded to 6 places, whole numbers as long.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopy.functions import encode, proteins, scalars
-from canopy.operators import analysis, cells, facets, graph, knn, layout, tree
+from canopy.operators import analysis, ann, cells, facets, graph, knn, layout, tree
 from canopy.operators.lsh import SignatureIndex
+from canopy.operators.vectors import VectorIndex
 from canopy.plans.model import TreeMap
 from canopy.plans.oracles import ORACLE_SQL
-from canopy.storage import stored
+from canopy.sources import readers
+from canopy.storage import shared_dir, stored
 
 K = 5
 PERMUTATIONS, BANDS, SEED = 32, 8, 42
@@ -139,19 +140,39 @@ def knn_external(spark, sf_dir):
 
 @query
 def knn_from_matrix(spark, sf_dir):
+    """The matrix is made in blocks of rows against all: its rows are this query's input."""
     p = points(spark, sf_dir)
-    rows = p.toArrow().sort_by("id")
-    ids, x = rows["id"].to_numpy(), np.array(rows["v"].to_pylist())
-    shared = spark.sparkContext.broadcast((ids, x))
+    far = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+    blocks = max(1, p.count() // 1000)
+    left = p.select(F.col("id").alias("i"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    right = p.select(F.col("id").alias("j"), F.col("v").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
+    return knn.knn_from_matrix(left.join(right, "b").select("i", "j", far.alias("d")), K)
 
-    def matrix(batches):
-        for batch in batches:
-            known, v = shared.value
-            for i, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                d = np.sqrt(((v - np.array(row)) ** 2).sum(axis=1))
-                yield pa.record_batch([pa.array(np.full(len(known), i)), pa.array(known), pa.array(d)], names=["i", "j", "d"])
 
-    return knn.knn_from_matrix(p.mapInArrow(matrix, "i long, j long, d double"), K)
+@query
+def approximate_recall(spark, sf_dir):
+    """Whether the index of cells finds nine of ten neighbours of the stated queries, or more."""
+    p = points(spark, sf_dir)
+    q = external(p)
+    true = stored(knn.exact_knn(p, K, "cosine", q))
+    n = knn.recall(true, ann.approximate_knn(p, K, "cosine", q), K)
+    return n.select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def binary_neighbours(spark, sf_dir):
+    """Jaccard neighbours by the signs of components."""
+    bits = points(spark, sf_dir).select("id", F.transform("v", lambda x: (x > 0).cast("int")).alias("v"))
+    return VectorIndex("jaccard").build_from_binary(bits).query_knn(K)
+
+
+@query
+def index_additions(spark, sf_dir):
+    """A tenth of the vectors joins an index of the others, under keys of its own; the stated queries ask."""
+    p = points(spark, sf_dir)
+    index = VectorIndex("euclidean").build_from_vectors(p.where("id % 10 <> 9"))
+    index.add(p.where("id % 10 = 9"))
+    return index.query_batch(external(p), K)
 
 
 @query
@@ -288,6 +309,12 @@ def tree_ball(spark, sf_dir):
     return tree.subtree(forest(spark, sf_dir), 10, 4)
 
 
+@query
+def path_distance(spark, sf_dir):
+    """G13."""
+    return spark.createDataFrame([(3, 77, tree.distance(rooted(spark, sf_dir), 3, 77))], "a long, b long, distance double")
+
+
 @query
 def pseudotime(spark, sf_dir):
     """Q12: distances from the node of greatest value."""
@@ -369,7 +396,6 @@ def mislabelled(spark, sf_dir):
 
 @query
 def failure_paths(spark, sf_dir):
-    """Rows only: held against brute force in tests."""
     return analysis.failure_paths(rooted(spark, sf_dir), stored(predictions(spark, sf_dir)), values(spark, sf_dir))
 
 
@@ -394,6 +420,23 @@ def transform_positions(spark, sf_dir):
     return model.position(new.select("id"), stored(knn.exact_knn(old, K, "cosine", new)), jitter=0.0)
 
 
+@query
+def added_points_tree(spark, sf_dir):
+    """M1, M4, M6: the tree of a fitted model after a tenth of the vectors was added."""
+    p = points(spark, sf_dir)
+    model = TreeMap(K, "cosine", layout_iterations=20).fit(p.where("id % 10 <> 9"))
+    model.add_points(p.where("id % 10 = 9"))
+    return model.tree_
+
+
+@query
+def kneighbors(spark, sf_dir):
+    """Neighbours among the fitted rows of rows that aren't."""
+    p = points(spark, sf_dir)
+    model = TreeMap(K, "euclidean", layout_iterations=1).fit(p.where("id % 10 <> 9"))
+    return model.kneighbors(p.where("id % 10 = 9"))
+
+
 @query
 def normalize_coords(spark, sf_dir):
     return scalars.normalize(coords(spark, sf_dir))
@@ -503,9 +546,73 @@ def sequence_properties(spark, sf_dir):
     return proteins.sequence_properties(sequences(spark, sf_dir), "seq", names).drop("seq")
 
 
+# Files, written from tables
+
+
+def text_file(df: DataFrame, column: str = "value") -> str:
+    """One text file of rows in order, in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/canopy-text-{uuid.uuid4().hex}"
+    df.select(column).coalesce(1).write.text(path)
+    return path
+
+
+def items(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("item_"), "item_id").alias("name"), F.regexp_replace("text", "[^A-Za-z]", "").alias("letters"))
+
+
+@query
+def fasta_records(spark, sf_dir):
+    """S2."""
+    lines = items(spark, sf_dir).select(F.concat_ws("\n", F.concat(F.lit(">"), "name", F.lit(" of a test")), F.substring("letters", 1, 40), F.lit(""), F.substring(F.col("letters"), F.lit(41), F.length("letters"))).alias("value"))
+    return readers.read_fasta(spark, text_file(lines)).select("id", "sequence")
+
+
+@query
+def sequence_table(spark, sf_dir):
+    """S3."""
+    rows = items(spark, sf_dir).select(F.concat_ws("\t", "name", "letters", F.lit("x")).alias("value"))
+    head = spark.createDataFrame([("id\tsequence\tnote",)], "value string")
+    return readers.read_protein_csv(spark, text_file(head.unionByName(rows)))
+
+
+@query
+def id_list(spark, sf_dir):
+    """Numbers of customers as accessions, some of them of the right form."""
+    n = F.col("c_custkey")
+    made = F.when(n % 3 == 0, F.concat(F.lit("P"), F.lpad(n.cast("string"), 5, "0"))).when(n % 3 == 1, F.concat(F.lit("A0A"), F.lpad(n.cast("string"), 7, "0"))).otherwise(F.concat(F.lit("Q1B"), F.lpad(n.cast("string"), 3, "7")))
+    return readers.read_id_list(spark, text_file(table(spark, sf_dir, "customer").select(F.concat(F.lit("  "), made, F.lit(" # of a customer")).alias("value"))))
+
+
+@query
+def alignment_graph(spark, sf_dir):
+    """Hits between vectors as tabular output, in order of query and rank."""
+    near = neighbour_graph(spark, sf_dir)
+    fields = [F.concat(F.lit("v"), "i"), F.concat(F.lit("v"), "j"), *[F.lit("0")] * 9, F.format_string("%.4f", 100 * (2 - F.col("d")))]
+    lines = near.orderBy("i", "rank").select(F.concat_ws("\t", *fields).alias("value"))
+    return readers.parse_alignment(spark, text_file(lines), 3)[0]
+
+
+@query
+def alignment_ids(spark, sf_dir):
+    """Ids in order of first appearance."""
+    near = neighbour_graph(spark, sf_dir)
+    fields = [F.concat(F.lit("v"), "i"), F.concat(F.lit("v"), "j"), *[F.lit("0")] * 9, F.lit("50")]
+    lines = near.orderBy("i", "rank").select(F.concat_ws("\t", *fields).alias("value"))
+    return readers.parse_alignment(spark, text_file(lines), 3)[1]
+
+
+@query
+def selection_export(spark, sf_dir):
+    """Written and read again."""
+    c = table(spark, sf_dir, "customer").withColumn("c_name", F.concat("c_name", F.lit(', "the\tgreat"')))
+    path = f"{shared_dir(spark)}/canopy-csv-{uuid.uuid4().hex}"
+    facets.export_selection(c, table(spark, sf_dir, "orders").where("o_totalprice > 400000").select("o_custkey"), "c_custkey", ["c_custkey", "c_name"], path)
+    return spark.read.schema("c_custkey long, c_name string").option("header", True).option("escape", '"').csv(path)
+
+
 @query
 def isoelectric_point(spark, sf_dir):
-    """Rows only: a bisection, held against brute force in tests."""
+    """A bisection of a hundred steps."""
     return proteins.sequence_properties(sequences(spark, sf_dir), "seq", ("isoelectric_point",)).drop("seq")
 
 
