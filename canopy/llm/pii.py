@@ -29,6 +29,8 @@ IDENTIFIER = r"(?<![^\s\"'(<>,;:=#])(?:@[A-Za-z0-9_.]{3,}+|[A-Za-z0-9+](?=(?:[^\
 WORD, BESIDE = r"\p{L}[\p{L}'-]*+[:,.]?", 120
 #: Different trusted values that a pattern needs, its least score, and rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
+#: Bytes of patterns that go to every executor.
+SENT_BYTES = 32 << 20
 
 
 def _digits(value: Column) -> Column:
@@ -128,7 +130,11 @@ def standing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         return F.filter(out, lambda g: g.isNotNull())
 
     sought = patterns.select("label", F.substring("label", 3, 1 << 20).alias("words"))
-    met = words.select(F.explode(F.concat(*[joined(n) for n in (1, 2, 3)])).alias("words")).join(F.broadcast(sought.select("words").distinct()), "words")
+    asked = durable(sought.select("words").distinct())
+    grams = words.select(F.explode(F.concat(*[joined(n) for n in (1, 2, 3)])).alias("words"))
+    size = asked.agg(F.sum(F.octet_length("words") + 32)).first()[0] or 0
+    # Few enough go to all executors, so that only what is sought is moved; else all words are counted first
+    met = grams.join(F.broadcast(asked), "words") if size <= SENT_BYTES else grams
     return sought.join(met.groupBy("words").agg(F.count(F.lit(1)).alias("total")), "words").select("label", "total")
 
 

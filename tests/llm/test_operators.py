@@ -405,9 +405,12 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[11]["spans"] == got[12]["spans"] == ""
 
 
-def test_words_beside_seeds_become_patterns_and_spread(spark):
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_words_beside_seeds_become_patterns_and_spread(spark, sent, monkeypatch):
+    from canopy.llm import pii
     from canopy.llm.pii import detect
 
+    monkeypatch.setattr(pii, "SENT_BYTES", sent)
     rows = [f"you can call me at +1 (555) 555-01{i} any day" for i in range(10, 50)]
     # Found behind "call me at"; their own words, met with no seed, find the last one
     rows += [f"call me at 88120{i}77 or by post" for i in range(8)] + [f"old number 88120{i}77 was dropped" for i in range(8)]
