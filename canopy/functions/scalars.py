@@ -57,6 +57,17 @@ def in_order(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return ranged.join(F.broadcast(shift), part == F.col("_p")).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_p", "_shift")
 
 
+def quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """The exact quantile of a column's values that aren't null, with linear interpolation; None if there are none. Values are sorted in ranges, of which no task holds all."""
+    ranked = stored(in_order(df.select(F.col(col).cast("double").alias("x")).where("x IS NOT NULL"), ["x"], "r"))
+    n = ranked.count()
+    if not n:
+        return None
+    low = int(q * (n - 1))
+    near = {r["r"]: r["x"] for r in ranked.where(F.col("r").isin(low, low + 1)).collect()}
+    return near[low] + (q * (n - 1) - low) * (near.get(low + 1, near[low]) - near[low])
+
+
 def dictionary(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """``(value, code)``, codes in order of each value's first id."""
     seen = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("")).alias("value")).agg(F.min(id_col).alias("f"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.functions.scalars import quantile
 from canopy.operators.graph import both_ways
 from canopy.operators.tree import closure, path
+from canopy.storage import stored
 
 
 def labelled(tree: DataFrame, values: DataFrame, name: str) -> DataFrame:
@@ -79,7 +81,7 @@ def boundary_rate(tree: DataFrame, labels: DataFrame) -> DataFrame:
 
 def purity_summary(pure: DataFrame) -> DataFrame:
     """Q2."""
-    return pure.agg(F.avg("purity").alias("mean"), F.median("purity").alias("median"), F.min("purity").alias("least"), F.count("purity").alias("n"))
+    return pure.agg(F.avg("purity").alias("mean"), F.lit(quantile(pure, "purity", 0.5)).cast("double").alias("median"), F.min("purity").alias("least"), F.count("purity").alias("n"))
 
 
 def top_label_pairs(tree: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
@@ -107,11 +109,10 @@ def coherence(tree: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("share", F.coalesce(F.try_divide("boundary", F.col("internal") + F.col("boundary")), F.lit(0.0)))
 
 
-def steep_edges(tree: DataFrame, values: DataFrame, quantile: float = 0.99) -> DataFrame:
+def steep_edges(tree: DataFrame, values: DataFrame, share: float = 0.99) -> DataFrame:
     """Q6: edges whose ends differ by more than the quantile of all edges (linear interpolation)."""
-    d = edge_delta(tree, values)
-    cut = d.agg(F.percentile("delta", quantile).alias("cut"))
-    return d.join(F.broadcast(cut), F.col("delta") > F.col("cut")).drop("cut")
+    d = stored(edge_delta(tree, values))
+    return d.where(F.col("delta") > F.lit(quantile(d, "delta", share)))
 
 
 def failure_paths(rooted_forest: DataFrame, predictions: DataFrame, values: DataFrame, per_class: int = 20, top: int = 5) -> DataFrame:

@@ -104,5 +104,6 @@ def stratified_sample(df: DataFrame, id_col: str, group_col: str, max_items: int
     q = quotas(sizes, max_items, mode)
     take = df.sparkSession.createDataFrame(sorted(q.items()) or [("", 0)], "_take string, _quota long")
     w = Window.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
-    ranked = df.withColumn("_g", g).withColumn("_r", F.row_number().over(w))
+    # No group gives more than the largest quota, which Spark cuts each part of a group to before it is moved
+    ranked = df.withColumn("_g", g).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(q.values(), default=0))
     return ranked.join(F.broadcast(take), F.col("_g") == F.col("_take")).where("_r <= _quota").drop("_g", "_r", "_take", "_quota")

@@ -11,7 +11,7 @@ from canopy.storage import stored
 
 
 class SignatureIndex:
-    """Signatures ``(id, sig)`` and their bands."""
+    """Signatures ``(id, sig)`` and their bands. Signatures of empty sets are kept, but found only with ``keep_empty``: empty sets are no neighbours, of each other neither."""
 
     def __init__(self, d: int = 128, l: int | None = None, store: bool = True, keep_empty: bool = False) -> None:  # noqa: E741
         self.d, self.l = d, l if l is not None else max(1, d // 2)
@@ -68,9 +68,13 @@ class SignatureIndex:
         return self.sigs
 
     def candidates(self, queries: DataFrame | None = None, budget: int = 50) -> DataFrame:
-        """``(i, j, first_band)``: the first ``budget`` in order of the first shared band, then id. Without queries, each member asks, and takes a slot itself."""
+        """``(i, j, first_band)``: the first ``budget`` in order of the first shared band, then id. Without queries, each member asks, and takes a slot itself.
+
+        Of a bucket only the ``budget`` least ids can be among the first ``budget`` of anything that shares it, so that a bucket of very many members meets itself that many times at most.
+        """
         asked = self.bands.withColumnRenamed("id", "i") if queries is None else bands(queries, self.l).withColumnRenamed("id", "i")
-        met = asked.join(self.bands.withColumnRenamed("id", "j"), ["band", "h"])
+        least = self.bands.withColumn("_r", F.row_number().over(Window.partitionBy("band", "h").orderBy("id"))).where(F.col("_r") <= budget).drop("_r")
+        met = asked.join(least.withColumnRenamed("id", "j"), ["band", "h"])
         first = met.groupBy("i", "j").agg(F.min("band").alias("first_band"))
         w = Window.partitionBy("i").orderBy("first_band", "j")
         return first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= budget).drop("r")
@@ -96,7 +100,7 @@ class SignatureIndex:
 
     def linear_scan(self, query: DataFrame, subset: DataFrame, k: int = 10) -> DataFrame:
         """Exact signature distance to the members in ``subset (id)``."""
-        pairs = query.select(F.col("id").alias("i")).crossJoin(F.broadcast(subset.select(F.col("id").alias("j"))))
+        pairs = query.select(F.col("id").alias("i")).crossJoin(subset.select(F.col("id").alias("j")))
         return ranked(self._distances(pairs, query), k)
 
     def all_distances(self, signature: list) -> DataFrame:

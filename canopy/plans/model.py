@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.encode import band_count, minhash
+from canopy.functions.scalars import quantile
 from canopy.operators import tree as trees
+from canopy.operators.ann import approximate_knn
 from canopy.operators.graph import degree_root, edges_from_graph
 from canopy.operators.knn import exact_knn, jaccard_knn, knn_from_matrix, ranked
 from canopy.operators.layout import LayoutConfig, layout_from_edges
@@ -17,8 +19,7 @@ from canopy.operators.lsh import SignatureIndex
 from canopy.schema import METRICS, InputKind, check, kind_of
 from canopy.storage import stored
 
-#: Sets up to which Jaccard neighbours are exact; beyond, signatures and bands find them.
-EXACT_SETS = 50_000
+SEARCHES = ("exact", "index")
 
 
 class NotFitted(RuntimeError):
@@ -26,15 +27,20 @@ class NotFitted(RuntimeError):
 
 
 class TreeMap:
-    """M1-M7. Inputs are ``(id, on)``, ``(id, tokens)``, ``(id, v)`` or ``(i, j, d)``."""
+    """M1-M7. Inputs are ``(id, on)``, ``(id, tokens)``, ``(id, v)`` or ``(i, j, d)``.
 
-    def __init__(self, n_neighbors: int = 20, metric: str = "jaccard", n_permutations: int = 512, kc: int = 50, seed: int = 42, minhash_seed: int = 42, layout_iterations: int = 1000, layout_config: LayoutConfig | None = None, exact_sets: int = EXACT_SETS) -> None:
+    search: ``exact`` neighbours, or those that an ``index`` finds at any size: signatures and bands for sets, which miss most neighbours that aren't near copies (see the README), cells for vectors.
+    """
+
+    def __init__(self, n_neighbors: int = 20, metric: str = "jaccard", n_permutations: int = 512, kc: int = 50, seed: int = 42, minhash_seed: int = 42, layout_iterations: int = 1000, layout_config: LayoutConfig | None = None, search: str = "exact") -> None:
         metric = metric.lower()
         if metric not in METRICS:
             raise ValueError(f"metric is one of {', '.join(METRICS)}")
+        if search not in SEARCHES:
+            raise ValueError(f"search is one of {', '.join(SEARCHES)}")
         if min(n_neighbors, n_permutations, kc) < 1:
             raise ValueError("n_neighbors, n_permutations and kc must be positive")
-        self.options = {"n_neighbors": n_neighbors, "metric": metric, "n_permutations": n_permutations, "kc": kc, "seed": seed, "minhash_seed": minhash_seed, "layout_iterations": layout_iterations, "exact_sets": exact_sets}
+        self.options = {"n_neighbors": n_neighbors, "metric": metric, "n_permutations": n_permutations, "kc": kc, "seed": seed, "minhash_seed": minhash_seed, "layout_iterations": layout_iterations, "search": search}
         self.layout_config = layout_config or LayoutConfig(k=n_neighbors, kc=kc, fme_iterations=layout_iterations, seed=seed)
         self._clear()
 
@@ -97,7 +103,7 @@ class TreeMap:
         return self
 
     def _approximate(self) -> bool:
-        return self.options["metric"] == "jaccard" and self.n > self.options["exact_sets"]
+        return self.options["search"] == "index"
 
     def _sign(self, sets: DataFrame) -> DataFrame:
         return minhash(sets, self.options["n_permutations"], self.options["minhash_seed"])
@@ -105,7 +111,7 @@ class TreeMap:
     def _neighbours(self) -> DataFrame:
         k, metric = self.options["n_neighbors"], self.options["metric"]
         if metric != "jaccard":
-            return exact_knn(self._data, k, metric)
+            return (approximate_knn if self._approximate() else exact_knn)(self._data, k, metric)
         if not self._approximate():
             return jaccard_knn(self._data, k)
         d = self.options["n_permutations"]
@@ -129,7 +135,7 @@ class TreeMap:
             raise TypeError(f"the model was fitted on {self.kind.value}")
         if metric != "jaccard":
             check(points, self.kind, self._data.select(F.size(self._data.columns[1])).first()[0])
-            return exact_knn(self._data, min(k, self.n), metric, points)
+            return (approximate_knn if self._approximate() else exact_knn)(self._data, min(k, self.n), metric, points)
         if self._approximate():
             return self.index_.query(self._sign(points), k, self.options["kc"])
         return jaccard_knn(self._data, k, points)
@@ -153,9 +159,9 @@ class TreeMap:
         others = near.where("rank > 1").groupBy(F.col("i").alias("id")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
         a, b = (e.select(F.col("id").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for n in ("i", "j"))
         pairs = self.graph_.where("rank = 1").select("i", "j").join(a, "i").join(b, "j")
-        scale = pairs.agg(F.median(F.hypot(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"))).alias("s"))
+        scale = quantile(pairs.select(F.hypot(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")).alias("d")), "d", 0.5)
         whole = e.agg(F.avg("x").alias("ax"), F.avg("y").alias("ay"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("range"))
-        rows = ids.join(first, "id", "left").join(others, "id", "left").crossJoin(F.broadcast(scale)).crossJoin(F.broadcast(whole))
+        rows = ids.join(first, "id", "left").join(others, "id", "left").crossJoin(F.broadcast(whole))
         seed = F.lit(self.options["seed"])
 
         def uniform(salt: int):
@@ -163,7 +169,7 @@ class TreeMap:
 
         turn = 2 * 3.141592653589793 * uniform(3)
         norm = F.hypot(F.col("mx") - F.col("px"), F.col("my") - F.col("py"))
-        step = 0.3 * F.when(F.coalesce("s", F.lit(0.0)) > 0, F.col("s")).otherwise(1.0)
+        step = 0.3 * F.lit(scale or 1.0)
         radius, angle = F.sqrt(-2 * F.log(uniform(1))), 2 * 3.141592653589793 * uniform(2)
         shake = jitter * F.col("range")
 
