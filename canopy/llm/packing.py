@@ -26,34 +26,33 @@ from canopy.llm.tokencount import apart
 from canopy.llm.transducer import split_texts, vocabulary
 
 PIECES = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long"
-#: Pieces whose ids a worker keeps; bounds memory only.
-CACHED = 150_000
 
 
 class Encoder:
-    """Token ids of whole texts: distinct pieces are merged once, their ids are taken for each occurrence."""
+    """Token ids of whole texts: the distinct pieces of a block are merged in one call, their ids are taken for each occurrence."""
 
     def __init__(self, spec: str) -> None:
         import tiktoken
 
         tokens, self.added = vocabulary(spec)
-        # The pattern takes a piece as it is: pieces are cut before
-        self.bpe = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=tokens, special_tokens={})
-        self.known: dict[bytes, list[int]] = {}
+        # Pieces are cut before; the pattern takes each as it is, and the NUL between two of them as one of its own
+        self.bpe = tiktoken.Encoding("own", pat_str=r"[^\x00]+|\x00", mergeable_ranks=tokens, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=tokens, special_tokens={})
+        self.between = tokens.get(b"\0")
 
     def _ids(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all distinct pieces, joined, and their n + 1 bounds."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known, merge, rows = self.known, self.bpe.encode_ordinary, []
-        for piece in vocab.to_pylist():
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = merge(piece.decode())
-            rows.append(ids)
-        bounds = np.zeros(len(rows) + 1, np.int64)
-        np.cumsum([len(r) for r in rows], out=bounds[1:])
-        return np.fromiter((i for r in rows for i in r), np.uint32, int(bounds[-1])), bounds
+        pieces = vocab.to_pylist()
+        if self.between is None or any(b"\0" in p for p in pieces):
+            rows = [self.whole.encode_ordinary(p.decode()) for p in pieces]
+            bounds = np.zeros(len(rows) + 1, np.int64)
+            np.cumsum([len(r) for r in rows], out=bounds[1:])
+            return np.fromiter((i for r in rows for i in r), np.uint32, int(bounds[-1])), bounds
+        ids = np.array(self.bpe.encode_ordinary(b"\0".join(pieces).decode()), np.uint32)
+        # No token of a piece without NUL has one
+        cut = np.flatnonzero(ids == self.between)
+        ends = np.append(cut, len(ids)) if pieces else np.zeros(0, np.int64)
+        return np.delete(ids, cut), np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, joined, and their n + 1 bounds."""

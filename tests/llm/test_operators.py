@@ -132,6 +132,16 @@ def test_packing(docs, texts, spec, tokenizer):
         assert at == len(ids)
 
 
+def test_ids_of_texts_with_and_without_nul(spec, tokenizer):
+    import pyarrow as pa
+
+    from canopy.llm.packing import encoder
+
+    for texts in (["a b", "", "one\x00two \x00", "\x00\x00", "x"], ["plain text", "", "Plain  text\n"], [""], []):
+        ids, bounds = encoder(spec).encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_levels_take_fewer_sequences_than_best_fit_of_blocks(spark, spec):
     from canopy.llm.packing import pack
 
