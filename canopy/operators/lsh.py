@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.encode import MASK, bands, signature_distance
-from canopy.operators.knn import ranked
+from canopy.operators.knn import BROADCAST_BYTES, ranked
 from canopy.storage import stored
 
 
@@ -93,6 +93,23 @@ class SignatureIndex:
         """Neighbours of ``queries (id, sig)``; members of the same id aren't left out."""
         return ranked(self._distances(self.candidates(queries, k * kc).select("i", "j"), queries), k)
 
+    def search(self, queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+        """Neighbours of the members in ``queries (id)`` by exact Jaccard distance of ``sets (id, set)``, of all members that share a band with them, however many; pairs without a common element are left out, as ``jaccard_knn`` does.
+
+        No candidate is cut, so that recall depends on the bands alone: with bands of one value, a member at similarity s is missed with probability (1 - s)^bands. Pairs are of the queries and members only. Sets go to every executor if their size, which is checked, allows.
+        """
+        own = sets.select(F.col(sets.columns[0]).alias("j"), F.array_distinct(sets.columns[1]).alias("s")).where(F.size("s") > 0)
+        own = stored(own)
+        asked = self.bands.join(queries.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "i")
+        # Pairs are few bytes and much work: as many tasks as shuffles have, one partitioning for pairs, distances and ranks
+        tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = asked.join(self.bands.withColumnRenamed("id", "j"), ["band", "h"]).select("i", "j").repartition(tasks, "i").distinct()
+        size = own.agg(F.sum(F.expr("aggregate(s, 0L, (t, x) -> t + 8 + coalesce(octet_length(cast(x AS string)), 0))"))).first()[0] or 0
+        right = F.broadcast(own) if size <= BROADCAST_BYTES else own
+        left = right.select(F.col("j").alias("i"), F.col("s").alias("q"))
+        met = pairs.join(F.broadcast(left) if size <= BROADCAST_BYTES else left, "i").join(right, "j").select("i", "j", F.size(F.array_intersect("q", "s")).alias("n"), (F.size("q") + F.size("s")).alias("both"))
+        return ranked(met.where("n > 0").select("i", "j", (F.lit(1.0) - F.col("n") / (F.col("both") - F.col("n"))).alias("d")), k)
+
     def query_by_id(self, of: int, k: int, kc: int = 10) -> DataFrame:
         """One neighbour more is asked for, and the row itself dropped."""
         found = self.candidates(self.signature(of), (k + 1) * kc).where("i <> j").select("i", "j")

@@ -164,6 +164,15 @@ half(id, k, lo, hi) AS (SELECT id, 0, 0::DOUBLE, 14::DOUBLE FROM n UNION ALL SEL
     "lsh_bands": q(SIGNATURES, "SELECT band, count(*) AS buckets, max(n) AS largest FROM (SELECT band, h, count(*) AS n FROM band GROUP BY ALL) GROUP BY band"),
     "lsh_candidates": q(f"{SIGNATURES}, {CANDIDATES}", "SELECT i, j, first_band FROM cand"),
     "lsh_knn": q(f"{SIGNATURES}, {CANDIDATES},", signature_rank("i <> j")),
+    "lsh_recall": q(TOKENS, "SELECT count(DISTINCT id) AS n, true AS enough FROM tok WHERE id % 20 = 0"),
+    "lsh_search": q(
+        f"{SIGNATURES},",
+        f"""place AS MATERIALIZED (SELECT id, p, h FROM sig), n AS (SELECT id, count(*) AS n FROM tok GROUP BY id),
+        cand AS MATERIALIZED (SELECT DISTINCT x.id AS i, y.id AS j FROM place x JOIN place y ON x.p = y.p AND x.h = y.h WHERE x.id % 20 = 0),
+        met AS (SELECT x.id AS i, y.id AS j, count(*) AS c FROM tok x JOIN tok y ON x.t = y.t WHERE x.id % 20 = 0 GROUP BY ALL),
+        dist AS (SELECT i, j, 1 - c::DOUBLE / (a.n + b.n - c) AS d FROM met JOIN cand USING (i, j) JOIN n a ON a.id = i JOIN n b ON b.id = j)
+        SELECT i, rank, j, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM dist) WHERE rank <= {K}""",
+    ),
     "lsh_query": q(f"{SIGNATURES}, {CANDIDATES},", signature_rank("i % 20 = 0")),
     "knn_edges": q(EDGES, "SELECT u, v, round(w, 6) AS w FROM k"),
     "clean_edges": q(GRAPH, "SELECT least(i, j) AS u, greatest(i, j) AS v, round(min(d - 0.6), 6) AS w FROM g WHERE d - 0.6 >= 0 GROUP BY ALL"),

@@ -233,6 +233,27 @@ def lsh_query(spark, sf_dir):
     return idx.query(external(idx.sigs), K, 10)
 
 
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index of bands of one value finds for the stated queries."""
+    t = stored(token_ids(spark, sf_dir))
+    idx = SignatureIndex(PERMUTATIONS, PERMUTATIONS).add(encode.minhash(t, PERMUTATIONS, SEED)).build()
+    return idx.search(external(t), t, K)
+
+
+@query
+def lsh_search(spark, sf_dir):
+    return searched(spark, sf_dir)
+
+
+@query
+def lsh_recall(spark, sf_dir):
+    """Whether that index finds nine of ten exact neighbours of the stated queries, or more."""
+    t = tokens(spark, sf_dir)
+    true = stored(knn.jaccard_knn(t, K, external(t)))
+    n = knn.recall(true, searched(spark, sf_dir), K)
+    return n.select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query
 def weighted_minhash(spark, sf_dir):
     """Rows only: the samples come from a published scheme with seeded draws."""

@@ -130,6 +130,32 @@ def test_lsh_queries_and_files(index, spark, tmp_path):
         SignatureIndex(128, store=False).add(idx.sigs).build().knn_graph(2)
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_lsh_search_finds_exact_neighbours(spark, limit, monkeypatch):
+    from canopy.operators import lsh
+
+    monkeypatch.setattr(lsh, "BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(3)
+    # Sets of low similarity, as texts have, a third of them one set, an empty one and a null one
+    sets = [sorted({int(x) for x in rng.zipf(1.5, 60) if x < 4000}) for _ in range(200)] + [list(range(5000, 5020))] * 100 + [[], None]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, on array<long>")
+    idx = SignatureIndex(32, 32).add(encode.minhash(df, 32, 7)).build()
+    asked = df.where("id % 20 = 0 OR id >= 300")
+    got = {}
+    for r in idx.search(asked, df, 5).collect():
+        got.setdefault(r["i"], []).append((r["d"], r["j"]))
+    hits = total = 0
+    for i in [*range(0, 300, 20)]:
+        a = set(sets[i])
+        exact = {j: 1 - len(a & set(s)) / len(a | set(s)) for j, s in enumerate(sets) if s and a & set(s)}
+        best = sorted((d, j) for j, d in exact.items())[:5]
+        assert got[i] == sorted(got[i]) and all(d == pytest.approx(exact[j]) for d, j in got[i])
+        hits += len({j for _, j in got[i]} & {j for _, j in best})
+        total += len(best)
+    assert hits >= 0.9 * total and not {300, 301} & set(got)
+    assert [j for _, j in got[220]] == [200, 201, 202, 203, 204]
+
+
 def test_kinds_and_checks(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "id long, v array<double>")
     assert kind_of(d) is InputKind.DENSE
