@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from canopy.llm.durable import durable
-from canopy.llm.text import ALNUM_WORDS, by_block, segments, split_words, then_give_back
+from canopy.llm.text import ALNUM_WORDS, blocks, by_block, segments, split_words, then_give_back
 
 #: Words of test items in one broadcast; more items are looked up in further passes.
 BLOCK_WORDS = 200_000
@@ -31,32 +31,32 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def posted(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    """One segment ``(ids, n_words, terms, bounds, positions)`` of some documents."""
+    words = split_words(text, ALNUM_WORDS, lower=True)
+    n_words = np.diff(words.first)
+    place = np.arange(len(words.codes)) + np.repeat(np.arange(len(n_words)), n_words)
+    order = np.argsort(words.codes, kind="stable")
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(words.codes, minlength=len(words.vocab)))))
+
+    def one(values: pa.Array, of: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(of))
+
+    return pa.record_batch(
+        [one(ids, ids.type), one(pa.array(n_words), pa.int32()), one(words.vocab, pa.binary()), one(pa.array(bounds), pa.int32()), one(pa.array(place[order]), pa.int32())],
+        names=["ids", "n_words", "terms", "bounds", "positions"],
+    )
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments ``(segment, ids, n_words, terms, bounds, positions)``, written to shared storage.
 
     ``positions[bounds[t]:bounds[t + 1]]`` are those of ``terms[t]``; document d has positions ``first[d] + 0 ..`` where ``first`` adds up ``n_words + 1``, so that no phrase crosses documents. Null and empty texts have no words.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, text = batch.columns
-        words = split_words(text, ALNUM_WORDS, lower=True)
-        n_words = np.diff(words.first)
-        place = np.arange(len(words.codes)) + np.repeat(np.arange(len(n_words)), n_words)
-        order = np.argsort(words.codes, kind="stable")
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(words.codes, minlength=len(words.vocab)))))
-
-        def one(values: pa.Array, of: pa.DataType) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(of))
-
-        return pa.record_batch(
-            [one(ids, ids.type), one(pa.array(n_words), pa.int32()), one(words.vocab, pa.binary()), one(pa.array(bounds), pa.int32()), one(pa.array(place[order]), pa.int32())],
-            names=["ids", "n_words", "terms", "bounds", "positions"],
-        )
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = rows.mapInArrow(by_block("text", work), f"ids array<{kind}>, n_words array<int>, terms array<binary>, bounds array<int>, positions array<int>")
-    return durable(made.select(F.monotonically_increasing_id().alias("segment"), "*"))
+    made = rows.mapInArrow(by_block("text", lambda batch: posted(*batch.columns)), f"ids array<{kind}>, n_words array<int>, terms array<binary>, bounds array<int>, positions array<int>")
+    return durable(made.select(F.monotonically_increasing_id().alias("segment"), "*"), wide=True)
 
 
 @dataclass
@@ -187,13 +187,13 @@ def query_blocks(items: DataFrame, block_words: int, window: int) -> Iterator[li
     yield block
 
 
-def matches(index: DataFrame, benchmark: DataFrame, window: int = 8, slop: int = SLOP, item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(id, n_words, items, spans, near)`` of each document: the items with a window in it, the merged word ranges ``[start, end)`` that their occurrences cover, and the items whose rarest terms stand near each other.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: int = SLOP, item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``(id, n_words, items, spans, near)`` of each document ``(id, text)``: the items with a window in it, the merged word ranges ``[start, end)`` that their occurrences cover, and the items whose rarest terms stand near each other.
 
-    Test items go to the executors in blocks of at most ``block_words`` words, one pass over the index each. The first pass returns every document, further ones only documents with a match.
+    Test items go to the executors in blocks of at most ``block_words`` words. One block is looked up in each segment where that is made, so that no segment, whose postings are larger than its texts, passes through the JVM. For more, the index is written, and each takes a pass over it: the first one returns every document, further ones only documents with a match.
     """
-    spark = index.sparkSession
-    kind = index.schema["ids"].dataType.elementType.simpleString()
+    spark = docs.sparkSession
+    kind = docs.schema["id"].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     passes = []
@@ -235,9 +235,17 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = 8, slop: int =
 
         passes.append(look)
     out = f"_segment long, _row long, id {kind}, n_words long, items array<{item_kind}>, spans array<struct<start:long,end:long>>, near array<{item_kind}>"
-    first = index.mapInArrow(then_give_back(passes[0]), out)
     if len(passes) == 1:
-        return first.drop("_segment", "_row")
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in blocks(batch, "text"):
+                    segment = posted(*part.columns)
+                    yield from passes[0](iter([segment.append_column("segment", pa.array([0]))]))
+
+        return durable(docs.mapInArrow(then_give_back(made), out).drop("_segment", "_row"), wide=True)
+    index = build_index(docs, "id")
+    first = index.mapInArrow(then_give_back(passes[0]), out)
     further = reduce(DataFrame.unionByName, [index.mapInArrow(then_give_back(look), out) for look in passes[1:]])
     more = further.groupBy("_segment", "_row").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("items", "spans", "near")])
     joined = first.join(more, ["_segment", "_row"], "left")
@@ -264,7 +272,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
 
     Words are lower-cased runs of digits, letters and non-ASCII. A document word inside an occurrence of an item's window is hit; ``contaminated``: windows of ``min_items`` items or more occur. ``near``: items of which the ``NEAR_TERMS`` words that are rarest in the benchmark stand within ``SLOP`` words of an occurrence of the rarest of them, in any order. Null and empty texts have no words; null or wordless items have no windows; long documents and items are looked at whole; repeated documents are looked at each, repeated items count once for each id; an empty table on either side gives rows without hits, or none; other columns don't matter.
     """
-    found = matches(build_index(docs, id_col, text_col), benchmark, window, SLOP, item_col, item_text)
+    found = matches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, window, SLOP, item_col, item_text)
     return found.select(
         F.col("id").alias(id_col), "n_words", covered(F.col("spans")).alias("n_hit"), F.array_distinct("items").alias("items"), "spans",
         (F.size(F.array_distinct("items")) >= min_items).alias("contaminated"), F.array_distinct("near").alias("near"),

@@ -269,6 +269,27 @@ def test_no_benchmark_and_proximity(docs, texts, spark):
     assert got == want and ("q", 4, 1) in got
 
 
+def test_segments_stay_out_of_the_jvm_or_in_small_row_groups(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from canopy.llm import decontam
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, f"a b c {rng.randbytes(2 << 20).hex(' ', 4)} stop") for i in range(4)], "doc_id long, text string").coalesce(1)
+    files = [f for f in decontam.build_index(docs).inputFiles() if f.endswith(".parquet")]
+    groups = [m.row_group(k) for f in files for m in [pq.read_metadata(f.removeprefix("file:"))] for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 4 and all(g.num_rows == 1 or g.total_byte_size <= 32 << 20 for g in groups) and len(groups) > 1
+
+    def refused(*_):
+        raise AssertionError("one block of items needs no written index")
+
+    monkeypatch.setattr(decontam, "build_index", refused)
+    items = spark.createDataFrame([(1, "a b c"), (2, "b a c")], "item_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    assert {r["doc_id"]: r["items"] for r in decontam.decontaminate(docs, items).collect()} == {i: [1] for i in range(4)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
 def fingerprint(t):
     w = SPACE.findall(lower(t))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
