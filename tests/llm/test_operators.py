@@ -688,6 +688,25 @@ def test_near_copies_go_and_others_stay(spark, crowd, rounds, monkeypatch):
     assert sorted(kept) == [i for i in range(len(texts)) if find(i) == i]
 
 
+def test_near_copies_by_fingerprint_go(spark):
+    from canopy.llm.simhash import near_duplicates
+    from canopy.llm.stages import drop_near_duplicates
+
+    rng = random.Random(3)
+    tail = lambda: " ".join(f"t{rng.randrange(10**6)}" for _ in range(12))
+    plate = "all rights to this page are reserved by us " * 60
+    # Equal but for their ends: fingerprints count repeats and agree, sets of shingles are alike by less than 0.8; the third is like the second in its set only
+    texts = [plate + tail(), plate + tail()]
+    texts += [texts[1][: 10 * len(plate) // 60] + texts[1][len(plate) :], "something else than those before it", tail()]
+    sets = [shingled(t) for t in texts]
+    assert 5 * len(sets[0] & sets[1]) < 4 * len(sets[0] | sets[1]) and sets[1] == sets[2]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    prints = by_id(near_duplicates(spark.createDataFrame(rows, DOCS)))
+    assert prints[1]["component_id"] == 0
+    kept = [r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(kept) == [0, 3, 4]
+
+
 def test_pipeline_stages(spark, labelled, texts, tmp_path):
     import corpus_pipeline
 
