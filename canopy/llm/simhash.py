@@ -22,6 +22,8 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Fingerprints of a key group that are compared in pairs; larger groups go by one-bit neighbours.
 PAIRED = 32
+#: Edges whose components one task finds; more go by rounds of joins. Each round plans a dozen exchanges, whose threads and buffers the driver keeps for a minute.
+ONE_TASK_EDGES = 1 << 19
 
 
 def shingle_hashes(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +140,33 @@ def links(values: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``(node, root)`` for the nodes of edges ``(a, b)``: the root is the least node of the component.
+def stars(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges ``(n, 2)`` that aren't the least of their component, and the least."""
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[other], nodes[root[other]]
 
-    Alternating large and small stars: in each round, neighbours of a node link to the least of them, until nothing changes. Edges stay in tables; links of a node with many are aggregated before they are moved.
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """``(node, root)`` for the nodes of edges ``(a, b)`` other than roots: the root is the least node of the component.
+
+    One task joins up to ``one_task`` edges. Beyond, large and small stars alternate: in each round, neighbours of a node link to the least of them, until nothing changes. Edges stay in tables; links of a node with many are aggregated before they are moved.
     """
-    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
+    if edges.count() <= one_task:
+
+        def run(batches):
+            pairs = [np.stack([c.to_numpy() for c in batch.columns], axis=1) for batch in batches]
+            if pairs:
+                yield pa.record_batch([pa.array(x) for x in stars(np.concatenate(pairs))], names=["node", "root"])
+
+        return durable(edges.coalesce(1).mapInArrow(then_give_back(run), "node long, root long"))
     state = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

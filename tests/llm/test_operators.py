@@ -320,6 +320,72 @@ def test_simhash(docs, texts):
     assert [(got[i]["fingerprint"], got[i]["component_id"]) for i in range(len(texts))] == [(f"{v:016x}", g) for v, g in zip(values, grouped(values))]
 
 
+@pytest.mark.parametrize("one_task", [1 << 19, 0])
+def test_components_by_one_task_and_by_rounds(spark, one_task):
+    from canopy.llm import simhash
+
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(-40, 0)] + [(7, 7)]
+    edges = chain + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(180)] + [(-(1 << 63), (1 << 63) - 1)]
+    want = {}
+    for a, b in edges:
+        one = {a, b} | want.get(a, set()) | want.get(b, set())
+        want |= dict.fromkeys(one, one)
+    spark.sparkContext.setJobGroup(f"components {one_task}", "")
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {one_task}")
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((n, min(one)) for n, one in want.items() if n != min(one))
+    # Few edges take few jobs, however long a chain: the driver's memory goes with the jobs of a minute
+    assert len(jobs) <= 8 or not one_task
+    empty = simhash.components(spark.createDataFrame([], "a long, b long"), one_task=one_task)
+    assert empty.collect() == []
+
+
+def test_driver_gives_freed_memory_back(spark):
+    from canopy.llm.durable import durable
+
+    jvm = spark.sparkContext._jvm
+    pid, outside = jvm.java.lang.ProcessHandle.current().pid(), jvm.org.apache.spark.unsafe.Platform
+
+    def resident():
+        with open(f"/proc/{pid}/status") as f:
+            return int(re.search(r"VmRSS:\s+(\d+)", f.read())[1]) >> 10
+
+    durable(spark.range(1))
+    held = [outside.allocateMemory(100_000) for _ in range(1500)]
+    for at in held[1:]:
+        outside.copyMemory(None, held[0], None, at, 100_000)
+    for at in held[:-1]:
+        outside.freeMemory(at)
+    before = resident()
+    durable(spark.range(1))
+    after = resident()
+    outside.freeMemory(held[-1])
+    assert after < before - 80
+
+
+def test_thresholds_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    from canopy.llm import toxicity
+
+    rng = random.Random(4)
+    words = ["the", "of", "and", "der", "die", "und", *("w%d" % i for i in range(500)), "vile"]
+    texts = [" ".join(rng.choice(words) for _ in range(12_000)) for _ in range(100)]
+    labels = np.array([i % 2 for i in range(100)])
+    model = toxicity.train(texts[:8], labels[:8], epochs=1)
+    tracemalloc.start()
+    toxicity._calibrate(model, texts, labels, [], labels[:0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    had = dict(model.thresholds)
+    monkeypatch.setattr(toxicity, "blocks", lambda batch, column, limit: iter([batch]))
+    toxicity._calibrate(model, texts, labels, [], labels[:0])
+    assert model.thresholds == had
+
+
 @pytest.mark.parametrize("paired", [32, 1])
 def test_links_of_near_fingerprints(spark, paired, monkeypatch):
     from canopy.llm import simhash
