@@ -58,3 +58,61 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": SUBSTRINGS,
     "op7_quality_rules": QUALITY,
 }
+
+#: crc32 (polynomial 0xEDB88320, reflected) of a number's decimal digits, bit by bit.
+CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _tree(name: str, base: str) -> str:
+    """Levels of the trees ``base (tree, pos, digest)``: nodes with their run's other digests to the left and right."""
+    return f"""{name}_up AS (SELECT 0 AS level, tree, pos, digest, count(*) OVER (PARTITION BY tree) AS n FROM {base}
+  UNION ALL SELECT level + 1, tree, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 7) // 8) FROM {name}_up WHERE n > 1 GROUP BY level, tree, pos // 8),
+{name} AS MATERIALIZED (SELECT a.level, a.tree, a.pos, any_value(a.digest) AS digest, any_value(a.n) AS n,
+  coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {name}_up a JOIN {name}_up b ON a.level = b.level AND a.tree = b.tree AND a.pos // 8 = b.pos // 8 GROUP BY a.level, a.tree, a.pos)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS tree, {_leaf("text")} AS leaf,
+  CASE WHEN {CRC32} % 3 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {_leaf("text")} END AS claimed FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+leaves AS (SELECT tree, pos, leaf AS digest FROM p),
+{_tree("low", "leaves")},
+subs AS MATERIALIZED (SELECT tree AS name, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM low WHERE n = 1),
+tops AS (SELECT '' AS tree, pos, subroot AS digest FROM subs),
+{_tree("high", "tops")},
+root AS (SELECT digest AS root FROM high WHERE n = 1),
+steps AS MATERIALIZED (SELECT rid, level AS step, l, r FROM p JOIN low ON low.tree = p.tree AND low.pos = p.pos // power(8, level)::BIGINT WHERE n > 1
+  UNION ALL SELECT rid, 100 + level, l, r FROM p JOIN subs ON subs.name = p.tree JOIN high ON high.pos = subs.pos // power(8, level)::BIGINT WHERE n > 1),
+numbered AS MATERIALIZED (SELECT rid, l, r, row_number() OVER (PARTITION BY rid ORDER BY step) AS k FROM steps),
+folds AS (SELECT rid, 0::BIGINT AS k, claimed AS digest FROM p UNION ALL SELECT f.rid, f.k + 1, sha256(l || f.digest || r) FROM folds f JOIN numbered s ON s.rid = f.rid AND s.k = f.k + 1),
+ends AS (SELECT rid, max_by(digest, k) AS folded_root FROM folds GROUP BY rid),
+proofs AS (SELECT rid, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM numbered GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN subs ON subs.name = p.tree JOIN ends USING (rid) LEFT JOIN proofs USING (rid) CROSS JOIN root"""
+
+AUDIT = rf"""
+WITH first AS (SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY 1),
+told AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACE}') AS ws FROM documents),
+f AS MATERIALIZED (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * (length(t) - length(translate(t, '{UPPER}', ''))) > 5 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > least THEN 'E' ELSE '' END) AS fails
+  FROM w JOIN first USING (t) LEFT JOIN told ON told.doc_id = w.doc_id),
+c AS MATERIALIZED (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+orders AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT filter_order, i::INT AS step, filter_order[i] AS k, filter_order[1 : i - 1] AS earlier FROM orders, range(1, 6) r(i)),
+each AS (SELECT part, filter_order, step, k, n, g, x, contains(fails, k) AS bad, len(translate(fails, earlier, '')) < len(fails) AS gone, fails = k AS alone FROM s, c),
+steps AS MATERIALIZED (SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND bad), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND bad), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (NOT gone AND bad), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (NOT gone AND bad), 0)::BIGINT AS toxic_lost FROM each GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley FROM steps"""
+
+ORACLE_SQL |= {"op12_merkle_manifest": MANIFEST, "op13_filter_audit": AUDIT}
