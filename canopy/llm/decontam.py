@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of segments. A segment covers some documents (a few MB of text) and holds their words' postings: sorted distinct terms, and for each the rising positions at which it stands. Test phrases are looked up in every segment: the list of a phrase's rarest term, shifted by the term's offset, is intersected with the shifted lists of its other terms in rising order of length. Segments are independent, so nothing is shuffled. Proximity matches begin likewise: at the places of an item's rarest term, whose lists are those of the rarest words in the test set, the others are looked for some words to either side.
+The index is a table of segments. A segment covers some documents (``SEGMENT_BYTES`` of text, or one that is longer) and holds their words' postings: sorted distinct terms, and for each the rising positions at which it stands. Test phrases are looked up in every segment: the list of a phrase's rarest term, shifted by the term's offset, is intersected with the shifted lists of its other terms in rising order of length. Segments are independent, so nothing is shuffled. Proximity matches begin likewise: at the places of an item's rarest term, whose lists are those of the rarest words in the test set, the others are looked for some words to either side.
 """
 
 from __future__ import annotations
@@ -8,20 +8,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from canopy.llm.durable import durable
-from canopy.llm.text import ALNUM_WORDS, blocks, by_block, segments, split_words, then_give_back
+from canopy.llm.durable import durable, gathered
+from canopy.llm.text import ALNUM_WORDS, by_block, segments, slices, split_words, then_give_back
 
 #: Words of test items in one broadcast; more items are looked up in further passes.
 BLOCK_WORDS = 200_000
+#: Bytes of text in a segment, unless one document has more.
+SEGMENT_BYTES = 2 << 20
 #: Candidates intersected at once in a segment.
 CANDIDATES = 1 << 20
 #: Terms of an item, the rarest in the test set, that stand within so many words in a proximity match.
@@ -39,23 +41,22 @@ def posted(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
     order = np.argsort(words.codes, kind="stable")
     bounds = np.concatenate(([0], np.cumsum(np.bincount(words.codes, minlength=len(words.vocab)))))
 
-    def one(values: pa.Array, of: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(of))
+    def packed(values: np.ndarray) -> pa.Array:
+        return pa.array([values.astype("<i4").tobytes()], pa.binary())
 
-    return pa.record_batch(
-        [one(ids, ids.type), one(pa.array(n_words), pa.int32()), one(words.vocab, pa.binary()), one(pa.array(bounds), pa.int32()), one(pa.array(place[order]), pa.int32())],
-        names=["ids", "n_words", "terms", "bounds", "positions"],
-    )
+    # Words hold no line breaks
+    terms = pa.array([b"\n".join(words.vocab.to_pylist())], pa.binary())
+    return pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), packed(n_words), terms, packed(bounds), packed(place[order])], names=["ids", "n_words", "terms", "bounds", "positions"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments ``(segment, ids, n_words, terms, bounds, positions)``, written to shared storage.
 
-    ``positions[bounds[t]:bounds[t + 1]]`` are those of ``terms[t]``; document d has positions ``first[d] + 0 ..`` where ``first`` adds up ``n_words + 1``, so that no phrase crosses documents. Null and empty texts have no words.
+    Numbers are packed as little-endian 32-bit integers and terms are joined by line breaks, so that the JVM moves bytes and no arrays. ``positions[bounds[t]:bounds[t + 1]]`` are those of ``terms[t]``; document d has positions ``first[d] + 0 ..`` where ``first`` adds up ``n_words + 1``, so that no phrase crosses documents. Null and empty texts have no words.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = rows.mapInArrow(by_block("text", lambda batch: posted(*batch.columns)), f"ids array<{kind}>, n_words array<int>, terms array<binary>, bounds array<int>, positions array<int>")
+    made = rows.mapInArrow(by_block("text", lambda batch: posted(*batch.columns), SEGMENT_BYTES), f"ids array<{kind}>, n_words binary, terms binary, bounds binary, positions binary")
     return durable(made.select(F.monotonically_increasing_id().alias("segment"), "*"), wide=True)
 
 
@@ -90,10 +91,13 @@ def phrases(items: list[tuple[object, str | None]], window: int) -> Phrases:
 
 
 class Segment:
-    def __init__(self, row: dict[str, pa.Array]) -> None:
-        self.ids, self.n_words = row["ids"], row["n_words"].to_numpy(zero_copy_only=False).astype(np.int64)
-        self.terms, self.bounds = row["terms"], row["bounds"].to_numpy(zero_copy_only=False).astype(np.int64)
-        self.positions = row["positions"].to_numpy(zero_copy_only=False)
+    def __init__(self, ids: pa.Array, n_words: bytes, terms: bytes, bounds: bytes, positions: bytes) -> None:
+        self.ids, self.n_words = ids, np.frombuffer(n_words, "<i4").astype(np.int64)
+        self.bounds, self.positions = np.frombuffer(bounds, "<i4").astype(np.int64), np.frombuffer(positions, "<i4")
+        data = np.frombuffer(terms, np.uint8)
+        breaks = data == ord("\n")
+        ends = np.append(np.flatnonzero(breaks), len(data)) if len(self.bounds) > 1 else np.zeros(0, np.int64)
+        self.terms = slices(data[~breaks], np.concatenate(([0], ends - np.arange(len(ends)))))
         self.first = np.concatenate(([0], np.cumsum(self.n_words + 1)))
         term = np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.bounds))
         self.keys = (term << 32) | self.positions
@@ -157,7 +161,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment]
     """Segments with their numbers."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.column("segment")[i].as_py(), Segment({name: batch.column(name)[i].values for name in batch.schema.names if name != "segment"})
+            yield batch.column("segment")[i].as_py(), Segment(batch.column("ids")[i].values, *[batch.column(c)[i].as_py() for c in ("n_words", "terms", "bounds", "positions")])
 
 
 def with_rarest(benchmark: DataFrame, id_col: str, text_col: str, n: int = NEAR_TERMS) -> DataFrame:
@@ -190,17 +194,21 @@ def query_blocks(items: DataFrame, block_words: int, window: int) -> Iterator[li
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: int = SLOP, item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(id, n_words, items, spans, near)`` of each document ``(id, text)``: the items with a window in it, the merged word ranges ``[start, end)`` that their occurrences cover, and the items whose rarest terms stand near each other.
 
-    Test items go to the executors in blocks of at most ``block_words`` words. One block is looked up in each segment where that is made, so that no segment, whose postings are larger than its texts, passes through the JVM. For more, the index is written, and each takes a pass over it: the first one returns every document, further ones only documents with a match.
+    The index is written once. Test items go to the executors in blocks of at most ``block_words`` words, each of which takes a pass over the index: the first one returns every document, further ones only documents with a match, and these go to one table.
     """
     spark = docs.sparkSession
     kind = docs.schema["id"].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    passes = []
-    for block in query_blocks(with_rarest(benchmark, item_col, item_text), block_words, window):
-        shared = spark.sparkContext.broadcast(([i for i, _, _ in block], phrases([(i, t) for i, t, _ in block], window), [r for _, _, r in block]))
+    index = build_index(docs, "id")
+
+    def passes() -> Iterator[DataFrame]:
+        for number, block in enumerate(query_blocks(with_rarest(benchmark, item_col, item_text), block_words, window)):
+            shared = spark.sparkContext.broadcast(([i for i, _, _ in block], phrases([(i, t) for i, t, _ in block], window), [r for _, _, r in block]))
+            yield index.mapInArrow(then_give_back(looking(shared, not number)), out)
 
-        def look(batches: Iterator[pa.RecordBatch], shared=shared, whole=not passes) -> Iterator[pa.RecordBatch]:
+    def looking(shared: Broadcast, whole: bool):
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, wanted, rare = shared.value
             ids_of = pa.array(names, item_type)
             length = (wanted.windows >= 0).sum(axis=1)
@@ -233,20 +241,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: int =
                 out = pa.record_batch([pa.array(np.full(docs, number)), pa.array(np.arange(docs)), segment.ids, pa.array(segment.n_words), items, spans, near], names=["_segment", "_row", "id", "n_words", "items", "spans", "near"])
                 yield out if whole else out.take(pa.array(np.flatnonzero((np.diff(bound) > 0) | (pc.list_value_length(near).to_numpy(zero_copy_only=False) > 0))))
 
-        passes.append(look)
-    out = f"_segment long, _row long, id {kind}, n_words long, items array<{item_kind}>, spans array<struct<start:long,end:long>>, near array<{item_kind}>"
-    if len(passes) == 1:
-
-        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in blocks(batch, "text"):
-                    segment = posted(*part.columns)
-                    yield from passes[0](iter([segment.append_column("segment", pa.array([0]))]))
+        return look
 
-        return durable(docs.mapInArrow(then_give_back(made), out).drop("_segment", "_row"), wide=True)
-    index = build_index(docs, "id")
-    first = index.mapInArrow(then_give_back(passes[0]), out)
-    further = reduce(DataFrame.unionByName, [index.mapInArrow(then_give_back(look), out) for look in passes[1:]])
+    out = f"_segment long, _row long, id {kind}, n_words long, items array<{item_kind}>, spans array<struct<start:long,end:long>>, near array<{item_kind}>"
+    asked = passes()
+    first = durable(next(asked), wide=True)
+    further = gathered(asked, wide=True)
+    if further is None:
+        return first.drop("_segment", "_row")
     more = further.groupBy("_segment", "_row").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("items", "spans", "near")])
     joined = first.join(more, ["_segment", "_row"], "left")
 

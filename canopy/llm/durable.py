@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,19 +62,27 @@ def durable(df: DataFrame, wide: bool = False) -> DataFrame:
 
     The result survives the loss of any executor and has no lineage; files go when the driver exits. ``wide``: rows may have some MB each. Parquet's writer looks at its size only after 100 rows, and its reader takes up to 4,096 of a row group at once; such rows are looked at one by one and written in groups of ``WIDE_BYTES``. What goes to Python meanwhile goes in batches of ``BATCH_BYTES`` and not of Spark's 64 MB, which each task would hold several times over, outside the heap.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/canopy-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH, None) if wide else None
-    if wide:
-        spark.conf.set(BATCH, str(BATCH_BYTES))
-    try:
-        df.write.options(compression="zstd", **(WIDE if wide else {})).parquet(path)
-    finally:
+    return gathered([df], wide)
+
+
+def gathered(tables: Iterable[DataFrame], wide: bool = False) -> DataFrame | None:
+    """``durable`` for tables of one schema, each written as it comes, that are read back as one; None if there are none."""
+    spark = path = None
+    for df in tables:
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_dir(spark)}/canopy-{uuid.uuid4().hex}"
+            _written.append((spark, path))
+        before = spark.conf.get(BATCH, None) if wide else None
         if wide:
-            spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
-    _written.append((spark, path))
-    give_back(spark)
-    return spark.read.schema(df.schema).parquet(path)
+            spark.conf.set(BATCH, str(BATCH_BYTES))
+        try:
+            df.write.mode("append").options(compression="zstd", **(WIDE if wide else {})).parquet(path)
+        finally:
+            if wide:
+                spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+        give_back(spark)
+    return None if path is None else spark.read.schema(schema).parquet(path)
 
 
 @atexit.register

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.durable import durable
-from canopy.llm.spans import CODED, coded, listed, with_spans
+from canopy.llm.spans import CODED, coded, cut, let, listed, parts, running, with_spans
 
 # Each pattern matches what the plain one beside it matches, without backtracking over long runs.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -27,6 +27,8 @@ VALUE_AT = r"^[A-Za-z][A-Za-z_.-]*\x20?[:=#]\x20?[\"'(]?"
 IDENTIFIER = r"(?<![^\s\"'(<>,;:=#])(?:@[A-Za-z0-9_.]{3,}+|[A-Za-z0-9+](?=(?:[^\s\"'<>,;0-9]*+[0-9]){3})[^\s\"'<>,;]*+)"
 #: A word of prose beside a value, and how many code points are looked at on either side.
 WORD, BESIDE = r"\p{L}[\p{L}'-]*+[:,.]?", 120
+#: Code points of a bucket in which values meet seeds.
+BUCKET = 256
 #: Different trusted values that a pattern needs, its least score, and rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
 #: Bytes of patterns that go to every executor.
@@ -80,19 +82,21 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
 
 
 def in_prose(spans: Column, text: Column) -> Column:
-    """Spans with ``patterns``: the last one to three words before each and the first after it, lower-cased."""
+    """Spans with ``patterns``: the last one to three words before each and the first after it, lower-cased. text: in ``parts``, a column already or bound by ``let``."""
 
     def patterns(s: Column) -> Column:
-        start, end = s["start"].cast("int"), s["end"].cast("int")
-        first = F.greatest(start - BESIDE, F.lit(0))
-        before = F.regexp_replace(F.lower(F.substring(text, first + 1, start - first)), r"\s+", " ")
-        after = F.regexp_replace(F.lower(F.substring(text, end + 1, F.lit(BESIDE))), r"\s+", " ")
-        out = []
-        for n in (1, 2, 3):
-            words = rf"{WORD}(?:\x20{WORD}){{{n - 1}}}"
-            out.append(F.concat(F.lit("< "), F.regexp_extract(before, rf"(?<!\S)({words})\x20[\"'(]?$", 1)))
-            out.append(F.concat(F.lit("> "), F.regexp_extract(after, rf"^[\"').,;:!?]*\x20({words})(?!\S)", 1)))
-        return F.filter(F.array(*out), lambda p: F.length(p) > 2)
+        before = F.regexp_replace(F.lower(cut(text, F.greatest(s["start"] - BESIDE, F.lit(0)), s["start"])), r"\s+", " ")
+        after = F.regexp_replace(F.lower(cut(text, s["end"], s["end"] + BESIDE)), r"\s+", " ")
+
+        def of(t: Column) -> Column:
+            out = []
+            for n in (1, 2, 3):
+                words = rf"{WORD}(?:\x20{WORD}){{{n - 1}}}"
+                out.append(F.concat(F.lit("< "), F.regexp_extract(t["before"], rf"(?<!\S)({words})\x20[\"'(]?$", 1)))
+                out.append(F.concat(F.lit("> "), F.regexp_extract(t["after"], rf"^[\"').,;:!?]*\x20({words})(?!\S)", 1)))
+            return F.filter(F.array(*out), lambda p: F.length(p) > 2)
+
+        return let(F.struct(before.alias("before"), after.alias("after")), of)
 
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), patterns(s).alias("patterns")))
 
@@ -100,23 +104,32 @@ def in_prose(spans: Column, text: Column) -> Column:
 def occurrences(spans: DataFrame) -> DataFrame:
     """``(_uid, label, value, start, end, seed)``: values by the patterns beside them.
 
-    A labelled value that overlaps a seed stands for it; other identifiers that do are left out, since the seed has its own words.
+    A labelled value that overlaps a seed stands for the first one of the first kind; other identifiers that do are left out, since the seed has its own words. Values meet seeds by document and bucket of ``BUCKET`` code points.
     """
-    seed = F.get(F.filter("seeds", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0))
-    each = spans.select("_uid", "seeds", F.explode("context").alias("c"))
+    seeds = spans.select("_uid", F.posexplode("seeds").alias("at", "c")).select("_uid", "at", "c.*")
+
+    def buckets(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / BUCKET), F.floor((F.greatest(end, start + 1) - 1) / BUCKET))).alias("bucket")
+
+    def overlapping(values: DataFrame) -> DataFrame:
+        """``(_uid, start, end, _seed)`` of values ``(_uid, start, end)`` that overlap seeds."""
+        left = values.select("_uid", "start", "end").distinct().select("*", buckets(F.col("start"), F.col("end")))
+        right = seeds.select("_uid", buckets(F.col("start"), F.col("end")), "at", F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("value").alias("seed"))
+        met = left.join(right, ["_uid", "bucket"]).where("s_start < end AND s_end > start")
+        return met.groupBy("_uid", "start", "end").agg(F.min(F.struct("at", "seed"))["seed"].alias("_seed"))
+
+    each = spans.select("_uid", F.explode("context").alias("c"))
     lead = F.length(F.regexp_extract("c.value", VALUE_AT, 0))
     value = F.regexp_replace(F.regexp_replace("c.value", VALUE_AT, ""), ENDING, "")
-    each = each.select(
-        "_uid", "seeds", F.lower(F.regexp_replace(F.regexp_extract("c.value", LABEL, 1), r"\x20", "")).alias("label"),
-        value.alias("value"), (F.col("c.start") + lead).alias("start"),
-    ).withColumn("end", F.col("start") + F.length("value"))
-    each = each.where("end > start").withColumn("_seed", seed["value"])
-    labelled = each.select("_uid", "label", F.coalesce("_seed", "value").alias("value"), "start", "end", F.col("_seed").isNotNull().alias("seed"))
-    known = spans.select("_uid", F.explode("seeds").alias("c")).select("_uid", F.explode("c.patterns").alias("label"), "c.value", "c.start", "c.end", F.lit(True).alias("seed"))
-    other = spans.select("_uid", "seeds", F.explode("other").alias("c"))
-    other = other.select("_uid", "seeds", F.col("c.patterns").alias("patterns"), F.regexp_replace("c.value", ENDING, "").alias("value"), F.col("c.start").alias("start")).withColumn("end", F.col("start") + F.length("value"))
-    other = other.where(seed.isNull()).select("_uid", F.explode("patterns").alias("label"), "value", "start", "end", F.lit(False).alias("seed"))
-    return labelled.unionByName(known).unionByName(other)
+    each = each.select("_uid", F.lower(F.regexp_replace(F.regexp_extract("c.value", LABEL, 1), r"\x20", "")).alias("label"), value.alias("value"), (F.col("c.start") + lead).alias("start"))
+    each = durable(each.withColumn("end", F.col("start") + F.length("value")).where("end > start"))
+    labelled = each.join(overlapping(each), ["_uid", "start", "end"], "left").select("_uid", "label", F.coalesce("_seed", "value").alias("value"), "start", "end", F.col("_seed").isNotNull().alias("seed"))
+    known = seeds.select("_uid", F.explode("patterns").alias("label"), "value", "start", "end", F.lit(True).alias("seed"))
+    other = spans.select("_uid", F.explode("other").alias("c"))
+    other = other.select("_uid", F.col("c.patterns").alias("patterns"), F.regexp_replace("c.value", ENDING, "").alias("value"), F.col("c.start").alias("start"))
+    other = durable(other.withColumn("end", F.col("start") + F.length("value")))
+    free = other.join(overlapping(other), ["_uid", "start", "end"], "left_anti")
+    return labelled.unionByName(known).unionByName(free.select("_uid", F.explode("patterns").alias("label"), "value", "start", "end", F.lit(False).alias("seed")))
 
 
 def standing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -177,7 +190,7 @@ def personal_data(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     found = base_spans(rows, "_text")
     base = F.concat(*[coded(F.col(k), k, i) for i, k in enumerate(KINDS)])
-    found = found.select("_row", F.array_sort(base).alias("base"), in_prose(F.concat(*KINDS), F.col("_text")).alias("seeds"), "context", in_prose(F.col("other"), F.col("_text")).alias("other"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
+    found = found.select("_row", F.array_sort(base).alias("base"), let(F.when(F.size("other") + sum(F.size(k) for k in KINDS) > 0, parts(F.col("_text"))), lambda t: F.struct(in_prose(F.concat(*KINDS), t).alias("seeds"), in_prose(F.col("other"), t).alias("other"))).alias("_prose"), "context", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]).select("*", "_prose.*").drop("_prose")
     found = durable(found.withColumn("_uid", F.monotonically_increasing_id()))
     extra = discovered(found.select("_uid", "seeds", "context", "other"), rows.select(F.col("_text").alias("text")))
     out = found.join(extra, "_uid", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(CODED)))))
@@ -195,26 +208,28 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def merged(spans: Column) -> Column:
     """Sorted spans with overlapping ones joined; the first one names the kind."""
-    start = F.array().cast(CODED)
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), last["order"].alias("order"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))
-        return F.when(last["end"] > s["start"], joined).otherwise(F.concat(acc, F.array(s)))
+    def joined(s: Column) -> Column:
+        far = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0).cast("long"))  # the furthest end so far
+        reach = F.concat(F.array(F.lit(0).cast("long")), far)
+        # A span that begins where all before it have ended opens a stretch, which goes as far as they do before the next one opens
+        opened = F.filter(F.zip_with(s, F.slice(reach, F.lit(1), F.size(s)), lambda x, before: F.struct(x.alias("s"), before.alias("before"))), lambda z: z["s"]["start"] >= z["before"])
+        closed = F.concat(F.transform(F.slice(opened, F.lit(2), F.size(opened)), lambda z: z["before"]), F.array(F.element_at(far, -1)))
+        return F.zip_with(opened, closed, lambda z, end: F.struct(z["s"]["start"].alias("start"), z["s"]["order"].alias("order"), end.alias("end"), z["s"]["kind"].alias("kind")))
 
-    return F.aggregate(F.array_sort(spans), start, add)
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), joined)).otherwise(F.array()).cast(CODED)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``[EMAIL]`` and the like; null texts stay null. Rows without personal data are unchanged."""
     found = personal_data(docs, text_col).withColumn("_cut", merged(F.col("_found.spans")))
-    text, cut = F.col(f"`{text_col}`"), F.col("_cut")
+    text, spans = F.col(f"`{text_col}`"), F.col("_cut")
+    zero = F.lit(0).cast("long")
 
-    def before(i: Column) -> Column:
-        return F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)).cast("int")
+    def replaced(t: Column) -> Column:
+        before = F.concat(F.array(zero), F.transform(spans, lambda s: s["end"]))
+        head = F.zip_with(spans, F.slice(before, F.lit(1), F.size(spans)), lambda s, b: F.concat(cut(t, b, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.concat(F.array_join(head, ""), cut(t, F.element_at(before, -1), F.length(text).cast("long")))
 
-    head = F.transform(cut, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"].cast("int") - before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substring(text, F.try_element_at(cut, F.lit(-1))["end"].cast("int") + 1, F.length(text))
-    out = F.when(F.size(cut) > 0, F.concat(F.array_join(head, ""), tail)).otherwise(text)
+    out = F.when(F.size(spans) > 0, let(parts(text), replaced)).otherwise(text)
     return found.select(*[(out.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])

@@ -169,5 +169,5 @@ def copies(rows: DataFrame, shingle: int = SHINGLE, alike: float = ALIKE) -> Dat
     whole = components(every.where("head <> near").select(F.col("head").alias("a"), F.col("near").alias("b")))
     classed = every.join(whole.withColumnRenamed("node", "head"), "head", "left").select("at", "id", F.coalesce("root", "head").alias("class"))
     kept = classed.groupBy("class").agg(F.min(key).alias("first"))
-    # A row which is the first of its class needs no look
-    return classed.join(kept, "class").where(F.col("at") != F.col("first.at")).select("at")
+    # By row: a class may be a large part of all rows
+    return classed.select("at").join(kept.select("first.at"), "at", "left_anti")

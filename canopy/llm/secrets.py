@@ -22,7 +22,7 @@ ENDPOINT = r"(?i)(?<![a-z])(?:https?|s3|jdbc:[a-z]{2,}+|postgres(?:ql)?|mysql|mo
 #: Roles of parts: 0 identifier, 1 secret, 2 endpoint. (kind, role, strong)
 PARTS = {"access": (0, True), "user": (0, False), "assign": (1, True), "short": (1, False), "blob": (1, False), "endpoint": (2, False)}
 WEAK = ("user", "short", "blob", "endpoint")
-REACH = 300
+REACH, NO_ROLE = 300, 9
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
@@ -50,13 +50,15 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(PARTS[kind][0]).alias("role")))
 
     roles = F.concat(*[part(k) for k in PARTS])
-    parts = durable(found.where(F.size(roles) > 1).select("_uid", "base", F.explode(roles).alias("p")).select("_uid", "base", "p.*"))
-    inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    weak = parts.where(F.col("kind").isin(*WEAK) & ~inside).select("_uid", "kind", "role", "start", "end", F.explode(F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))).alias("bucket"))
-    other = parts.select("_uid", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))).alias("bucket"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"))
+    # Hex runs are nobody's complement, but no weak part may stand in one
+    hexes = F.transform("hex", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("hex").alias("kind"), F.lit(NO_ROLE).alias("role")))
+    parts = durable(found.where(F.size(roles) > 1).select("_uid", F.explode(F.concat(roles, hexes)).alias("p")).select("_uid", "p.*"))
+    weak = parts.where(F.col("kind").isin(*WEAK)).select("_uid", "kind", "role", "start", "end", F.explode(F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))).alias("bucket"))
+    other = parts.select("_uid", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))).alias("bucket"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"), F.col("kind").isin(*KINDS).alias("strong"))
     near = weak.join(other, ["_uid", "bucket"]).where((F.col("o_start") <= F.col("end") + reach) & (F.col("o_end") >= F.col("start") - reach))
-    complementary = F.when(F.col("role") == 1, F.col("o_role") != 1).otherwise(F.col("o_role") == 1)
-    kept = near.where(complementary).select("_uid", "kind", "start", "end").distinct()
+    complementary = F.when(F.col("role") == 1, F.col("o_role").isin(0, 2)).otherwise(F.col("o_role") == 1)
+    inside = F.col("strong") & (F.col("o_start") < F.col("end")) & (F.col("o_end") > F.col("start"))
+    kept = near.groupBy("_uid", "kind", "start", "end").agg(F.max(complementary).alias("linked"), F.max(inside).alias("inside")).where("linked AND NOT inside")
     order = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(WEAK) for x in (k, len(KINDS) + i)]), F.col("kind"))
     return kept.groupBy("_uid").agg(F.collect_list(F.struct("start", order.alias("order"), "end", "kind")).cast(CODED).alias("added"))
 
