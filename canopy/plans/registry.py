@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from canopy.functions import encode, proteins, scalars
 from canopy.operators import analysis, ann, cells, facets, graph, knn, layout, tree
+from canopy.operators.graph_index import GraphIndex
 from canopy.operators.lsh import SignatureIndex
 from canopy.operators.vectors import VectorIndex
 from canopy.plans.model import TreeMap
@@ -159,6 +160,25 @@ def approximate_recall(spark, sf_dir):
     return n.select("n", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@query
+def graph_search_recall(spark, sf_dir):
+    """Whether best-first search on the stored graph finds nine of ten neighbours of the stated queries, or more, and descent nine of ten of all lists."""
+    p = points(spark, sf_dir)
+    q = external(p)
+    index = GraphIndex("cosine").build(p)
+    asked = knn.recall(stored(knn.exact_knn(p, K, "cosine", q)), index.search(q, K), K)
+    lists = knn.recall(stored(knn.exact_knn(p, K, "cosine")), index.neighbours(K), K)
+    found = asked.select("n", (F.col("recall") >= 0.9).alias("found"))
+    return found.join(lists.select(F.col("n").alias("members"), (F.col("recall") >= 0.9).alias("listed")))
+
+
+@query
+def graph_search_nearest(spark, sf_dir):
+    """The member that the graph finds nearest to each of the stated queries, which are members themselves."""
+    p = points(spark, sf_dir)
+    return GraphIndex("cosine").build(p).search(external(p), 1).select("i", "j", F.abs(F.round("d", 6)).alias("d"))
+
+
 @query
 def binary_neighbours(spark, sf_dir):
     """Jaccard neighbours by the signs of components."""
