@@ -37,6 +37,9 @@ def spread(start: str, name: str = "t") -> str:
   SELECT s.b, {name}.node, {name}.depth + 1, {name}.dist + s.w, list_append({name}.path, s.b) FROM {name} JOIN s ON s.a = {name}.node WHERE s.b IS DISTINCT FROM {name}.parent)"""
 
 
+WALKS = """walks(src, node, parent, hops, dist, path) AS (SELECT id, id, NULL::BIGINT, 0, 0::DOUBLE, [id] FROM e WHERE id % 20 = 0 UNION ALL
+  SELECT src, s.b, walks.node, hops + 1, walks.dist + s.w, list_append(walks.path, s.b) FROM walks JOIN s ON s.a = walks.node WHERE s.b IS DISTINCT FROM walks.parent)"""
+
 # All trees: that of the root of greatest degree, and the others from their least nodes
 COMPONENT = "comp(a, b) AS (SELECT id, id FROM e UNION SELECT comp.a, s.b FROM comp JOIN s ON s.a = comp.b), least_of AS (SELECT a AS node, min(b) AS low FROM comp GROUP BY a)"
 STARTS = "starts AS MATERIALIZED (SELECT node AS id FROM top UNION ALL SELECT DISTINCT low FROM least_of WHERE low <> (SELECT low FROM least_of JOIN top USING (node)))"
@@ -187,6 +190,8 @@ half(id, k, lo, hi) AS (SELECT id, 0, 0::DOUBLE, 14::DOUBLE FROM n UNION ALL SEL
     "subtree_sizes": q(f"{TREE}, {SIZES}", "SELECT node, size FROM sizes"),
     "tree_distances": q(f"{MST}, {spread('SELECT 0::BIGINT AS id')}", "SELECT id AS node, round(coalesce(dist, 'inf'::DOUBLE), 6) AS dist FROM e LEFT JOIN t ON t.node = id"),
     "tree_path": q(path_between(3, 77), "SELECT pos::BIGINT AS pos, node FROM way"),
+    "pair_distances": q(f"{MST}, {WALKS}", "SELECT a.id AS a, b.id AS b, hops::BIGINT AS hops, round(coalesce(dist, 'inf'::DOUBLE), 6) AS dist FROM e a JOIN e b ON a.id % 20 = 0 LEFT JOIN walks ON src = a.id AND node = b.id"),
+    "pair_paths": q(f"{MST}, {WALKS}", "SELECT src AS a, walks.node AS b, generate_subscripts(path, 1)::BIGINT - 1 AS pos, unnest(path) AS node FROM walks WHERE walks.node = src + 37"),
     "tree_ball": q(f"{MST}, {spread('SELECT 10::BIGINT AS id')}", "SELECT node, depth::BIGINT AS depth FROM t WHERE depth <= 4"),
     "pseudotime": q(f"{MST}, {spread('SELECT id FROM e ORDER BY x DESC, id LIMIT 1')}", "SELECT id AS node, round(coalesce(dist, 'inf'::DOUBLE), 6) AS dist FROM e LEFT JOIN t ON t.node = id"),
     "boundary_edges": q(f"{MST}, {LABELLED}", "SELECT u, v, round(w, 6) AS w, label_u::BIGINT AS label_u, label_v::BIGINT AS label_v FROM le WHERE label_u <> label_v"),

@@ -16,6 +16,7 @@ from canopy.functions import encode, proteins, scalars
 from canopy.operators import analysis, ann, cells, facets, graph, knn, layout, tree
 from canopy.operators.graph_index import GraphIndex
 from canopy.operators.lsh import SignatureIndex
+from canopy.operators.pairs import PathIndex
 from canopy.operators.vectors import VectorIndex
 from canopy.plans.model import TreeMap
 from canopy.plans.oracles import ORACLE_SQL
@@ -345,6 +346,22 @@ def tree_path(spark, sf_dir):
     return tree.path(rooted(spark, sf_dir), 3, 77)
 
 
+@query
+def pair_distances(spark, sf_dir):
+    """From every node whose id is divisible by 20 to all nodes."""
+    at = rooted(spark, sf_dir)
+    a = at.where("node % 20 = 0").select(F.col("node").alias("a"))
+    return PathIndex(at).meeting(a.join(at.select(F.col("node").alias("b")))).select("a", "b", "hops", "dist")
+
+
+@query
+def pair_paths(spark, sf_dir):
+    """The ways from the nodes whose id is divisible by 20 to the nodes of 37 more."""
+    at = rooted(spark, sf_dir)
+    pairs = at.where("node % 20 = 0").select(F.col("node").alias("a"), (F.col("node") + 37).alias("b"))
+    return PathIndex(at).paths(pairs.join(at.select(F.col("node").alias("b")), "b", "left_semi"))
+
+
 @query
 def tree_ball(spark, sf_dir):
     return tree.subtree(forest(spark, sf_dir), 10, 4)
