@@ -121,6 +121,7 @@ names AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY pl) - 1 AS id FR
 
 ORACLE_SQL: dict[str, str] = {
     "approximate_recall": "SELECT count(*) AS n, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
+    "cell_index_recall": "SELECT count(*) AS n, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "graph_search_recall": "SELECT count(*) FILTER (vec_id % 20 = 0) AS n, true AS found, count(*) AS members, true AS listed FROM embeddings",
     "graph_search_nearest": q(f"{POINTS}, qs AS (SELECT * FROM e WHERE id % 20 = 0), {neighbours('g', 1, left='qs', other='TRUE')}", "SELECT i, j, abs(round(d, 6)) AS d FROM g"),
     "binary_neighbours": q(

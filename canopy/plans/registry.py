@@ -173,6 +173,18 @@ def graph_search_recall(spark, sf_dir):
     return found.join(lists.select(F.col("n").alias("members"), (F.col("recall") >= 0.9).alias("listed")))
 
 
+@query
+def cell_index_recall(spark, sf_dir):
+    """Stored cells of nine tenths of the vectors, to which the others are added: whether the stated queries find nine of ten neighbours, or more."""
+    p = points(spark, sf_dir)
+    q = external(p)
+    index = VectorIndex("cosine", mode="cells").build_from_vectors(p.where("id % 10 <> 9"))
+    keys = stored(index.add(p.where("id % 10 = 9")))
+    named = index.query_batch(q, K).join(keys.select(F.col("key").alias("j"), F.col("id").alias("own")), "j", "left")
+    found = named.select("i", "rank", F.coalesce("own", "j").alias("j"), "d")
+    return knn.recall(stored(knn.exact_knn(p, K, "cosine", q)), found, K).select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query
 def graph_search_nearest(spark, sf_dir):
     """The member that the graph finds nearest to each of the stated queries, which are members themselves."""

@@ -44,3 +44,19 @@ def test_modes_of_an_index(spark, tmp_path):
         VectorIndex("jaccard", mode="approximate")
     with pytest.raises(ValueError):
         ann.approximate_knn(df, 60)
+
+
+@pytest.mark.parametrize("mode", ["cells", "graph"])
+def test_stored_modes_add_save_and_load(spark, tmp_path, mode):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 5))
+    index = VectorIndex("euclidean", mode=mode, probes=100).build_from_vectors(frame(spark, x[:50]))
+    keys = {r["id"]: r["key"] for r in index.add(frame(spark, x[50:])).collect()}
+    assert keys == {i: 50 + i for i in range(10)} and index.n == 60
+    index.save(str(tmp_path / "i"))
+    again = VectorIndex.load(spark, str(tmp_path / "i"))
+    assert again.mode == mode and again.n == 60
+    q = frame(spark, x)
+    exact = knn.exact_knn(frame(spark, x), 3, "euclidean", q)
+    assert knn.recall(exact, again.query_batch(q, 3), 3).first()["recall"] >= 0.9
+    assert again.query_knn(2).where("i = j").count() == 0
