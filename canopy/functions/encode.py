@@ -72,26 +72,32 @@ def minhash(sets: DataFrame, num_perm: int = 128, seed: int = 1) -> DataFrame:
     return sets.select(F.col(sets.columns[0]).alias("id"), F.col(sets.columns[1]).alias("x")).mapInArrow(run, f"id {kind}, sig array<bigint>")
 
 
+#: Values of a block of weighted vectors.
+WEIGHTED_VALUES = 1 << 20
+
+
 def weighted_minhash(vectors: DataFrame, dim: int, num_perm: int = 128, seed: int = 1) -> DataFrame:
     """``(id, sig ARRAY<STRUCT<k, y>>)`` by improved consistent weighted sampling (Ioffe 2010). Weights must be positive."""
     rng = np.random.RandomState(seed)
     r, log_c = rng.gamma(2, 1, (num_perm, dim)), np.log(rng.gamma(2, 1, (num_perm, dim)))
     beta = rng.uniform(0, 1, (num_perm, dim))
 
+    # Rows of a block, so that its values for all permutations stay small
+    step = max(1, WEIGHTED_VALUES // (num_perm * max(dim, 1)))
+
     def run(batches):
         for batch in batches:
-            rows, keys, levels = batch.column(1).to_pylist(), [], []
-            for v in rows:
-                x = np.asarray(v, float)
-                if x.shape != (dim,) or not (x > 0).all():
-                    raise ValueError(f"weighted vectors need {dim} positive weights")
-                t = np.floor(np.log(x) / r + beta)
-                k = (log_c - (r * (t - beta)) - r).argmin(axis=1)
-                keys.append(k)
-                levels.append(t[np.arange(num_perm), k])
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(np.concatenate(levels).astype(np.int64) if levels else [], pa.int64())], names=["k", "y"])
-            bound = pa.array(np.arange(len(rows) + 1) * num_perm, pa.int32())
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(bound, flat)], names=["id", "sig"])
+            column, n = batch.column(1), batch.num_rows
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+            if column.null_count or (column.value_lengths().to_numpy() != dim).any() or not (x > 0).all():
+                raise ValueError(f"weighted vectors need {dim} positive weights")
+            keys, levels = np.empty((n, num_perm), np.int64), np.empty((n, num_perm), np.int64)
+            for at in range(0, n, step):
+                t = np.floor(np.log(x.reshape(n, dim)[at : at + step, None]) / r + beta)
+                k = (log_c - r * (t - beta) - r).argmin(axis=2)
+                keys[at : at + step], levels[at : at + step] = k, np.take_along_axis(t, k[:, :, None], 2)[:, :, 0]
+            flat = pa.StructArray.from_arrays([pa.array(keys.reshape(-1)), pa.array(levels.reshape(-1))], names=["k", "y"])
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * num_perm, pa.int32()), flat)], names=["id", "sig"])
 
     kind = vectors.schema.fields[0].dataType.simpleString()
     return vectors.select(F.col(vectors.columns[0]).alias("id"), F.col(vectors.columns[1]).alias("x")).mapInArrow(run, f"id {kind}, sig array<struct<k:bigint,y:bigint>>")
