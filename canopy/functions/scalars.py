@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.storage import stored
@@ -105,3 +105,15 @@ def colour_position(df: DataFrame, col: str) -> DataFrame:
     a = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     return df.crossJoin(F.broadcast(a)).withColumn("position", F.when(span > 0, (v - F.col("_lo")) / span).when(v.isNotNull(), 0.0)).drop("_lo", "_hi")
+
+
+def running_sum(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over the rows before in order of ``by``, which must tell rows apart. Ranges are summed each by itself, from the sum of those before them; no task holds all rows."""
+    ranged = stored(df.withColumn("_value", value.cast("double")).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    before, begins = 0.0, []
+    for r in sorted(ranged.groupBy("_part").agg(F.sum("_value").alias("s")).collect()):
+        begins.append((r["_part"], before))
+        before += r["s"]
+    begin = df.sparkSession.createDataFrame(begins, "_part int, _begin double")
+    inside = F.sum("_value").over(Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_value")
+    return ranged.join(F.broadcast(begin), "_part").withColumn(name, inside + F.col("_begin")).drop("_part", "_value", "_begin")
