@@ -11,6 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.operators.prefix import jaccard_by_prefix
 from canopy.schema import InputKind, check
 
 GRAPH = "i long, rank int, j long, d double"
@@ -140,7 +141,7 @@ def graph_from_arrays(rows: DataFrame) -> DataFrame:
 def jaccard_knn(sets: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Exact Jaccard distance over an inverted index ``member -> ids``.
 
-    Only pairs that share a member are neighbours; sets that share none are at distance 1 and left out. The index goes to every executor if its size, which is checked, allows; otherwise it is joined. Dense sets of small members, as of fingerprints, are compared as rows of bits in blocks instead. Members of very many sets make this quadratic; ``lsh`` doesn't.
+    Only pairs that share a member are neighbours; sets that share none are at distance 1 and left out. The index goes to every executor if its size, which is checked, allows; otherwise prefixes of rare members are joined, up to a bound that each query's first neighbours give. Dense sets of small members, as of fingerprints, are compared as rows of bits in blocks instead.
     """
     itself = queries is None
     id_col, set_col = sets.columns[:2]
@@ -155,13 +156,7 @@ def jaccard_knn(sets: DataFrame, k: int, queries: DataFrame | None = None) -> Da
         return _jaccard_by_bits(own, asked, k, itself, top + 1, n)
     if members <= BROADCAST_BYTES:
         return _jaccard_by_postings(own, asked, k, itself)
-    left = asked.select("i", F.size("s").alias("n_i"), F.explode("s").alias("m"))
-    right = own.select("j", F.size("s").alias("n_j"), F.explode("s").alias("m"))
-    both = left.join(right, "m")
-    if itself:
-        both = both.where("i <> j")
-    pairs = both.groupBy("i", "j").agg((F.lit(1.0) - F.count(F.lit(1)) / (F.first("n_i") + F.first("n_j") - F.count(F.lit(1)))).alias("d"))
-    return ranked(pairs, k)
+    return jaccard_by_prefix(own, asked, k, itself)
 
 
 def nearest_bits(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, itself: bool) -> tuple[np.ndarray, ...]:

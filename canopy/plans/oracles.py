@@ -162,6 +162,16 @@ half(id, k, lo, hi) AS (SELECT id, 0, 0::DOUBLE, 14::DOUBLE FROM n UNION ALL SEL
     "knn_l2": q(f"{POINTS}, {neighbours('g', K, 'list_distance')}", "SELECT i, rank, j, round(d, 6) AS d FROM g"),
     "knn_external": q(f"{POINTS}, qs AS (SELECT * FROM e WHERE id % 20 = 0), {neighbours('g', K, left='qs', other='TRUE')}", "SELECT i, rank, j, round(d, 6) AS d FROM g"),
     "knn_from_matrix": q(f"{POINTS}, {neighbours('g', K, 'list_distance')}", "SELECT i, rank, j, round(d, 6) AS d FROM g"),
+    "component_shelves": q(
+        """b AS (SELECT o_custkey AS root, count(*) AS n, min(l_quantity) AS x0, min(l_linenumber)::DOUBLE AS y0, max(l_quantity) - min(l_quantity) + 1 AS w, (max(l_linenumber) - min(l_linenumber) + 1)::DOUBLE AS h
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey),
+        lim AS (SELECT greatest(max(w), sqrt(sum(w * h))) AS lim FROM b),
+        strip AS (SELECT *, sum(w) OVER (ORDER BY n DESC, root) - w AS spot FROM b),
+        cut AS (SELECT *, floor(spot / lim)::BIGINT AS shelf FROM strip, lim),
+        high AS (SELECT shelf, sum(max(h)) OVER (ORDER BY shelf) - max(h) AS y FROM cut GROUP BY shelf)""",
+        "SELECT root, round(spot - shelf * lim - x0, 6) AS dx, round(y - y0, 6) AS dy FROM cut JOIN high USING (shelf)",
+    ),
+    "knn_jaccard_prefix": q(TOKENS + ",", jaccard("tok", "a.id % 20 = 0")),
     "knn_jaccard_tokens": q(TOKENS + ",", jaccard("tok", "a.id % 20 = 0")),
     "recall_at_k": q(f"{GRAPH}, {neighbours('h', K, 'list_distance')}", f"SELECT n, hits, round(hits::DOUBLE / (n * {K}), 6) AS recall FROM (SELECT count(DISTINCT i) AS n FROM g), (SELECT count(*) AS hits FROM g JOIN h USING (i, j))"),
     "neighbour_report": q(f"{POINTS}, qs AS (SELECT * FROM e WHERE id % 20 = 0), {neighbours('g', K, left='qs', other='TRUE')}", "SELECT i, string_agg(label::VARCHAR, ',' ORDER BY rank) AS labels, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM g JOIN e ON e.id = j GROUP BY i"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopy.functions import encode, proteins, scalars
-from canopy.operators import analysis, ann, cells, facets, graph, knn, layout, tree
+from canopy.operators import analysis, ann, cells, facets, graph, knn, layout, prefix, tree
 from canopy.operators.graph_index import GraphIndex
 from canopy.operators.lsh import SignatureIndex
 from canopy.operators.pairs import PathIndex
@@ -214,6 +214,13 @@ def knn_jaccard_tokens(spark, sf_dir):
     return knn.jaccard_knn(t, K, external(t))
 
 
+@query
+def knn_jaccard_prefix(spark, sf_dir):
+    """As ``knn_jaccard_tokens``, by joins of prefixes, whatever the size."""
+    t = tokens(spark, sf_dir)
+    return prefix.jaccard_by_prefix(t.toDF("j", "s"), external(t).toDF("i", "s"), K, False)
+
+
 @query
 def recall_at_k(spark, sf_dir):
     p = points(spark, sf_dir)
@@ -479,6 +486,23 @@ def tree_layout(spark, sf_dir):
     return layout.layout_from_edges(points(spark, sf_dir).select("id"), e)[0]
 
 
+@query
+def layout_in_levels(spark, sf_dir):
+    """Rows only: the tree of the neighbour graph in levels, with far forces, whatever its size."""
+    e = graph.edges_from_graph(neighbour_graph(spark, sf_dir))
+    config = layout.LayoutConfig(task_nodes=256, fme_iterations=16, merger="Solar", placer="Solar")
+    return layout.layout_from_edges(points(spark, sf_dir).select("id"), e, config)[0]
+
+
+@query
+def component_shelves(spark, sf_dir):
+    """Boxes of quantity by line number, one for each customer, packed in shelves."""
+    of = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("root"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"))
+    boxes = lines.join(of, "o_orderkey").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    return layout.shelves(boxes)
+
+
 @query
 def transform_positions(spark, sf_dir):
     """M3, M5 without jitter: a tenth of the vectors placed among the others."""
