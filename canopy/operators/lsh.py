@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.encode import MASK, bands, signature_distance
+from canopy.operators.dealt import SALTS, met
 from canopy.operators.knn import BROADCAST_BYTES, ranked
 from canopy.storage import stored
 
@@ -110,6 +111,48 @@ class SignatureIndex:
         met = pairs.join(F.broadcast(left) if size <= BROADCAST_BYTES else left, "i").join(right, "j").select("i", "j", F.size(F.array_intersect("q", "s")).alias("n"), (F.size("q") + F.size("s")).alias("both"))
         return ranked(met.where("n > 0").select("i", "j", (F.lit(1.0) - F.col("n") / (F.col("both") - F.col("n"))).alias("d")), k)
 
+    def _prefixes(self, sigs: DataFrame, depth: int) -> DataFrame:
+        """``(id, tree, h)``: each band is a path from the root of a prefix tree; its first ``depth`` values name a node."""
+        rows = self.d // self.l
+        return sigs.select("id", F.explode(F.sequence(F.lit(0), F.lit(self.l - 1))).alias("tree"), "sig").select("id", "tree", F.xxhash64("tree", F.slice("sig", F.col("tree") * rows + 1, depth)).alias("h"))
+
+    def deepened(self, asked: DataFrame, members: DataFrame, want: int) -> DataFrame:
+        """``(i, j)`` once each: for every row of ``asked (id, sig)`` the ``members (id, sig)`` that share a node of some tree at the deepest level at which they are ``want`` or more; at the first level whoever shares one, however many or few. Buckets are dealt to several tasks."""
+        out, left = None, asked.select("id", "sig")
+        for depth in range(self.d // self.l, 0, -1):
+            a = self._prefixes(left, depth).withColumnRenamed("id", "i").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            b = self._prefixes(members, depth).withColumnRenamed("id", "j").withColumn("_s", F.pmod(F.xxhash64("j"), F.lit(SALTS)).cast("int"))
+            pairs = stored(a.join(b, ["tree", "h", "_s"]).select("i", "j").distinct())
+            if depth == 1:
+                return pairs if out is None else out.unionByName(pairs)
+            done = stored(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= want).select("i"))
+            settled = pairs.join(done, "i", "left_semi")
+            out = settled if out is None else out.unionByName(settled)
+            left = stored(left.join(done.withColumnRenamed("i", "id"), "id", "left_anti"))
+            if left.isEmpty():
+                return out
+
+    def nearest(self, queries: DataFrame, sets: DataFrame, k: int, kc: int = 50) -> DataFrame:
+        """``(i, rank, j, d)``, neighbours of the members in ``queries (id)`` by exact Jaccard distance of ``sets (id, set)``, ties by j. Trees of prefixes are gone up for each query until ``k * kc`` different sets are met, so that near neighbours cost few comparisons and far ones are still found.
+
+        Equal sets are one node: a text with very many copies is compared once, and its k least ids stand for it. Pairs without a common element, and empty sets, are left out; queries that aren't members have no rows; a member is a neighbour of itself.
+        """
+        own = sets.select(F.col(sets.columns[0]).alias("id"), F.array_sort(F.array_distinct(sets.columns[1])).alias("s")).where(F.size("s") > 0).withColumn("c", F.sha2(F.to_json(F.struct("s")), 256))
+        own = stored(own.join(self._stored().select("id").distinct(), "id", "left_semi"))
+        first = stored(own.groupBy("c").agg(F.min_by(F.struct("id", "s"), "id").alias("f")).select("c", F.col("f.id").alias("id"), F.col("f.s").alias("s")))
+        least = own.select("c", F.col("id").alias("j"), F.row_number().over(Window.partitionBy("c").orderBy("id")).alias("_r")).where(F.col("_r") <= k).groupBy("c").agg(F.collect_list("j").alias("js"))
+        asked = stored(met(own.select("id", "c").join(queries.select("id").distinct(), "id", "left_semi"), first.select("c", F.col("id").alias("rep")), "c", ["id"]))
+        sigs = stored(self._stored().join(first.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "sig"))
+        pairs = self.deepened(sigs.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), sigs, k * kc)
+        both = met(met(pairs, first.select(F.col("id").alias("i"), F.col("s").alias("q")), "i", ["j"]), first.select(F.col("id").alias("j"), "s", "c"), "j", ["i"])
+        common = F.size(F.array_intersect("q", "s"))
+        d = both.select("i", "j", "c", common.alias("n"), (F.size("q") + F.size("s") - common).alias("whole")).where("n > 0").select("i", "j", "c", (1.0 - F.col("n") / F.col("whole")).alias("d"))
+        # Of different sets the k nearest hold the k nearest members, ties at the k-th included
+        near = d.withColumn("_r", F.rank().over(Window.partitionBy("i").orderBy("d"))).where(F.col("_r") <= k)
+        spread = met(near.drop("j"), least, "c", ["i"]).select("i", F.explode("js").alias("j"), "d")
+        lists = ranked(spread, k).groupBy("i").agg(F.collect_list(F.struct("rank", "j", "d")).alias("l")).withColumnRenamed("i", "rep")
+        return met(asked, lists, "rep", ["id"]).select(F.col("id").alias("i"), F.explode("l").alias("e")).select("i", "e.rank", "e.j", "e.d")
+
     def query_by_id(self, of: int, k: int, kc: int = 10) -> DataFrame:
         """One neighbour more is asked for, and the row itself dropped."""
         found = self.candidates(self.signature(of), (k + 1) * kc).where("i <> j").select("i", "j")

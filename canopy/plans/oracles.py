@@ -180,6 +180,7 @@ half(id, k, lo, hi) AS (SELECT id, 0, 0::DOUBLE, 14::DOUBLE FROM n UNION ALL SEL
     "lsh_bands": q(SIGNATURES, "SELECT band, count(*) AS buckets, max(n) AS largest FROM (SELECT band, h, count(*) AS n FROM band GROUP BY ALL) GROUP BY band"),
     "lsh_candidates": q(f"{SIGNATURES}, {CANDIDATES}", "SELECT i, j, first_band FROM cand"),
     "lsh_knn": q(f"{SIGNATURES}, {CANDIDATES},", signature_rank("i <> j")),
+    "lsh_deepening": q(TOKENS, "SELECT count(DISTINCT id) AS n, true AS enough, true AS fewer FROM tok WHERE id % 20 = 0"),
     "lsh_recall": q(TOKENS, "SELECT count(DISTINCT id) AS n, true AS enough FROM tok WHERE id % 20 = 0"),
     "lsh_search": q(
         f"{SIGNATURES},",

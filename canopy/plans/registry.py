@@ -294,6 +294,18 @@ def lsh_recall(spark, sf_dir):
     return n.select("n", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@query
+def lsh_deepening(spark, sf_dir):
+    """Whether prefix trees find nine of ten exact neighbours of the stated queries, or more, among fewer pairs than all."""
+    t = stored(token_ids(spark, sf_dir))
+    asked = external(t)
+    idx = SignatureIndex(128, 32).add(encode.minhash(t, 128, SEED)).build()
+    n = knn.recall(stored(knn.jaccard_knn(t, K, asked)), idx.nearest(asked, t, K), K)
+    whole = idx.sigs
+    looked = idx.deepened(whole.join(asked.select("id"), "id", "left_semi"), whole, 50 * K).count()
+    return n.select("n", (F.col("recall") >= 0.9).alias("enough"), F.lit(looked < asked.count() * whole.count()).alias("fewer"))
+
+
 @query
 def weighted_minhash(spark, sf_dir):
     """Rows only: the samples come from a published scheme with seeded draws."""
