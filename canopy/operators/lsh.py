@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ class SignatureIndex:
         self.sigs: DataFrame | None = None
         self.bands: DataFrame | None = None
         self.pending: list[DataFrame] = []
+        #: Pairs that the last ``nearest`` compared, level by level.
+        self.compared: list[int] = []
 
     def add(self, sigs: DataFrame) -> SignatureIndex:
         """More signatures; ``build`` makes them findable."""
@@ -116,24 +120,28 @@ class SignatureIndex:
         rows = self.d // self.l
         return sigs.select("id", F.explode(F.sequence(F.lit(0), F.lit(self.l - 1))).alias("tree"), "sig").select("id", "tree", F.xxhash64("tree", F.slice("sig", F.col("tree") * rows + 1, depth)).alias("h"))
 
-    def deepened(self, asked: DataFrame, members: DataFrame, want: int) -> DataFrame:
-        """``(i, j)`` once each: for every row of ``asked (id, sig)`` the ``members (id, sig)`` that share a node of some tree at the deepest level at which they are ``want`` or more; at the first level whoever shares one, however many or few. Buckets are dealt to several tasks."""
+    def _level(self, asked: DataFrame, members: DataFrame, depth: int) -> DataFrame:
+        """``(i, j)`` once each that share a node at ``depth`` in some tree. Buckets are dealt to several tasks."""
+        a = self._prefixes(asked, depth).withColumnRenamed("id", "i").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        b = self._prefixes(members, depth).withColumnRenamed("id", "j").withColumn("_s", F.pmod(F.xxhash64("j"), F.lit(SALTS)).cast("int"))
+        return a.join(b, ["tree", "h", "_s"]).select("i", "j").distinct()
+
+    def deepened(self, asked: DataFrame, members: DataFrame, found: Callable[[DataFrame], DataFrame], enough: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+        """For every row of ``asked (id, sig)`` what ``found`` makes of the pairs ``(i, j)`` with ``members (id, sig)`` that share a node of some tree, at the deepest level at which its ``i`` is in ``enough`` of that and the level; at the first level whatever is there."""
         out, left = None, asked.select("id", "sig")
         for depth in range(self.d // self.l, 0, -1):
-            a = self._prefixes(left, depth).withColumnRenamed("id", "i").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            b = self._prefixes(members, depth).withColumnRenamed("id", "j").withColumn("_s", F.pmod(F.xxhash64("j"), F.lit(SALTS)).cast("int"))
-            pairs = stored(a.join(b, ["tree", "h", "_s"]).select("i", "j").distinct())
+            rows = stored(found(self._level(left, members, depth)))
             if depth == 1:
-                return pairs if out is None else out.unionByName(pairs)
-            done = stored(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= want).select("i"))
-            settled = pairs.join(done, "i", "left_semi")
+                return rows if out is None else out.unionByName(rows)
+            done = stored(enough(rows, depth).select("i").distinct())
+            settled = rows.join(done, "i", "left_semi")
             out = settled if out is None else out.unionByName(settled)
             left = stored(left.join(done.withColumnRenamed("i", "id"), "id", "left_anti"))
             if left.isEmpty():
                 return out
 
-    def nearest(self, queries: DataFrame, sets: DataFrame, k: int, kc: int = 50) -> DataFrame:
-        """``(i, rank, j, d)``, neighbours of the members in ``queries (id)`` by exact Jaccard distance of ``sets (id, set)``, ties by j. Trees of prefixes are gone up for each query until ``k * kc`` different sets are met, so that near neighbours cost few comparisons and far ones are still found.
+    def nearest(self, queries: DataFrame, sets: DataFrame, k: int, miss: float = 0.05) -> DataFrame:
+        """``(i, rank, j, d)``, neighbours of the members in ``queries (id)`` by exact Jaccard distance of ``sets (id, set)``, ties by j. Trees of prefixes are gone up for each query until a set as near as the k-th that it has found would have been missed with a probability of ``miss`` at most, (1 - s ** depth) ** trees at similarity s; so near neighbours cost few comparisons, and far ones are still found at the first level.
 
         Equal sets are one node: a text with very many copies is compared once, and its k least ids stand for it. Pairs without a common element, and empty sets, are left out; queries that aren't members have no rows; a member is a neighbour of itself.
         """
@@ -143,10 +151,21 @@ class SignatureIndex:
         least = own.select("c", F.col("id").alias("j"), F.row_number().over(Window.partitionBy("c").orderBy("id")).alias("_r")).where(F.col("_r") <= k).groupBy("c").agg(F.collect_list("j").alias("js"))
         asked = stored(met(own.select("id", "c").join(queries.select("id").distinct(), "id", "left_semi"), first.select("c", F.col("id").alias("rep")), "c", ["id"]))
         sigs = stored(self._stored().join(first.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "sig"))
-        pairs = self.deepened(sigs.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), sigs, k * kc)
-        both = met(met(pairs, first.select(F.col("id").alias("i"), F.col("s").alias("q")), "i", ["j"]), first.select(F.col("id").alias("j"), "s", "c"), "j", ["i"])
-        common = F.size(F.array_intersect("q", "s"))
-        d = both.select("i", "j", "c", common.alias("n"), (F.size("q") + F.size("s") - common).alias("whole")).where("n > 0").select("i", "j", "c", (1.0 - F.col("n") / F.col("whole")).alias("d"))
+
+        self.compared = []
+
+        def found(pairs: DataFrame) -> DataFrame:
+            pairs = stored(pairs)
+            self.compared.append(pairs.count())
+            both = met(met(pairs, first.select(F.col("id").alias("i"), F.col("s").alias("q")), "i", ["j"]), first.select(F.col("id").alias("j"), "s", "c"), "j", ["i"])
+            common = F.size(F.array_intersect("q", "s"))
+            return both.select("i", "j", "c", common.alias("n"), (F.size("q") + F.size("s") - common).alias("whole")).where("n > 0").select("i", "j", "c", (1.0 - F.col("n") / F.col("whole")).alias("d"))
+
+        def enough(rows: DataFrame, depth: int) -> DataFrame:
+            kth = rows.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_r") == k)
+            return kth.where(F.pow(1 - F.pow(1 - F.col("d"), F.lit(depth)), F.lit(self.l)) <= miss)
+
+        d = self.deepened(sigs.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), sigs, found, enough)
         # Of different sets the k nearest hold the k nearest members, ties at the k-th included
         near = d.withColumn("_r", F.rank().over(Window.partitionBy("i").orderBy("d"))).where(F.col("_r") <= k)
         spread = met(near.drop("j"), least, "c", ["i"]).select("i", F.explode("js").alias("j"), "d")
