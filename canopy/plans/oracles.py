@@ -151,6 +151,11 @@ far AS (SELECT start, m[1] AS hops, m[2] AS goal FROM best ORDER BY hops DESC, s
     "sequence_table": f"WITH {ITEMS} SELECT name AS id, letters AS sequence FROM items",
     "id_list": "WITH m AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'P' || lpad(c_custkey::VARCHAR, 5, '0') WHEN 1 THEN 'A0A' || lpad(c_custkey::VARCHAR, 7, '0') ELSE 'Q1B' || lpad(c_custkey::VARCHAR, 3, '7') END AS uid FROM customer) SELECT uid, regexp_full_match(uid, '[OPQ][0-9][A-Z0-9]{3}[0-9]') OR regexp_full_match(uid, '[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2}') AS looks_valid FROM m",
     "alignment_graph": q(HITS, "SELECT a.id AS i, rank, b.id AS j, round(1 / (1 + s), 6) AS d FROM (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, 'v' || j) AS rank FROM (SELECT i, j, round(x, 4) AS s FROM lines)) JOIN names a ON a.name = i JOIN names b ON b.name = j WHERE rank <= 3"),
+    "fasta_ranges": "SELECT 'doc_' || doc_id AS id, length(s) AS length, s AS sequence FROM (SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM documents) WHERE length(s) >= 200 AND starts_with('doc_' || doc_id, 'doc_1')",
+    "pdb_structures": f"""WITH {ITEMS}, s AS (SELECT substr(name, 6) AS n, regexp_replace(letters, '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS sequence FROM items),
+b AS (SELECT lpad(n, 4, '0') AS id, sequence, length(sequence) AS length, list_transform(range(1, length(sequence) + 1), lambda p: p * 37 % 100 + 0.25::DOUBLE) AS b FROM s)
+SELECT id, sequence, length, round(list_avg(b), 6) AS mean_bfactor, round(len(list_filter(b, lambda x: x > 90)) / nullif(length, 0), 6) AS frac_high, round(len(list_filter(b, lambda x: x < 50)) / nullif(length, 0), 6) AS frac_low FROM b""",
+    "blast_graph": q(HITS, "SELECT a.id AS i, rank, b.id AS j, round(1 / (1 + s), 6) AS d FROM (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, 'v' || j) AS rank FROM (SELECT i, j, round(x, 4) AS s FROM lines)) JOIN names a ON a.name = i JOIN names b ON b.name = j WHERE rank <= 3"),
     "alignment_ids": q(HITS, "SELECT id, 'v' || name AS name FROM names"),
     "selection_export": "SELECT c_custkey, c_name || ', \"the' || chr(9) || 'great\"' AS c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "isoelectric_point": q(

@@ -20,7 +20,7 @@ from canopy.operators.pairs import PathIndex
 from canopy.operators.vectors import VectorIndex
 from canopy.plans.model import TreeMap
 from canopy.plans.oracles import ORACLE_SQL
-from canopy.sources import readers
+from canopy.sources import formats, readers
 from canopy.storage import shared_dir, stored
 
 K = 5
@@ -705,6 +705,47 @@ def alignment_ids(spark, sf_dir):
     return readers.parse_alignment(spark, text_file(lines), 3)[1]
 
 
+def text_folder(df: DataFrame, *by: str) -> str:
+    """A folder of text files of the column ``value``, or one for each value of ``by``, in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/canopy-texts-{uuid.uuid4().hex}"
+    df.select(*by, "value").write.partitionBy(*by).text(path)
+    return path
+
+
+@query
+def fasta_ranges(spark, sf_dir):
+    """S2 as a format: records in ranges of 64 KB, letters of records that filters leave."""
+    seqs = sequences(spark, sf_dir).where("seq <> ''")
+    lines = seqs.select(F.concat(F.lit(">doc_"), "id", F.lit(" letters\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    formats.register(spark)
+    read = spark.read.format("fasta").option("splitBytes", 1 << 16).schema("id string, length long, sequence string").load(text_folder(lines))
+    return read.where(F.col("id").startswith("doc_1") & (F.col("length") >= 200))
+
+
+@query
+def blast_graph(spark, sf_dir):
+    """S7 as a format: files in order, hits by file and byte."""
+    fields = [F.concat(F.lit("v"), "i"), F.concat(F.lit("v"), "j"), *[F.lit("0")] * 9, F.format_string("%.4f", 100 * (2 - F.col("d")))]
+    lines = neighbour_graph(spark, sf_dir).orderBy("i", "rank").select(F.concat_ws("\t", *fields).alias("value"))
+    formats.register(spark)
+    hits = spark.read.format("blast").schema("query string, subject string, bitscore double, file string, at long").load(text_folder(lines))
+    return readers.graph_of_hits(hits.select("file", "at", F.col("query").alias("q"), F.col("subject").alias("s"), F.col("bitscore").alias("x")), ["file", "at"], 3)[0]
+
+
+@query
+def pdb_structures(spark, sf_dir):
+    """Test items as structures of alpha carbons, a file each."""
+    residue = F.create_map(*[F.lit(x) for three, one in readers.RESIDUES.items() for x in (one, three)])
+    letters = F.split(F.regexp_replace(F.upper("letters"), "[^ACDEFGHIKLMNPQRSTVWY]", ""), "")
+    each = items(spark, sf_dir).select("item_id", "name", F.posexplode_outer(F.filter(letters, lambda x: x != "")).alias("place", "letter"))
+    n = F.col("place") + 1
+    atom = F.format_string("ATOM  %5d  CA  %s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", n % 100000, residue[F.col("letter")], n % 10000, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), n * 37 % 100 + F.lit(0.25))
+    head = items(spark, sf_dir).select("name", F.lit(-1).alias("place"), F.concat(F.lit("HEADER"), F.repeat(F.lit(" "), 56), F.lpad(F.col("item_id").cast("string"), 4, "0")).alias("value"))
+    lines = head.unionByName(each.where("letter IS NOT NULL").select("name", "place", atom.alias("value"))).repartition("name").sortWithinPartitions("name", "place")
+    formats.register(spark)
+    return spark.read.format("pdb").option("pathGlobFilter", "*.txt").load(text_folder(lines, "name")).drop("file")
+
+
 @query
 def selection_export(spark, sf_dir):
     """Written and read again."""

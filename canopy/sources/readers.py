@@ -82,11 +82,17 @@ def parse_alignment(spark: SparkSession, path: str, k: int = 20, score: str = "b
     f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     rows = lines.where(~F.col("value").startswith("#") & (F.size(f) >= 12))
-    hits = rows.select(F.struct("file", "block", "row").alias("at"), F.trim(f[0]).alias("q"), F.trim(f[1]).alias("s"), F.trim(f[place[score]]).try_cast("double").alias("x")).where("x IS NOT NULL AND q <> s")
+    hits = rows.select("file", "block", "row", F.trim(f[0]).alias("q"), F.trim(f[1]).alias("s"), F.trim(f[place[score]]).try_cast("double").alias("x"))
+    return graph_of_hits(hits, ["file", "block", "row"], k, score, as_distance, monotone)
+
+
+def graph_of_hits(hits: DataFrame, order: list[str], k: int = 20, score: str = "bitscore", as_distance: bool = True, monotone: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S7 of hits ``(q, s, x)`` with a score, whose lines come in the order of the columns ``order``. Hits of a sequence on itself, and without a score, are left out."""
+    hits = hits.where("x IS NOT NULL AND q <> s").select(F.struct(*order).alias("at"), "q", "s", "x")
     best = hits.groupBy("q", "s").agg((F.min if score == "evalue" else F.max)("x").alias("x"))
     ends = hits.select("at", F.posexplode(F.array("q", "s")).alias("side", "name"))
     names = ends.groupBy("name").agg(F.min(F.struct("at", "side")).alias("first"))
-    ids = in_order(names.select("name", "first.at.*", "first.side"), ["file", "block", "row", "side"], "id").select("id", "name")
+    ids = in_order(names.select("name", "first.at.*", "first.side"), [*order, "side"], "id").select("id", "name")
     if not as_distance:
         d = F.col("x")
     elif score == "evalue":
@@ -94,8 +100,8 @@ def parse_alignment(spark: SparkSession, path: str, k: int = 20, score: str = "b
         d = 1 / (1 + F.greatest(d, F.lit(0.0))) if monotone else d
     else:
         d = 1 / (1 + F.col("x"))
-    order = F.asc("x") if score == "evalue" else F.desc("x")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(order, "s"))).where(F.col("rank") <= k)
+    better = F.asc("x") if score == "evalue" else F.desc("x")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(better, "s"))).where(F.col("rank") <= k)
     a, b = (ids.select(F.col("id").alias(i), F.col("name").alias(n)) for i, n in (("i", "q"), ("j", "s")))
     return ranked.join(a, "q").join(b, "s").select("i", "rank", "j", d.alias("d")), ids
 
