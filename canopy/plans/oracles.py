@@ -206,6 +206,9 @@ half(id, k, lo, hi) AS (SELECT id, 0, 0::DOUBLE, 14::DOUBLE FROM n UNION ALL SEL
     "tree_dfs": q(TREE, "SELECT node, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS dfs FROM rooted"),
     "subtree_sizes": q(f"{TREE}, {SIZES}", "SELECT node, size FROM sizes"),
     "tree_distances": q(f"{MST}, {spread('SELECT 0::BIGINT AS id')}", "SELECT id AS node, round(coalesce(dist, 'inf'::DOUBLE), 6) AS dist FROM e LEFT JOIN t ON t.node = id"),
+    "sql_tree_path": q(path_between(77, 11), "SELECT pos::BIGINT AS pos, node FROM way"),
+    "sql_nearest": "SELECT o_custkey AS i, rank, o_orderkey AS j, round(o_totalprice, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
+    "stream_neighbours": f"WITH {POINTS} SELECT i, rank, j, round(d, 6) AS d FROM (SELECT a.id AS i, b.id AS j, list_cosine_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON b.id < a.id) WHERE rank <= {K}",
     "tree_path": q(path_between(3, 77), "SELECT pos::BIGINT AS pos, node FROM way"),
     "pair_distances": q(f"{MST}, {WALKS}", "SELECT a.id AS a, b.id AS b, hops::BIGINT AS hops, round(coalesce(dist, 'inf'::DOUBLE), 6) AS dist FROM e a JOIN e b ON a.id % 20 = 0 LEFT JOIN walks ON src = a.id AND node = b.id"),
     "pair_paths": q(f"{MST}, {WALKS}", "SELECT src AS a, walks.node AS b, generate_subscripts(path, 1)::BIGINT - 1 AS pos, unnest(path) AS node FROM walks WHERE walks.node = src + 37"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.functions import encode, proteins, scalars
+from canopy.functions import encode, proteins, scalars, sql
 from canopy.operators import analysis, ann, cells, facets, graph, knn, layout, prefix, tree
 from canopy.operators.graph_index import GraphIndex
 from canopy.operators.lsh import SignatureIndex
@@ -22,6 +22,7 @@ from canopy.plans.model import TreeMap
 from canopy.plans.oracles import ORACLE_SQL
 from canopy.sources import formats, readers
 from canopy.storage import shared_dir, stored
+from canopy.streaming.neighbours import LISTS, Cells, nearest_of, neighbour_stream
 
 K = 5
 PERMUTATIONS, BANDS, SEED = 32, 8, 42
@@ -375,6 +376,21 @@ def tree_path(spark, sf_dir):
     return tree.path(rooted(spark, sf_dir), 3, 77)
 
 
+@query
+def sql_tree_path(spark, sf_dir):
+    """G12 by a table function of SQL."""
+    sql.register_tree(spark, rooted(spark, sf_dir), "canopy_path")
+    return spark.sql("SELECT pos, node FROM canopy_path(77, 11)")
+
+
+@query
+def sql_nearest(spark, sf_dir):
+    """A12 by a table function with stated partitions: the three cheapest orders of each customer."""
+    sql.register(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("canopy_orders")
+    return spark.sql("SELECT i, rank, j, d FROM nearest(TABLE(SELECT o_custkey AS i, o_orderkey AS j, o_totalprice AS d FROM canopy_orders), 3)")
+
+
 @query
 def pair_distances(spark, sf_dir):
     """From every node whose id is divisible by 20 to all nodes."""
@@ -650,6 +666,32 @@ def sequence_properties(spark, sf_dir):
     return proteins.sequence_properties(sequences(spark, sf_dir), "seq", names).drop("seq")
 
 
+# Streams over tables
+
+
+@query
+def stream_neighbours(spark, sf_dir):
+    """M4 as a stream with state, all cells asked: each vector's neighbours among those before it, two a minute."""
+    k, cells = K, 8
+    rows = points(spark, sf_dir).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 2) * 60).alias("at"), "v")
+    base = f"{shared_dir(spark)}/canopy-stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    fitted = Cells(rows.select("id", "v"), cells)
+    # a row in the far future moves the watermark past all others
+    last = rows.orderBy("id").limit(1).select(F.lit(-1).cast("long").alias("id"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("at"), "v")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for _ in range(2):
+            stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+            neighbour_stream(stream, fitted, k, f"{base}/out", f"{base}/mark", cells).awaitTermination()
+            last.write.mode("append").parquet(f"{base}/in")
+    finally:
+        spark.conf.set(key, before)
+    return nearest_of(spark.read.schema(LISTS).parquet(f"{base}/out"), k).where("i >= 0")
+
+
 # Files, written from tables
 
 

@@ -60,3 +60,57 @@ def test_stream_of_points(spark, tmp_path):
     assert placed == sorted(tuple(r) for r in model.transform(new).collect())
     add_stream(stream, model, str(tmp_path / "c2")).awaitTermination()
     assert model.embedding_.count() == 20
+
+
+def test_nearest_as_a_table_function(spark):
+    register(spark, 64, 1)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(j), None if rng.random() < 0.1 else float(rng.integers(0, 5)), f"n{n}") for n, (i, j) in enumerate(rng.integers(0, 9, (300, 2)))]
+    spark.createDataFrame(rows, "i long, j long, d double, note string").createOrReplaceTempView("pairs_of_sql")
+    got = {}
+    for r in spark.sql("SELECT * FROM nearest(TABLE(pairs_of_sql), 4)").collect():
+        got.setdefault(r["i"], []).append((r["rank"], r["d"], r["j"]))
+    want = {i: [(n + 1, *x) for n, x in enumerate(sorted((d, j) for a, j, d, _ in rows if a == i and d is not None)[:4])] for i in {r[0] for r in rows}}
+    assert {i: sorted(v) for i, v in got.items()} == want
+    assert spark.sql("SELECT * FROM nearest(TABLE(SELECT * FROM pairs_of_sql WHERE i < 0), 4)").count() == 0
+    assert spark.sql("SELECT * FROM nearest(TABLE(pairs_of_sql), 0)").count() == 0
+    with pytest.raises(Exception, match="there is no d, j"):
+        spark.sql("SELECT * FROM nearest(TABLE(SELECT i FROM pairs_of_sql), 4)").collect()
+    with pytest.raises(Exception, match="rank"):
+        spark.sql("SELECT * FROM nearest(TABLE(SELECT *, 1 AS rank FROM pairs_of_sql), 4)").collect()
+
+
+def test_bands_and_paths_in_sql(spark):
+    from canopy.functions.encode import bands
+    from canopy.functions.sql import register_tree
+    from canopy.operators import tree
+
+    register(spark, 64, 1)
+    sigs = spark.createDataFrame([(n, [n * k for k in range(11)]) for n in range(5)], "id long, sig array<bigint>")
+    sigs.createOrReplaceTempView("signatures_of_sql")
+    got = spark.sql("SELECT s.id, b.band, b.h FROM signatures_of_sql s, LATERAL bands(s.sig, 3) b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bands(sigs, 3).collect()))
+
+    rng = np.random.default_rng(9)
+    edges = [(int(rng.integers(max(0, n - 4), n)), n, 1.0) for n in range(1, 40)] + [(41, 40, 1.0)]
+    near = {n: set() for n in range(43)}
+    for a, b, _ in edges:
+        near[a].add(b)
+        near[b].add(a)
+    nodes = spark.range(43).withColumnRenamed("id", "node")
+    register_tree(spark, tree.rooted(spark.createDataFrame(edges, "u long, v long, w double"), nodes, 0), "way_of_sql")
+
+    def walk(a, b):
+        stack = [[a]]
+        while stack:
+            p = stack.pop()
+            if p[-1] == b:
+                return p
+            stack += [[*p, o] for o in near[p[-1]] if o not in p]
+        return []
+
+    for a, b in [(0, 39), (39, 0), (17, 38), (5, 5), (40, 41), (42, 42), (3, 40), (3, 99)]:
+        got = [r["node"] for r in spark.sql(f"SELECT * FROM way_of_sql({a}, {b}) ORDER BY pos").collect()]
+        assert got == (walk(a, b) if b in near else []), (a, b)
+    with pytest.raises(ValueError, match="name"):
+        register_tree(spark, nodes, "x; y")
