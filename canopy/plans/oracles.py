@@ -206,6 +206,10 @@ half(id, k, lo, hi) AS (SELECT id, 0, 0::DOUBLE, 14::DOUBLE FROM n UNION ALL SEL
     "tree_dfs": q(TREE, "SELECT node, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS dfs FROM rooted"),
     "subtree_sizes": q(f"{TREE}, {SIZES}", "SELECT node, size FROM sizes"),
     "tree_distances": q(f"{MST}, {spread('SELECT 0::BIGINT AS id')}", "SELECT id AS node, round(coalesce(dist, 'inf'::DOUBLE), 6) AS dist FROM e LEFT JOIN t ON t.node = id"),
+    "signature_scan": q(SIGNATURES, f"SELECT 0::BIGINT AS i, rank, j, round(d, 6) AS d FROM (SELECT j, d, row_number() OVER (ORDER BY d, j) AS rank FROM (SELECT b.id AS j, 1 - len(list_filter(list_zip(a.s, b.s), lambda z: z[1] = z[2]))::DOUBLE / {PERMUTATIONS} AS d FROM sl a, sl b WHERE a.id = 0 AND b.id % 2 = 0)) WHERE rank <= 10"),
+    "neighbour_ids": f"SELECT i, rank, j FROM ({q(f'{SIGNATURES}, {CANDIDATES},', signature_rank('i <> j'))})",
+    "node_neighbours": q(MST, "SELECT b AS node, round(w, 6) AS w FROM s WHERE a = 3"),
+    "tree_edge_weights": q(MST, "SELECT u, v, CASE WHEN u % 3 <> 0 THEN round(w, 6) ELSE 1.0::DOUBLE END AS w FROM mst"),
     "sql_tree_path": q(path_between(77, 11), "SELECT pos::BIGINT AS pos, node FROM way"),
     "sql_nearest": "SELECT o_custkey AS i, rank, o_orderkey AS j, round(o_totalprice, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
     "stream_neighbours": f"WITH {POINTS} SELECT i, rank, j, round(d, 6) AS d FROM (SELECT a.id AS i, b.id AS j, list_cosine_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON b.id < a.id) WHERE rank <= {K}",
@@ -253,3 +257,5 @@ half(id, k, lo, hi) AS (SELECT id, 0, 0::DOUBLE, 14::DOUBLE FROM n UNION ALL SEL
     "sequence_properties": q(SEQUENCES, "SELECT id, " + ", ".join(f"CASE WHEN seq <> '' THEN round({f}, 6) END AS {p}" for p, f in PROPERTIES.items()) + " FROM sq"),
     "kmer_features": "WITH b AS (SELECT item_id AS id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS seq FROM benchmark), k AS (SELECT id, seq[i : i + 2] AS kmer, length(seq) - 2 AS total FROM b, range(1, 100000) r(i) WHERE i <= length(seq) - 2) SELECT id, kmer, count(*) AS n, round(count(*)::DOUBLE / any_value(total), 6) AS frequency FROM k GROUP BY id, kmer",
 }
+# What was saved and loaded gives the rows of what wasn't
+ORACLE_SQL |= {saved: ORACLE_SQL[plain] for saved, plain in (("saved_signatures", "lsh_query"), ("saved_index", "index_additions"), ("saved_model", "kneighbors"))}

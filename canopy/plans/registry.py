@@ -666,6 +666,66 @@ def sequence_properties(spark, sf_dir):
     return proteins.sequence_properties(sequences(spark, sf_dir), "seq", names).drop("seq")
 
 
+# Saved and loaded again
+
+
+def folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/canopy-saved-{uuid.uuid4().hex}"
+
+
+@query
+def saved_signatures(spark, sf_dir):
+    """An index saved with rows that wait, loaded, completed and asked."""
+    sigs, path = stored(signatures(spark, sf_dir)), folder(spark)
+    SignatureIndex(PERMUTATIONS, BANDS, keep_empty=True).add(sigs.where("id % 2 = 0")).build().add(sigs.where("id % 2 = 1")).save(path)
+    idx = SignatureIndex.load(spark, path).build()
+    return idx.query(external(idx.sigs), K, 10)
+
+
+@query
+def saved_index(spark, sf_dir):
+    """Vectors saved, loaded and added to before they are asked."""
+    p, path = points(spark, sf_dir), folder(spark)
+    VectorIndex("euclidean").build_from_vectors(p.where("id % 10 <> 9")).save(path)
+    idx = VectorIndex.load(spark, path)
+    idx.add(p.where("id % 10 = 9"))
+    return idx.query_batch(external(p), K)
+
+
+@query
+def saved_model(spark, sf_dir):
+    """A fitted model saved, loaded and asked."""
+    p, path = points(spark, sf_dir), folder(spark)
+    TreeMap(K, "euclidean", layout_iterations=1).fit(p.where("id % 10 <> 9")).save(path)
+    return TreeMap.load(spark, path).kneighbors(p.where("id % 10 = 9"))
+
+
+@query
+def signature_scan(spark, sf_dir):
+    """Document 0 against the members with an even id."""
+    idx = index(spark, sf_dir)
+    return idx.linear_scan(idx.signature(0), idx.sigs.where("id % 2 = 0").select("id"), 10)
+
+
+@query
+def neighbour_ids(spark, sf_dir):
+    """N11."""
+    return index(spark, sf_dir).neighbour_ids(K, 10)
+
+
+@query
+def node_neighbours(spark, sf_dir):
+    """Around node 3 of the spanning forest."""
+    return tree.neighbours(forest(spark, sf_dir), 3)
+
+
+@query
+def tree_edge_weights(spark, sf_dir):
+    """Edges of the forest with weights of a graph that lacks a third of them."""
+    edges = stored(graph.edges_from_graph(neighbour_graph(spark, sf_dir)))
+    return graph.tree_weights(graph.spanning_forest(edges), edges.where("u % 3 <> 0"))
+
+
 # Streams over tables
 
 
