@@ -916,3 +916,32 @@ def test_training_sample_is_bounded_in_bytes(labelled):
     finally:
         t.train = train
     assert 4000 < seen[0] <= 5000
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    from canopy.llm import toxicity as t
+
+    monkeypatch.setattr(t, "SAMPLE", 5)
+    monkeypatch.setattr(t, "TASK_BYTES", 4000)
+    rng = random.Random(8)
+    words = ["the", "of", "and", *("w%d" % i for i in range(200))]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)) + (f" vile{i % 40}" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    seen, begin = [], t._begin
+    monkeypatch.setattr(t, "_begin", lambda model, counts, n: (seen.append((counts, n)), begin(model, counts, n)))
+    model = t.fit(docs, labels)
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    # Counts are those of a plain loop over the rows that aren't kept aside, and these are two thirds
+    aside = {r["id"] for r in docs.selectExpr("doc_id AS id").where("pmod(xxhash64(id, 7), 3) = 0").collect()}
+    used = [r for r in learnt if r[0] not in aside]
+    counts = np.zeros((2, t.BUCKETS))
+    for r in used:
+        for f in np.unique(t.features(pa.array(sorted(set(r[1].encode().translate(None, b"0123456789").split())), pa.binary()))):
+            counts[r[2], f] += 1
+    assert 0.55 < len(used) / len(learnt) < 0.78 and seen[0][1].tolist() == [sum(r[2] == y for r in used) for y in (0, 1)]
+    assert (seen[0][0] == counts).all()
+    held = [r for r in t.score(docs, model).collect() if r["held_out"]]
+    assert sum((r["doc_id"] % 4 == 0) == r["predicted"] for r in held) >= 0.97 * len(held)
