@@ -1,6 +1,6 @@
 """Dense vectors in stored cells with quantised residuals: fitted once, added to and asked without fitting again.
 
-Centroids of cells, and of parts of what is left when a vector's centroid is taken away, are fitted on a bounded sample; every vector is in the index. A row holds its cell, one byte for each part and the vector itself, and rows of a cell stand together in files. A query looks at codes in its nearest cells only: distances to codes are sums of table entries. The nearest by codes are ranked again by their vectors. Large cells are dealt to several tasks, and so are the queries of a cell.
+Centroids of cells, and of parts of what is left when a vector's centroid is taken away, are fitted on a bounded sample; every vector is in the index. A row holds its cell, one byte for each part and the vector itself, and rows of a cell stand together in files. A query looks at codes in its nearest cells only, by distances to the vectors that codes stand for. The nearest by codes are ranked again by their vectors. Blocks of queries meet blocks of cells, over which large cells are dealt (see ``ann``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopy.operators.ann import LEAST_CELLS, MOST_CELLS, SAMPLE, SHARE, TASK_ROWS, centroids, closest
+from canopy.operators.ann import LEAST_CELLS, MOST_CELLS, SAMPLE, SHARE, TASK_ROWS, centroids, closest, in_blocks, looking
 from canopy.operators.graph_index import _distances
 from canopy.operators.knn import _matrix, _unit, ranked
 from canopy.storage import stored
@@ -91,52 +91,17 @@ class CellIndex:
         """``(i, rank, j, d)`` of queries ``(id, v)``; members equal to a query count."""
         rows, asking = self._built(), stored(self._vectors(queries))
         probes = min(len(self.cells), self.probes or max(1, round(SHARE * len(self.cells))))
-        shared = rows.sparkSession.sparkContext.broadcast((self.cells, self.words, self.metric))
-        again = AGAIN * k
-
-        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells, _, metric = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    q = _matrix(batch.column("v"))
-                    cell = closest(_unit(q) if metric == "cosine" else q, cells, probes)
-                    take = pa.array(np.repeat(np.arange(len(q)), cell.shape[1]))
-                    yield pa.record_batch([*[c.take(take) for c in batch.columns], pa.array(cell.reshape(-1).astype(np.int32))], names=["id", "v", "cell"])
-
-        asked = stored(asking.mapInArrow(placed, "id long, v array<double>, cell int").withColumnRenamed("id", "i"))
+        spark, metric, again = rows.sparkSession, self.metric, AGAIN * k
+        cells, words = spark.sparkContext.broadcast(self.cells), spark.sparkContext.broadcast(self.words)
+        asked = stored(looking(asking.withColumnRenamed("id", "qid"), cells, probes, metric))
 
-        def tasks(df: DataFrame, name: str) -> DataFrame:
-            return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias(name))
-
-        # One row a cell, of which there are MOST_CELLS at most
-        split = F.broadcast(stored(tasks(rows, "pn").join(tasks(asked, "qn"), "cell")))
-
-        def dealt(df: DataFrame, key: str, own: str, n: str, other: str, m: str) -> DataFrame:
-            return df.join(split, "cell").withColumn(own, F.pmod(F.xxhash64(key), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("pn", "qn")
-
-        def look(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(p):
-                return pd.DataFrame({"i": [], "j": [], "d": []})
-            cells, words, metric = shared.value
-            x, p = np.stack(q["v"]).astype(float), p.sort_values("id")
+        def meant(p: pd.DataFrame) -> np.ndarray:
             code = np.frombuffer(b"".join(p["code"]), np.uint8).reshape(len(p), -1)
-            ids, take = p["id"].to_numpy(), min(again, len(p))
-            parts = np.array_split((_unit(x) if metric == "cosine" else x) - cells[p["cell"].iloc[0]], len(words), axis=1)
-            out: list[list[np.ndarray]] = [[], [], []]
-            for at in range(0, len(x), 256):
-                d = np.zeros((len(x[at : at + 256]), len(p)))
-                for m, (part, w) in enumerate(zip(parts, words, strict=True)):
-                    d += ((part[at : at + 256, None] - w[None]) ** 2).sum(axis=2)[:, code[:, m]]
-                near = np.argsort(d, axis=1, kind="stable")[:, :take]
-                for o, values in zip(out, (np.repeat(q["i"].to_numpy()[at : at + 256], take), ids[near].reshape(-1), np.take_along_axis(d, near, 1).reshape(-1)), strict=True):
-                    o.append(values)
-            return pd.DataFrame(dict(zip(("i", "j", "d"), map(np.concatenate, out), strict=True)))
-
-        left, right = dealt(asked, "i", "qb", "qn", "pb", "pn"), dealt(rows.select("id", "code", "cell"), "id", "pb", "pn", "qb", "qn")
-        rough = left.groupBy("cell", "qb", "pb").cogroup(right.groupBy("cell", "qb", "pb")).applyInPandas(look, "i long, j long, d double")
+            return cells.value[p["cell"].to_numpy()] + np.concatenate([w[code[:, m]] for m, w in enumerate(words.value)], axis=1)
+
+        rough = in_blocks(asked, rows.select(F.col("id").alias("vid"), "code", "cell"), again, "euclidean", meant, TASK_ROWS, _unit if metric == "cosine" else np.asarray)
         best = rough.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= again).select("i", "j")
         pairs = best.join(asking.select(F.col("id").alias("i"), "v"), "i").join(rows.select(F.col("id").alias("j"), F.col("v").alias("x")), "j").select("i", "j", "v", "x")
-        metric = self.metric
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
-from canopy.operators import ann, knn
+from canopy.operators import ann, cell_index, knn
 from canopy.operators.vectors import VectorIndex
+from canopy.storage import stored
 
 
 def frame(spark, x, base=0):
@@ -32,6 +33,45 @@ def test_recall_of_some_cells(spark):
     assert knn.recall(true, found, 10).first()["recall"] >= 0.9
 
 
+@pytest.mark.parametrize("mode", ["approximate", "cells"])
+def test_queries_are_not_copied_for_each_cell(spark, monkeypatch, mode):
+    written = []
+
+    def counted(df):
+        out = stored(df)
+        written.append(out.count())
+        return out
+
+    df = frame(spark, np.random.default_rng(4).normal(size=(400, 8)))
+    index = VectorIndex("euclidean", mode=mode, probes=30).build_from_vectors(df)
+    for module in (ann, cell_index):
+        monkeypatch.setattr(module, "stored", counted)
+    rows = []
+    blocks = ann.in_blocks
+
+    def met(*args):
+        rows.append(stored(blocks(*args)))
+        return rows[-1]
+
+    for module in (ann, cell_index):
+        monkeypatch.setattr(module, "in_blocks", met)
+    assert index.query_batch(df, 3).count() == 1200
+    assert max(written) == 400
+    # One list for each query and block of cells, not for each cell
+    assert rows[0].count() <= 400 * 8 * (4 if mode == "approximate" else 30)
+
+
+def test_blocks_give_the_nearest_of_the_cells_looked_at():
+    rng = np.random.default_rng(6)
+    x, y, cell = rng.integers(0, 3, (40, 2)).astype(float), rng.integers(0, 3, (300, 2)).astype(float), np.sort(rng.integers(0, 21, 300))
+    looked = rng.random((40, 21)) < 0.3
+    row, j, d = ann.nearest_in_cells(x, np.packbits(looked, axis=1), np.arange(300), cell, y, 5, "euclidean")
+    for r in range(40):
+        far = np.linalg.norm(y - x[r], axis=1)
+        own = sorted((far[i], i) for i in np.flatnonzero(looked[r, cell]))[:5]
+        assert sorted(zip(d[row == r].tolist(), j[row == r].tolist(), strict=True)) == own
+
+
 def test_modes_of_an_index(spark, tmp_path):
     rng = np.random.default_rng(3)
     df = frame(spark, rng.normal(size=(60, 5)))
