@@ -1,8 +1,10 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from canopy.operators import analysis, graph, knn, tree
@@ -77,6 +79,21 @@ def test_boruvka_agrees_with_kruskal(spark):
     assert rows(graph.boruvka(df), "u", "v") == rows(graph.spanning_forest(df), "u", "v")
 
 
+def test_one_task_holds_few_edges_as_numbers_of_python():
+    rng = np.random.default_rng(3)
+    u, step = rng.integers(0, 50_000, 200_000), rng.integers(1, 50_000, 200_000)
+    edges = pd.DataFrame({"u": np.minimum(u, (u + step) % 50_000), "v": np.maximum(u, (u + step) % 50_000), "w": rng.integers(0, 99, 200_000) / 7})
+    # All at once they took 41 and 34 MB
+    for of, most in ((graph._kruskal, 28), (graph._roots, 20)):
+        tracemalloc.start()
+        try:
+            out = of(edges)
+            assert tracemalloc.get_traced_memory()[1] < most * 1e6
+        finally:
+            tracemalloc.stop()
+    assert len(out) == len(np.union1d(edges["u"], edges["v"])) and len(graph._kruskal(edges)) == len(out) - out["root"].nunique()
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 5, 1.0), (3, 4, 1.0)], EDGES)
     for one_task in (100, 0):
