@@ -945,3 +945,15 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     assert (seen[0][0] == counts).all()
     held = [r for r in t.score(docs, model).collect() if r["held_out"]]
     assert sum((r["doc_id"] % 4 == 0) == r["predicted"] for r in held) >= 0.97 * len(held)
+
+
+def test_toxicity_takes_as_many_passes_of_large_tables(labelled, monkeypatch):
+    from canopy.llm import toxicity as t
+
+    docs, labels = labelled
+    monkeypatch.setattr(t, "TASK_BYTES", 4000)
+    monkeypatch.setattr(t, "FEW_BYTES", 8000, raising=False)
+    passes, rounds = [], t._round
+    monkeypatch.setattr(t, "_round", lambda rows, model, share, epochs, seed: (passes.append(epochs), rounds(rows, model, share, epochs, seed)))
+    t.fit(docs, labels)
+    assert len(passes) > 1 and sum(passes) == 8
