@@ -957,3 +957,17 @@ def test_toxicity_takes_as_many_passes_of_large_tables(labelled, monkeypatch):
     monkeypatch.setattr(t, "_round", lambda rows, model, share, epochs, seed: (passes.append(epochs), rounds(rows, model, share, epochs, seed)))
     t.fit(docs, labels)
     assert len(passes) > 1 and sum(passes) == 8
+
+
+def test_pipeline_learns_toxicity_in_as_many_passes(labelled, monkeypatch, tmp_path, spark):
+    import corpus_pipeline
+    from canopy.llm import toxicity as t
+
+    docs, labels = labelled
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(t, "TASK_BYTES", 4000)
+    monkeypatch.setattr(t, "FEW_BYTES", 8000, raising=False)
+    passes, rounds = [], t._round
+    monkeypatch.setattr(t, "_round", lambda rows, model, share, epochs, seed: (passes.append(epochs), rounds(rows, model, share, epochs, seed)))
+    left = {r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()}
+    assert sum(passes) == 8 and len(left & {i for i in range(900) if i % 5 == 0}) <= 9
