@@ -199,3 +199,40 @@ def test_clean_edges_of_all_nodes(spark, tmp_path):
         want |= {(min(i, j), max(i, j)) for d, j in near if d >= 0.6}
     got = {(r["u"], r["v"]) for r in registry.QUERIES["clean_edges"](spark, str(tmp_path)).collect()}
     assert got == want and any(v >= 400 for _, v in want)
+
+
+def test_failure_paths_join_no_ancestors(spark, monkeypatch):
+    n = 400
+    edges = [(i - 1 - i % 3 if i > 3 else 0, i, 1.0) for i in range(1, n)]
+    label = [i % 2 for i in range(n)]
+    p = [(i, label[i], label[i] if i % 37 < 2 else 1 - label[i]) for i in range(n)]
+    rooted = tree.rooted(spark.createDataFrame(edges, "u long, v long, w double"), root=0)
+
+    def never(*args):
+        raise AssertionError("rows of all ancestors grow with nodes times depth")
+
+    monkeypatch.setattr(analysis, "closure", never, raising=False)
+    v = [float((i * 7919) % 1009) for i in range(n)]
+    got = {r["node"]: (r["to"], r["hops"], r["least"]) for r in analysis.failure_paths(rooted, spark.createDataFrame(p, "id long, label long, predicted long"), spark.createDataFrame(list(enumerate(v)), "id long, x double")).collect()}
+    beside = {i: [] for i in range(n)}
+    for a, b, _ in edges:
+        beside[a].append(b)
+        beside[b].append(a)
+    goals = {k: [i for i, a, b in p if a == b == k][:20] for k in (0, 1)}
+    want = []
+    for i, a, b in p:
+        if a != b:
+            before, queue = {i: None}, [(i, 0)]
+            hops = {i: 0}
+            for node, h in queue:
+                for m in beside[node]:
+                    if m not in before:
+                        before[m], hops[m] = node, h + 1
+                        queue.append((m, h + 1))
+            h, to = min((hops[g], g) for g in goals[a])
+            way, at = [], to
+            while at is not None:
+                way.append(at)
+                at = before[at]
+            want.append((-h, i, to, min(v[q] for q in way)))
+    assert got == {i: (to, -h, low) for h, i, to, low in sorted(want)[:5]}
